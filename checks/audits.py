@@ -120,9 +120,11 @@ def mapping_report_order(spark, folder):
 
 
 @query("suspicious_matches", with_tables("""
-select old_column, new_column, 'type mismatch, high confidence' as reason from m where status like '%VERIFIED%' and confidence > 85 and mismatch
-""", **PAIR_CTES, **RATE_CTES, m="select m.*, not (o.column_type = n.column_type or (o.column_type in ('numeric', 'integer') and n.column_type in ('numeric', 'integer'))) as mismatch from ("
-    + field_sql(True) + ") m join old_prints o on o.column_name = m.old_column join new_prints n on n.column_name = m.new_column"))
+select old_column, new_column, case when boolean and name_sim < 50 then 'boolean column, unlike names' else 'type mismatch, high confidence' end as reason
+from m where status like '%VERIFIED%' and ((boolean and name_sim < 50) or (confidence > 85 and mismatch))
+""", **PAIR_CTES, **RATE_CTES, m=f"""select m.*, 'boolean' in (o.column_type, n.column_type) as boolean, ({C.NAME_SIM.format(a='m.old_column', b='m.new_column')}) * 100 as name_sim,
+    not (o.column_type = n.column_type or (o.column_type in ('numeric', 'integer') and n.column_type in ('numeric', 'integer'))) as mismatch
+    from ({field_sql(True)}) m join old_prints o on o.column_name = m.old_column join new_prints n on n.column_name = m.new_column"""))
 def suspicious_matches(spark, folder):
     return field_match.suspicious_matches(fields(spark, folder, True)).select("old_column", "new_column", "reason")
 

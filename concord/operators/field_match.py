@@ -50,17 +50,39 @@ def comparable_overlap(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rewrite_rates(joined: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """old_column, new_column, rule, match_rate over the anchored rows: every pair and rewrite in one aggregation."""
-    rates, cells = [], []
-    for i, (old, new) in enumerate(pairs):
-        a, b = as_text(joined, f"{old}_O"), as_text(joined, f"{new}_N")
-        for j, (rule, rewrite) in enumerate(REWRITES.items()):
-            rates.append(F.avg(F.when(rewrite(a).eqNullSafe(rewrite(b)), 1.0).otherwise(0.0)).alias(f"r{i}_{j}"))
-            cells.append(F.struct(
-                F.lit(old).alias("old_column"), F.lit(new).alias("new_column"), F.lit(j).alias("place"),
-                F.lit(rule).alias("rule"), F.col(f"r{i}_{j}").alias("match_rate"),
-            ))
-    return joined.agg(*rates).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """old_column, new_column, place, rule, match_rate over the anchored rows, for every pair and rewrite.
+
+    Every column is rewritten once per row; the row then yields the numbers of the (pair, rewrite)
+    combinations that agree, and these are counted. Combinations that never agree have rate 0.
+    """
+    olds, news = (list(dict.fromkeys(side)) for side in zip(*pairs))
+
+    def rewritten(names: list[str], suffix: str) -> Column:
+        return F.array(*[rule(as_text(joined, f"{n}_{suffix}")) for n in names for rule in REWRITES.values()])
+
+    n_rules = len(REWRITES)
+    grid = [
+        (olds.index(o) * n_rules + j, news.index(n) * n_rules + j, o, n, j, rule)
+        for o, n in pairs for j, rule in enumerate(REWRITES)
+    ]
+    at_old, at_new = (F.lit([g[side] for g in grid]) for side in (0, 1))
+    rows = joined.select(rewritten(olds, "O").alias("a"), rewritten(news, "N").alias("b"))
+    agreeing = F.filter(
+        F.sequence(F.lit(0), F.lit(len(grid) - 1)),
+        lambda k: F.get("a", F.get(at_old, k)).eqNullSafe(F.get("b", F.get(at_new, k))),
+    )
+    # -1 stands for the row itself, so the same count gives the total.
+    hits = rows.select(F.explode(F.array_append(agreeing, F.lit(-1))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    # One row: the counts by number, at most one per pair and rewrite.
+    counted = hits.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("n"))
+    names, places = (F.lit([g[i] for g in grid]) for i in (2, 4))
+    partners, rules = (F.lit([g[i] for g in grid]) for i in (3, 5))
+    k = F.col("k")
+    return counted.select("n", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("k")).select(
+        F.get(names, k).alias("old_column"), F.get(partners, k).alias("new_column"), F.get(places, k).alias("place"),
+        F.get(rules, k).alias("rule"),
+        (F.coalesce(F.col("n")[k], F.lit(0)) / F.coalesce(F.col("n")[F.lit(-1)], F.lit(1))).alias("match_rate"),
+    )
 
 
 def best_rewrites(rates: DataFrame) -> DataFrame:
@@ -212,16 +234,8 @@ def orphan_status(pairs: DataFrame, old_prints: DataFrame, new_prints: DataFrame
 
 def _stem(name: Column) -> Column:
     """Name without the first fitting prefix and suffix, if more than three letters remain."""
-    lower = F.lower(name)
-    stem = lower
-    for prefix in reversed(SPLIT_PREFIXES):
-        fits = lower.startswith(prefix) & (F.length(lower) > len(prefix) + 3)
-        stem = F.when(fits, F.substr(lower, F.lit(len(prefix) + 1))).otherwise(stem)
-    cut = stem
-    for suffix in reversed(SPLIT_SUFFIXES):
-        fits = stem.endswith(suffix) & (F.length(stem) > len(suffix) + 3)
-        cut = F.when(fits, F.left(stem, F.length(stem) - len(suffix))).otherwise(cut)
-    return cut
+    lower = F.regexp_replace(F.lower(name), f"^(?:{'|'.join(SPLIT_PREFIXES)})(?=.{{4}})", "")
+    return F.regexp_replace(lower, f"(?<=.{{4}})(?:{'|'.join(SPLIT_SUFFIXES)})$", "")
 
 
 def _stem_similarity(stem: Column, name: Column) -> Column:

@@ -260,8 +260,8 @@ def number_shape(counts: DataFrame) -> DataFrame:
     return shape.select("column_name", "decimals", magnitude.alias("magnitude"))
 
 
-def shape_counts(counts: DataFrame) -> DataFrame:
-    """Per column: values, distinct values, and how many fit each shape and pattern."""
+def shape_counts(counts: DataFrame, *more: Column) -> DataFrame:
+    """Per column: values, distinct values, and how many fit each shape and pattern; `more` joins the same pass."""
     n, value = F.col("n"), F.col("value")
     held = value.isNotNull()
     shape = F.lit(None)
@@ -276,6 +276,7 @@ def shape_counts(counts: DataFrame) -> DataFrame:
         *[_sum(held & ~low.isin(words), n).alias(f"not_boolean_{i}") for i, words in enumerate(BOOLEAN_SETS)],
         F.sum(F.when(held, F.length(value)) * n).alias("chars"),
         F.sum(F.when(held, F.size(F.filter(F.split(value, r"\s+"), lambda w: w != ""))) * n).alias("words"),
+        *more,
     )
 
 
@@ -283,20 +284,23 @@ def _name_has(words: Sequence[str]) -> Column:
     return F.lower("column_name").rlike("|".join(words))
 
 
-def column_types(shapes: DataFrame) -> DataFrame:
-    """column_name, column_type: boolean sets with name hints first, then the shape of most values."""
+def _column_type() -> Column:
     boolean = F.least(*[F.col(f"not_boolean_{i}") for i in range(len(BOOLEAN_SETS))]) == 0
     by_shape = F.lit("alphanumeric")
     for name, _ in reversed(SHAPES):
         by_shape = F.when(F.col(f"shape_{name}") > F.col("n_values") * SHAPE_SHARE, name).otherwise(by_shape)
-    kind = (
+    return (
         F.when(F.col("n_values") == 0, "EMPTY")
         .when(boolean & _name_has(NUMERIC_NAME_WORDS), "numeric")
         .when(boolean & _name_has(BOOLEAN_NAME_WORDS), "boolean")
         .when(boolean, F.when(F.col("n_texts") == 2, "boolean").otherwise("numeric"))
         .otherwise(by_shape)
     )
-    return shapes.select("column_name", kind.alias("column_type"))
+
+
+def column_types(shapes: DataFrame) -> DataFrame:
+    """column_name, column_type: boolean sets with name hints first, then the shape of most values."""
+    return shapes.select("column_name", _column_type().alias("column_type"))
 
 
 def column_patterns(shapes: DataFrame) -> DataFrame:
@@ -321,16 +325,16 @@ def fingerprints(counts: DataFrame) -> DataFrame:
     held = value.isNotNull()
     number = F.trim(value).try_cast(NUMBER)
     # Entropy of p = n / total: log2(total) - sum(n * log2 n) / total, so no second pass needs the total.
-    base = counts.groupBy("column_name").agg(
-        F.sum("n").alias("n_rows"), _sum(held, n).alias("n_values"), F.count("value").alias("cardinality"),
+    base = shape_counts(
+        counts,
+        F.sum("n").alias("n_rows"), F.count("value").alias("cardinality"),
         F.sum(F.when(held, n * F.log2(n))).alias("n_log_n"),
         _sum(held & F.trim(value).isin(ZERO_TEXTS), n).alias("n_zero"),
         F.min(number).alias("lo"), F.max(number).alias("hi"), F.sum(number * n).alias("total"),
         _sum(number.isNotNull(), n).alias("n_numeric"),
-    )
-    types = column_types(shape_counts(counts))
+    ).withColumn("column_type", _column_type())
     some = F.col("n_values") > 0
-    return base.join(types, ["column_name"]).select(
+    return base.select(
         "column_name", "column_type", "cardinality",
         ((1 - F.col("n_values") / F.col("n_rows")) * 100).alias("null_pct"),
         F.when(some, F.col("cardinality") / F.col("n_values")).otherwise(0.0).alias("unique_ratio"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 # The encoding tried first, and the one for older Thai files.
 ENCODINGS = ("UTF-8", "x-windows-874")
-REPLACEMENT = "�"
 
 
 def delimited(spark: SparkSession, path: str, encoding: str | None = None, **options) -> DataFrame:
@@ -25,7 +24,7 @@ def delimited(spark: SparkSession, path: str, encoding: str | None = None, **opt
 def _broken_utf8(spark: SparkSession, path: str) -> bool:
     """Whether any line holds bytes that are no UTF-8; stops at the first one."""
     lines = spark.read.text(path)
-    return not lines.filter(F.col("value").contains(REPLACEMENT)).isEmpty()
+    return not lines.filter(~F.is_valid_utf8("value")).isEmpty()
 
 
 def virtual_source(frames: list[DataFrame], combine: str | None = "UNION", source_filter: str | None = None) -> DataFrame:
