@@ -1,6 +1,7 @@
 """Old/new pairs with known defects, derived from the given tables by key arithmetic.
 
-Each pair is one SQL text that both Spark and the checking engine run, so both see the same rows.
+Each pair is one SQL text that both Spark and the checking engine run, so both see the same rows. The
+remainders in them place the defects (a lost row, a changed amount); every query reads whole tables.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +45,26 @@ def error(error_type: str, report_fields: Column | None = None, **fields) -> Col
     return F.struct(*parts, report.cast(_EMPTY_MAP).alias("report_fields"))
 
 
-def present(candidates: Sequence[Column]) -> Column:
-    """Array of the errors that are not null."""
-    return F.filter(F.array(*candidates), lambda e: e.isNotNull())
+# A check is a test and the error to report where it holds.
+Check = tuple[Column, Column]
 
 
-def explode_errors(df: DataFrame, errors: Column, *carry: str) -> DataFrame:
+def any_holds(checks: Sequence[Check]) -> Column:
+    """Whether any test holds; an undecided one does not."""
+    return reduce(lambda a, b: a | b, [F.coalesce(test, F.lit(False)) for test, _ in checks], F.lit(False))
+
+
+def held(checks: Sequence[Check]) -> Column:
+    """Array of the errors whose test holds.
+
+    Pieces of zero or one error are concatenated, which stays in generated code; filtering nulls out of an
+    array would evaluate every test in the interpreter.
+    """
+    pieces = [F.when(test, F.array(made)).otherwise(F.array()) for test, made in checks]
+    return F.concat(*pieces) if pieces else F.array()
+
+
+def explode_errors(df: DataFrame, errors: str, *carry: str) -> DataFrame:
     return df.select(*carry, F.explode(errors).alias("e")).select(*carry, "e.*")
 
 

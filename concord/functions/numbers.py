@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 # Exact decimals: sums do not depend on the order in which tasks finish.
 NUMBER = "decimal(28,8)"
 NUMERIC_TYPES = (T.NumericType,)
+NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 # The formulas a mapping may name.
 FORMULAS = ("SUM", "SUBTRACT", "EXACT")
@@ -27,9 +28,17 @@ def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, NUMERIC_TYPES)
 
 
+def parsed(text: Column) -> Column:
+    """Decimal of trimmed text, null where it is no number.
+
+    The shape is tested first: a failed cast raises and catches an exception per value, which costs far more.
+    """
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast(NUMBER))
+
+
 def to_number(value: Column) -> Column:
     """Decimal of the whole text, null where the text is not a number."""
-    return F.trim(value.cast("string")).try_cast(NUMBER)
+    return parsed(F.trim(value.cast("string")))
 
 
 def number_of(df: DataFrame, name: str) -> Column:
@@ -38,17 +47,21 @@ def number_of(df: DataFrame, name: str) -> Column:
 
 
 def plain(number: Column) -> Column:
-    """Decimal as text without trailing zeros: 100, 0.5, -1387.16."""
-    text = number.cast("string")
-    return F.when(number == 0, F.lit("0")).when(
-        text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-    ).otherwise(text)
+    """Decimal (with decimals) as text without trailing zeros: 100, 0.5, -1387.16."""
+    return F.when(number == 0, F.lit("0")).otherwise(F.rtrim(F.rtrim(number.cast("string"), F.lit("0")), F.lit(".")))
 
 
 def normal_number_text(value: Column) -> Column:
     """Trimmed text; '.8', '0.8' and '0.80' become the same value. Blank becomes null."""
     text = F.nullif(F.trim(value.cast("string")), F.lit(""))
-    return F.coalesce(plain(text.try_cast(NUMBER)), text)
+    return F.when(text.rlike(NUMBER_SHAPE), F.coalesce(plain(text.try_cast(NUMBER)), text)).otherwise(text)
+
+
+def number_text_of(df: DataFrame, name: str) -> Column:
+    """The same for a column; a typed number needs no parsing."""
+    if is_numeric(df, name):
+        return F.coalesce(plain(col(name).try_cast(NUMBER)), col(name).cast("string"))
+    return normal_number_text(col(name))
 
 
 def tolerance_of(tolerance: float | str | Decimal) -> Column:
@@ -60,19 +73,34 @@ def differs(left: Column, right: Column, tolerance: float) -> Column:
     return F.abs(left - right) > tolerance_of(tolerance)
 
 
-def tolerant_equal(left: Column, right: Column, tolerance: float = 0) -> Column:
-    """Blank equals null, numbers within a tolerance, any other text without case."""
-    a = F.nullif(F.trim(left.cast("string")), F.lit(""))
-    b = F.nullif(F.trim(right.cast("string")), F.lit(""))
-    x, y = a.try_cast(NUMBER), b.try_cast(NUMBER)
+def equal_texts(a: Column, b: Column, tolerance: float) -> Column:
+    """Equality of two cleaned texts: null equals null, numbers within a tolerance, other text without case."""
+    # Equal texts, the usual case, are settled without parsing.
     return (
-        F.when(a.isNull() & b.isNull(), F.lit(True))
+        F.when(a.eqNullSafe(b), F.lit(True))
         .when(a.isNull() | b.isNull(), F.lit(False))
-        .when(x.isNotNull() & y.isNotNull(), ~differs(x, y, tolerance))
+        .when(
+            a.rlike(NUMBER_SHAPE) & b.rlike(NUMBER_SHAPE),
+            F.coalesce(~differs(a.try_cast(NUMBER), b.try_cast(NUMBER), tolerance), F.lit(False)),
+        )
         .otherwise(F.lower(a) == F.lower(b))
     )
 
 
+def equal_numbers(a: Column, b: Column, tolerance: float) -> Column:
+    """Equality of two decimals within a tolerance; null equals null."""
+    return F.coalesce(~differs(a, b, tolerance), a.isNull() & b.isNull())
+
+
+def tolerant_equal(left: Column, right: Column, tolerance: float = 0) -> Column:
+    """Blank equals null, numbers within a tolerance, any other text without case."""
+
+    def cleaned(value: Column) -> Column:
+        return F.nullif(F.trim(value.cast("string")), F.lit(""))
+
+    return equal_texts(cleaned(left), cleaned(right), tolerance)
+
+
 def formula_of(formula: str, values: Sequence[Column]) -> Column:
     """SUM, SUBTRACT or EXACT over numbers, a missing number counting as zero."""
     zero = F.lit(0).cast(NUMBER)

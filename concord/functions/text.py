@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from concord.functions.numbers import NUMBER_SHAPE
+
 # The accepted date shapes, and the length of the suffix a composite key carries.
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 DAY_FIRST_DATE = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
@@ -90,7 +92,8 @@ def prefix(value: Column, length: int | None = None, until: str = "-") -> Column
 def comparable(value: Column) -> Column:
     """DATE:, NUM: or TXT: form that makes differently written values equal; null for null words."""
     text = F.trim(value.cast("string"))
-    number = F.regexp_replace(text, CURRENCY_AND_SPACE, "").try_cast("decimal(38,4)")
+    digits = F.regexp_replace(text, CURRENCY_AND_SPACE, "")
+    number = F.when(digits.rlike(NUMBER_SHAPE), digits.try_cast("decimal(38,4)"))
     letters = F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
     return (
         F.when(text.isNull() | F.lower(text).isin(NULL_WORDS), F.lit(None))

@@ -190,10 +190,10 @@ def interpolate(message: str, variables: dict[str, Column]) -> Column:
 
 
 class CompiledAction:
-    """One action ready for the joined frame: extra columns to add, then an error column."""
+    """One action ready for the joined frame: columns to add, the test that it is broken, and its error."""
 
-    def __init__(self, columns: dict[str, Column], error: Callable[[Column], Column]):
-        self.columns, self.error = columns, error
+    def __init__(self, columns: dict[str, Column], broken: Column, error: Callable[[Column], Column]):
+        self.columns, self.broken, self.error = columns, broken, error
 
 
 def compile_cohesion(
@@ -225,13 +225,12 @@ def compile_cohesion(
         )
 
     def error(key: Column) -> Column:
-        broken = fires & ~F.coalesce(F.expr(sql), F.lit(False))
-        return F.when(broken, E.error(
+        return E.error(
             E.DEFECT_VIOLATION, def_id=rule.def_id, group_key=key,
             message=interpolate(action.error_message, variables), report_fields=report,
-        ))
+        )
 
-    return CompiledAction(columns, error)
+    return CompiledAction(columns, fires & ~F.coalesce(F.expr(sql), F.lit(False)), error)
 
 
 def value_check_parts(rule: DefRule, action: Action, old: Side, new: Side) -> tuple[str, str, str, str]:
@@ -258,11 +257,11 @@ def compile_value_check(
     allowed = old.count_equal(old_col, permitted) if permitted and old_col else F.lit(0)
 
     def error(key: Column) -> Column:
-        return F.when(fires & (bad - allowed > 0), E.error(
+        return E.error(
             E.DEFECT_VIOLATION, def_id=rule.def_id, group_key=key,
             old_column=old_col or None, new_column=new_col, message=F.lit(action.error_message),
-        ))
+        )
 
-    return CompiledAction({}, error)
+    return CompiledAction({}, fires & (bad - allowed > 0), error)
 
 

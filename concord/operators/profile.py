@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from concord.functions.numbers import NUMBER, col, plain
+from concord.functions.numbers import NUMBER, col, parsed, plain
 
 # Date shapes of the matcher, in order of precedence.
 DATE_FORMATS = [
@@ -93,7 +93,7 @@ def column_meta(counts: DataFrame) -> DataFrame:
     text = F.trim(value)
     held = value.isNotNull()
     shown = held & (text != "")
-    number = text.try_cast(NUMBER)
+    number = parsed(text)
     numeric, dated = shown & number.isNotNull(), shown & text.rlike(DATE_START)
     base = counts.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"),
@@ -147,7 +147,7 @@ def column_profile(counts: DataFrame) -> DataFrame:
     """One row per column: rates, cardinality, number scale and constraints, date range, text shape."""
     n, value = F.col("n"), F.col("value")
     held = value.isNotNull()
-    number = F.trim(value).try_cast(NUMBER)
+    number = parsed(F.trim(value))
     numeric = held & number.isNotNull()
     iso = held & value.rlike(r"^\d{4}-\d{2}-\d{2}")
     day = F.when(iso, F.try_to_date(F.left(value, F.lit(10)), "yyyy-MM-dd"))
@@ -206,7 +206,7 @@ def medians(counts: DataFrame, buckets: int = 4096) -> DataFrame:
     scale, and keep only the range that holds the median; what is left is ordered.
     """
     numbers = counts.select(
-        "column_name", F.trim(F.col("value")).try_cast(NUMBER).cast("double").alias("x"), "n"
+        "column_name", parsed(F.trim(F.col("value"))).cast("double").alias("x"), "n"
     ).filter("x is not null")
     middle = numbers.groupBy("column_name").agg(
         F.floor((F.sum("n") + 1) / 2).alias("middle"), F.lit(0).cast("long").alias("before")
@@ -244,7 +244,7 @@ def _narrowed(numbers: DataFrame, middle: DataFrame, scale: Column, buckets: int
 def number_shape(counts: DataFrame) -> DataFrame:
     """column_name, decimals (the commonest number of decimals, the smaller of equals), magnitude of the mean."""
     value, n = F.trim(F.col("value")), F.col("n")
-    number = value.try_cast(NUMBER)
+    number = parsed(value)
     numbers = counts.filter(number.isNotNull()).select(
         "column_name", number.alias("x"), F.length(F.regexp_extract(value, r"\.(\d+)", 1)).alias("decimals"), "n"
     )
@@ -323,7 +323,7 @@ def fingerprints(counts: DataFrame) -> DataFrame:
     """One row per column: null share, cardinality, entropy, zero share, numeric statistics."""
     n, value = F.col("n"), F.col("value")
     held = value.isNotNull()
-    number = F.trim(value).try_cast(NUMBER)
+    number = parsed(F.trim(value))
     # Entropy of p = n / total: log2(total) - sum(n * log2 n) / total, so no second pass needs the total.
     base = shape_counts(
         counts,

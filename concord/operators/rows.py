@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,27 +11,54 @@ from pyspark.sql import functions as F
 
 from concord import errors as E
 from concord.functions.numbers import (
-    NUMBER, differs, formula_of, plain, to_number, tolerant_equal,
+    NUMBER, differs, equal_numbers, equal_texts, formula_of, plain, to_number,
 )
 from concord.functions.text import clean, concat_columns, date_text, transform
 from concord.rules import Mappings
 
+DATE_TRANSFORM = "DATE_TO_DATETIME"
+
 
 def transformed_equal(old: Column, new: Column, rule: str | None, tolerance: float) -> Column:
     """Old value after its transform against the new one; dates are cut to the day on both sides."""
-    right = date_text(new) if rule == "DATE_TO_DATETIME" else clean(new)
-    return tolerant_equal(transform(old, rule), right, tolerance)
+    right = date_text(new) if rule == DATE_TRANSFORM else clean(new)
+    return equal_texts(transform(old, rule), right, tolerance)
+
+
+@dataclass
+class RowSide:
+    """Columns of one side in the joined row, and which of them are typed numbers."""
+
+    column: Callable[[str], Column]
+    numeric: Callable[[str], bool]
+
+    def number(self, name: str) -> Column:
+        return self.column(name).try_cast(NUMBER) if self.numeric(name) else to_number(self.column(name))
+
 
+class RowChecks:
+    """One check per mapping, over values that are prepared once per row.
 
-def row_checks(mappings: Mappings, noisy: set[str], tolerance: float, old, new, row_id: Column) -> list[Column]:
-    """One nullable error per mapping. `old` and `new` give the column of a name on either side."""
-    checks: list[Column] = []
-    zero = F.lit(0).cast(NUMBER)
+    `prepared` must be added to the joined rows before the checks are evaluated: a check uses its values
+    several times, and an expression repeated inside others would be evaluated, and planned, each time.
+    """
 
-    def add(test: Column, old_column: str, new_column: str, old_value: Column, new_value: Column, what: str) -> None:
+    def __init__(self, mappings: Mappings, noisy: set[str], tolerance: float, old: RowSide, new: RowSide, row_id: Column):
+        self.old, self.new, self.tolerance, self.row_id = old, new, tolerance, row_id
+        self.prepared: dict[str, Column] = {}
+        self.checks: list[E.Check] = []
+        self._equalities(mappings, noisy)
+        self._formulas(mappings, noisy)
+
+    def _keep(self, value: Column) -> Column:
+        name = f"v{len(self.prepared)}"
+        self.prepared[name] = value
+        return F.col(name)
+
+    def _add(self, test: Column, old_column: str, new_column: str, old_value: Column, new_value: Column, what: str) -> None:
         shown_old, shown_new = old_value.cast("string"), new_value.cast("string")
-        checks.append(F.when(test, E.error(
-            E.VALUE_MISMATCH, row_id=row_id, old_column=old_column, new_column=new_column,
+        self.checks.append((test, E.error(
+            E.VALUE_MISMATCH, row_id=self.row_id, old_column=old_column, new_column=new_column,
             old_value=shown_old, new_value=shown_new,
             message=F.concat(
                 F.lit(f"{what} [{old_column}->{new_column}]: "), F.coalesce(shown_old, F.lit("null")),
@@ -37,32 +66,43 @@ def row_checks(mappings: Mappings, noisy: set[str], tolerance: float, old, new,
             ),
         )))
 
-    for m in mappings.exact:
-        if m.old not in noisy:
-            add(~transformed_equal(old(m.old), new(m.new), m.transform, tolerance),
-                m.old, m.new, old(m.old), new(m.new), "Mismatch")
-    for m in mappings.split:
-        if m.old not in noisy:
-            total = F.coalesce(to_number(old(m.old)), F.when(old(m.old).isNull(), zero))
-            computed = formula_of(m.formula, [to_number(new(c)) for c in m.new_cols])
-            add(differs(total, computed, tolerance), m.old, "+".join(m.new_cols), plain(total), plain(computed),
-                "Split formula mismatch")
-    for m in mappings.transformed:
-        if m.old not in noisy:
-            add(~transformed_equal(old(m.old), new(m.new), m.transform, tolerance),
-                m.old, m.new, old(m.old), new(m.new), "Transform mismatch")
-    for m in mappings.concat:
-        if not noisy & set(m.old_cols):
-            joined = concat_columns([old(c) for c in m.old_cols], m.separator)
-            add(~tolerant_equal(joined, new(m.new), tolerance), "+".join(m.old_cols), m.new, joined, new(m.new),
-                "Concat mismatch")
-    for m in mappings.formula:
-        if not noisy & set(m.old_cols):
-            inputs = [old(c) for c in m.old_cols]
-            complete = reduce(lambda a, b: a & b, [v.isNotNull() for v in inputs])
-            computed = formula_of(m.formula, [to_number(v) for v in inputs])
-            value = F.coalesce(to_number(new(m.new)), F.when(new(m.new).isNull(), zero))
-            name = ("-" if m.formula == "SUBTRACT" else "+").join(m.old_cols)
-            add(complete & differs(computed, value, tolerance), name, m.new, plain(computed), plain(value),
-                "Formula mismatch")
-    return checks
+    def _equal(self, old_name: str, new_name: str, rule: str | None) -> Column:
+        if rule in (None, "NONE") and self.old.numeric(old_name) and self.new.numeric(new_name):
+            return equal_numbers(self.old.number(old_name), self.new.number(new_name), self.tolerance)
+        new_value = self.new.column(new_name)
+        right = date_text(new_value) if rule == DATE_TRANSFORM else clean(new_value)
+        return equal_texts(self._keep(transform(self.old.column(old_name), rule)), self._keep(right), self.tolerance)
+
+    def _equalities(self, mappings: Mappings, noisy: set[str]) -> None:
+        for kind, matches in (("Mismatch", mappings.exact), ("Transform mismatch", mappings.transformed)):
+            for m in matches:
+                if m.old not in noisy:
+                    test = ~self._equal(m.old, m.new, m.transform)
+                    self._add(test, m.old, m.new, self.old.column(m.old), self.new.column(m.new), kind)
+        for m in mappings.concat:
+            if not noisy & set(m.old_cols):
+                joined = self._keep(F.nullif(F.trim(concat_columns([self.old.column(c) for c in m.old_cols], m.separator)), F.lit("")))
+                value = self._keep(clean(self.new.column(m.new)))
+                self._add(~equal_texts(joined, value, self.tolerance), "+".join(m.old_cols), m.new, joined, value, "Concat mismatch")
+
+    def _formulas(self, mappings: Mappings, noisy: set[str]) -> None:
+        zero = F.lit(0).cast(NUMBER)
+
+        def lenient(side: RowSide, name: str) -> Column:
+            """Number, zero for null, null for text that is no number."""
+            return F.coalesce(side.number(name), F.when(side.column(name).isNull(), zero))
+
+        for m in mappings.split:
+            if m.old not in noisy:
+                total = self._keep(lenient(self.old, m.old))
+                computed = self._keep(formula_of(m.formula, [self.new.number(c) for c in m.new_cols]).cast("decimal(38,8)"))
+                self._add(differs(total, computed, self.tolerance), m.old, "+".join(m.new_cols), plain(total), plain(computed),
+                          "Split formula mismatch")
+        for m in mappings.formula:
+            if not noisy & set(m.old_cols):
+                complete = reduce(lambda a, b: a & b, [self.old.column(c).isNotNull() for c in m.old_cols])
+                computed = self._keep(formula_of(m.formula, [self.old.number(c) for c in m.old_cols]).cast("decimal(38,8)"))
+                value = self._keep(lenient(self.new, m.new))
+                name = ("-" if m.formula == "SUBTRACT" else "+").join(m.old_cols)
+                self._add(complete & differs(computed, value, self.tolerance), name, m.new, plain(computed), plain(value),
+                          "Formula mismatch")

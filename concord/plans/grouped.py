@@ -6,6 +6,7 @@ key, and every mapping and business rule is one column over the joined row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,17 +14,20 @@ from pyspark.sql import functions as F
 
 from concord import errors as E
 from concord.functions.numbers import (
-    NUMBER, col, differs, formula_of, normal_number_text, plain,
+    NUMBER, col, differs, formula_of, number_text_of, plain,
 )
 from concord.functions.text import clean, concat_columns, date_text
 from concord.operators import defects, values
 from concord.operators.fingerprint_diff import fingerprint_counts, fingerprint_diff
 from concord.operators.joins import even_join
-from concord.operators.rows import transformed_equal
+from concord.operators.rows import DATE_TRANSFORM, transformed_equal
 from concord.operators.sides import Side
 from concord.rules import DefRule, Mappings
 
-DATE_TRANSFORM = "DATE_TO_DATETIME"
+
+def _unequal(n: dict[str, Column]) -> Column:
+    """Both sides have values, and not the same ones."""
+    return (n["so"] > 0) & (n["sn"] > 0) & (n["xo"] + n["xn"] > 0)
 
 
 class GroupComparison:
@@ -55,9 +59,9 @@ class GroupComparison:
         self.anchors = (old_anchor, new_anchor)
         self.group_key = F.concat_ws("::", *[F.col(k) for k in self.shown_key()])
         self.sets: list[values.ValueSet] = []
-        self.set_labels: dict[int, str] = {}
-        self.mapping_checks: list[Column] = []
-        self.def_checks: list[Column] = []
+        self.set_tests: dict[int, Column] = {}
+        self.mapping_checks: list[E.Check] = []
+        self.def_checks: list[E.Check] = []
         self.extra_columns: dict[str, Column] = {}
         self.broken_rules: list[dict] = []
         self._prepare()
@@ -84,7 +88,7 @@ class GroupComparison:
     def _skip(self, *columns: str) -> bool:
         return any(c in self.noisy for c in columns)
 
-    def _mismatch(self, test: Column, old_column, new_column, old_value=None, new_value=None, set_id=None, text=None) -> Column:
+    def _mismatch(self, test: Column, old_column, new_column, old_value=None, new_value=None, set_id=None, text=None) -> E.Check:
         """Check struct: the error plus the set whose values complete it."""
         what = text or f"Value mismatch [{old_column}->{new_column}]"
         message = F.lit(what) if old_value is None else F.concat(
@@ -96,30 +100,30 @@ class GroupComparison:
         )
         return self._check(test, made, set_id)
 
-    def _check(self, test: Column, made: Column, set_id: int | None) -> Column:
+    def _check(self, test: Column, made: Column, set_id: int | None) -> E.Check:
         n_old = F.lit(None) if set_id is None else F.col(f"so_{set_id}")
         n_new = F.lit(None) if set_id is None else F.col(f"sn_{set_id}")
-        return F.when(test, F.struct(
+        return test, F.struct(
             F.lit(set_id).cast("int").alias("set_id"), n_old.cast("long").alias("n_old"),
             n_new.cast("long").alias("n_new"), made.alias("e"),
-        ))
+        )
 
-    def _set(self, old_value: Column | None, new_value: Column | None, label: str) -> tuple[int, dict[str, Column]]:
+    def _set(self, old_value: Column | None, new_value: Column | None, test: Callable[[dict[str, Column]], Column]) -> tuple[int, Column]:
+        """Add a pair of value sets; `test` says from their four counts whether they are worth an error."""
         i = len(self.sets)
         self.sets.append(values.ValueSet(i, old_value, new_value))
-        self.set_labels[i] = label
-        return i, {n: F.coalesce(F.col(f"{n}_{i}"), F.lit(0)) for n in ("so", "sn", "xo", "xn")}
+        self.set_tests[i] = test({n: F.coalesce(F.col(f"{n}_{i}"), F.lit(0)) for n in ("so", "sn", "xo", "xn")})
+        return i, self.set_tests[i]
 
-    def _value(self, name: str) -> Column:
-        text = normal_number_text(col(name))
+    def _value(self, side: Side, name: str) -> Column:
+        text = number_text_of(side.df, name)
         return F.coalesce(text, F.lit("0")) if self.blank_as_zero else text
 
     def _exact(self) -> None:
         for m in self.mappings.exact:
             if self._skip(m.old):
                 continue
-            i, n = self._set(self._value(m.old), self._value(m.new), f"{m.old}->{m.new}")
-            test = (n["so"] > 0) & (n["sn"] > 0) & (n["xo"] + n["xn"] > 0)
+            i, test = self._set(self._value(self.old, m.old), self._value(self.new, m.new), _unequal)
             self.mapping_checks.append(self._mismatch(test, m.old, m.new, set_id=i))
 
     def _split(self) -> None:
@@ -138,8 +142,7 @@ class GroupComparison:
             if self._skip(m.old):
                 continue
             if m.transform == DATE_TRANSFORM:
-                i, n = self._set(date_text(col(m.old)), date_text(col(m.new)), f"{m.old}->{m.new}")
-                test = (n["so"] > 0) & (n["sn"] > 0) & (n["xo"] + n["xn"] > 0)
+                i, test = self._set(date_text(col(m.old)), date_text(col(m.new)), _unequal)
                 self.mapping_checks.append(self._mismatch(test, m.old, m.new, set_id=i))
                 continue
             a, b = self.old.strict_sum(m.old), self.new.strict_sum(m.new)
@@ -155,9 +158,9 @@ class GroupComparison:
             left = concat_columns([col(c) for c in m.old_cols], m.separator)
             right = F.coalesce(F.trim(col(m.new).cast("string")), F.lit(""))
             name = "+".join(m.old_cols)
-            i, n = self._set(left, right, f"{name}->{m.new}")
+            i, test = self._set(left, right, lambda n: n["xo"] + n["xn"] > 0)
             self.mapping_checks.append(self._mismatch(
-                n["xo"] + n["xn"] > 0, name, m.new, set_id=i, text=f"Concat mismatch [{name}->{m.new}]",
+                test, name, m.new, set_id=i, text=f"Concat mismatch [{name}->{m.new}]",
             ))
 
     def _formula(self) -> None:
@@ -192,9 +195,11 @@ class GroupComparison:
         for m in self.mappings.subset:
             if self._skip(m.old):
                 continue
-            i, n = self._set(normal_number_text(col(m.old)), normal_number_text(col(m.new)), f"{m.old}->{m.new}")
+            i, test = self._set(
+                number_text_of(self.old.df, m.old), number_text_of(self.new.df, m.new), lambda n: n["xo"] > 0
+            )
             self.mapping_checks.append(self._mismatch(
-                n["xo"] > 0, m.old, m.new, set_id=i, text=f"Old values missing in new [{m.old}->{m.new}]",
+                test, m.old, m.new, set_id=i, text=f"Old values missing in new [{m.old}->{m.new}]",
             ))
 
     def _union_checks(self) -> None:
@@ -204,8 +209,7 @@ class GroupComparison:
                 continue
             numeric = (self.old.text_values(m.old) == 0) & (self.new.text_values(m.new) == 0)
             a, b = self.old.strict_sum(m.old), self.new.strict_sum(m.new)
-            i, n = self._set(F.lower(clean(col(m.old))), F.lower(clean(col(m.new))), f"{m.old}->{m.new}")
-            in_sets = (n["so"] > 0) & (n["sn"] > 0) & (n["xo"] + n["xn"] > 0)
+            i, in_sets = self._set(F.lower(clean(col(m.old))), F.lower(clean(col(m.new))), _unequal)
             sums = F.when(numeric, differs(a, b, self.tolerance)).otherwise(F.lit(False))
             self.mapping_checks.append(self._mismatch(
                 sums, m.old, m.new, plain(a), plain(b), text=f"Group sum mismatch [{m.old}->{m.new}]",
@@ -245,8 +249,7 @@ class GroupComparison:
                     })
                     continue
                 self.extra_columns.update(compiled.columns)
-                made = compiled.error(self.group_key)
-                self.def_checks.append(self._check(made.isNotNull(), made, set_id))
+                self.def_checks.append(self._check(compiled.broken, compiled.error(self.group_key), set_id))
 
     def _value_check_set(self, rule: DefRule, action) -> int:
         """Failing new values, and old values that should have been converted; listed, never compared."""
@@ -257,7 +260,7 @@ class GroupComparison:
             waiting = clean(col(old_col))
             if permitted:
                 waiting = F.when(F.upper(waiting) != permitted.upper(), waiting)
-        return self._set(waiting, bad, f"{rule.def_id}:{new_col}")[0]
+        return self._set(waiting, bad, lambda n: n["sn"] > 0)[0]
 
     # ---- frames -----------------------------------------------------------------------------------
 
@@ -277,53 +280,41 @@ class GroupComparison:
             self.value_table = values.value_table(
                 self.old.df, self.new.df, self.key, self.new_key, self.sets, self._fan_out(old)
             )
-            both = both.join(values.set_counts(self.value_table, self.key, [s.set_id for s in self.sets]), self.key, "left")
+            self.counts = values.set_counts(self.value_table, self.key, [s.set_id for s in self.sets])
+            both = both.join(self.counts, self.key, "left")
         n_old, n_new = F.coalesce(self.old.rows(), F.lit(0)), F.coalesce(self.new.rows(), F.lit(0))
         both = both.withColumns({"rows_old": n_old, "rows_new": n_new})
         if self.extra_columns:
             both = both.withColumns(self.extra_columns)
-        compared = (F.col("rows_old") > 0) & (F.col("rows_new") > 0)
-        nothing = F.array().cast(self._check_type(both))
-
-        def found(checks: list[Column]) -> Column:
-            return F.when(compared, F.filter(F.array(*checks), lambda c: c.isNotNull())).otherwise(nothing) if checks else nothing
-
+        in_old, in_new = F.col("rows_old") > 0, F.col("rows_new") > 0
         missing = self._check(
-            F.col("rows_new") == 0,
+            in_old & ~in_new,
             E.error(E.ROW_MISSING, group_key=self.group_key, message=F.concat(
                 F.lit("Group ["), self.group_key, F.lit("] found in source but not in target"))),
             None,
         )
         extra = self._check(
-            (F.col("rows_old") == 0) & F.lit(self.report_extra),
+            in_new & ~in_old,
             E.error(E.ROW_MISSING, group_key=self.group_key, message=F.concat(
                 F.lit("Group ["), self.group_key, F.lit("] found in target but not in source (extra)"))),
             None,
         )
-        return (
-            both
-            .withColumn("mapping_errors", found(self.mapping_checks))
-            .withColumn("def_errors", found(self.def_checks))
-            .withColumn("presence_errors", F.filter(F.array(missing, extra), lambda c: c.isNotNull()))
-            .withColumn(
-                "failed",
-                (F.col("rows_old") > 0)
-                & ((F.col("rows_new") == 0) | (F.size("mapping_errors") + F.size("def_errors") > 0)),
-            )
-            .select(*self.key, "rows_old", "rows_new", "mapping_errors", "def_errors", "presence_errors", "failed")
-        )
-
-    def _check_type(self, frame: DataFrame) -> str:
-        sample = self._check(F.lit(True), E.error(E.ROW_MISSING), None)
-        return frame.select(F.array(sample).alias("x")).schema["x"].dataType.simpleString()
+        compared = in_old & in_new
+        mapped = [(compared & test, made) for test, made in self.mapping_checks]
+        ruled = [(compared & test, made) for test, made in self.def_checks]
+        self.checks = [missing, *([extra] if self.report_extra else []), *mapped, *ruled]
+        return both.withColumns({
+            "mapping_failed": E.any_holds(mapped), "failed": E.any_holds([missing, *mapped, *ruled]),
+        })
+
+    def groups(self) -> DataFrame:
+        """Key, rows on either side and verdict of every group."""
+        return self.joined.select(*self.key, "rows_old", "rows_new", "mapping_failed", "failed")
 
     def errors(self) -> DataFrame:
         """Error rows without rule and table names."""
-        hits = (
-            self.joined
-            .select(*self.key, F.explode(F.concat("presence_errors", "mapping_errors", "def_errors")).alias("c"))
-            .select(*self.key, "c.set_id", "c.n_old", "c.n_new", "c.e.*")
-        )
+        found = self.joined.select(*self.key, E.held(self.checks).alias("found"))
+        hits = found.select(*self.key, F.explode("found").alias("c")).select(*self.key, "c.set_id", "c.n_old", "c.n_new", "c.e.*")
         if self.sets:
             hits = self._with_values(hits)
         found = hits.drop(*self.key, "set_id", "n_old", "n_new")
@@ -333,7 +324,10 @@ class GroupComparison:
 
     def _with_values(self, hits: DataFrame) -> DataFrame:
         on = [*self.key, "set_id"]
-        wanted = hits.filter(F.col("set_id").isNotNull()).select(*on, "n_old", "n_new")
+        # Which sets to list follows from their counts alone, so the joined frame is not computed twice.
+        picks = [(test, F.struct(F.lit(i).alias("set_id"), F.col(f"so_{i}").alias("n_old"), F.col(f"sn_{i}").alias("n_new")))
+                 for i, test in self.set_tests.items()]
+        wanted = self.counts.select(*self.key, F.explode(E.held(picks)).alias("w")).select(*self.key, "w.*")
         lists = values.listed(self.value_table, wanted, self.key)
         full = hits.join(lists, on, "left")
 
@@ -357,7 +351,7 @@ class GroupComparison:
         }).drop("old_values", "new_values")
 
     def _fingerprint_errors(self) -> DataFrame:
-        failing = self.joined.filter(F.size("mapping_errors") > 0).select(*self.key)
+        failing = self.joined.filter("mapping_failed").select(*self.key)
         counts = fingerprint_counts(self.old.df, self.new.df, self.key, self.fingerprint)
         gaps = even_join(fingerprint_diff(counts), failing, self.key, "left_semi")
         message = F.concat(

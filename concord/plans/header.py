@@ -54,27 +54,26 @@ def validate_header(rule: Rule, find: Resolver) -> Outcome:
     )
     pivots = mappings.pivot
     row_id = F.col(KEY)
-    checks = []
+    both = F.col("rows_new").isNotNull() & F.col("rows_old").isNotNull()
+    checks: list[E.Check] = []
     for i, p in enumerate(pivots):
         a, b = F.col(f"p{i}"), F.col(f"w{i}").cast("string")
         name = f"{rule.pivot.pivot_key}='{p.pivot_value}'.{p.value_col}"
-        checks.append(F.when(~tolerant_equal(a, b, rule.tolerance), E.error(
+        checks.append((both & ~tolerant_equal(a, b, rule.tolerance), E.error(
             E.VALUE_MISMATCH, row_id=row_id, old_column=name, new_column=p.new_col, old_value=a, new_value=b,
             message=F.concat(F.lit(f"Pivot mismatch {name}: "), F.coalesce(a, F.lit("null")), F.lit(" <> "),
                              F.coalesce(b, F.lit("null"))),
         )))
-    missing = E.error(E.ROW_MISSING, row_id=row_id, message=F.lit("Identity found in source but not in target"))
-    extra = E.error(E.ROW_MISSING, row_id=row_id, message=F.lit("Identity found in target but not in source"))
-    repeated = F.when(F.col("rows_new") > 1, E.error(
-        E.TRANSFORM_ERROR, row_id=row_id,
-        message=F.concat(F.lit("Identity has "), F.col("rows_new").cast("string"), F.lit(" target rows; one is compared")),
-    ))
-    found = (
-        F.when(F.col("rows_new").isNull(), F.array(missing))
-        .when(F.col("rows_old").isNull(), E.present([extra, repeated]))
-        .otherwise(E.present([repeated, *checks]))
-    )
-    joined = pivot_joined(old, new_table, rule.pivot, pivots).withColumn("errors", found)
+    checks += [
+        (F.col("rows_new").isNull(), E.error(
+            E.ROW_MISSING, row_id=row_id, message=F.lit("Identity found in source but not in target"))),
+        (F.col("rows_old").isNull(), E.error(
+            E.ROW_MISSING, row_id=row_id, message=F.lit("Identity found in target but not in source"))),
+        (F.col("rows_new") > 1, E.error(
+            E.TRANSFORM_ERROR, row_id=row_id,
+            message=F.concat(F.lit("Identity has "), F.col("rows_new").cast("string"), F.lit(" target rows; one is compared")))),
+    ]
+    joined = pivot_joined(old, new_table, rule.pivot, pivots).withColumn("errors", E.held(checks))
     bad = F.size("errors") > 0
     zero = F.lit(0).cast("long")
     accounting = joined.agg(
@@ -82,7 +81,7 @@ def validate_header(rule: Rule, find: Resolver) -> Outcome:
         F.coalesce(F.sum(F.when(~bad, F.col("rows_old"))), zero).alias("pass_rows"),
         F.coalesce(F.sum(F.when(bad, F.col("rows_old"))), zero).alias("fail_rows"),
     )
-    errors = gather(rule, [E.explode_errors(joined, F.col("errors"))], fixed)
+    errors = gather(rule, [E.explode_errors(joined, "errors")], fixed)
     return Outcome(rule, errors, accounting, {"identities": joined})
 
 

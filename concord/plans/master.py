@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord import errors as E
-from concord.functions.numbers import col
+from concord.functions.numbers import col, is_numeric
 from concord.operators.joins import even_join, first_per_key
-from concord.operators.rows import row_checks
+from concord.operators.rows import RowChecks, RowSide
 from concord.operators.schema import fallback_matches
 from concord.plans.common import (
     checked_mappings, duplicate_anchor_error, gather, key_text, noisy_of,
@@ -36,16 +36,20 @@ class RowComparison:
         self.every_right = every
         matched = even_join(self.left, self.right.withColumn("found", F.lit(True)), [KEY], "left")
         row_id = F.col(KEY)
-        checks = row_checks(
-            mappings, noisy, tolerance, lambda n: F.col(old_at[n]), lambda n: F.col(new_at[n]), row_id
+        checks = RowChecks(
+            mappings, noisy, tolerance,
+            RowSide(lambda n: F.col(old_at[n]), lambda n: is_numeric(old, n)),
+            RowSide(lambda n: F.col(new_at[n]), lambda n: is_numeric(new, n)),
+            row_id,
         )
-        missing = F.array(E.error(E.ROW_MISSING, row_id=row_id, message=F.concat(
-            F.lit("Row with key ["), row_id, F.lit("] found in source but not in target"))))
-        found = E.present(checks) if checks else F.filter(missing, lambda e: F.lit(False))
-        self.rows = matched.select(KEY, F.when(F.col("found"), found).otherwise(missing).alias("errors"))
+        missing = E.error(E.ROW_MISSING, row_id=row_id, message=F.concat(
+            F.lit("Row with key ["), row_id, F.lit("] found in source but not in target")))
+        found = F.col("found").isNotNull()
+        held = E.held([(~found, missing), *[(found & test, made) for test, made in checks.checks]])
+        self.rows = matched.withColumns(checks.prepared).select(KEY, held.alias("errors"))
 
     def errors(self) -> DataFrame:
-        return E.explode_errors(self.rows, F.col("errors"))
+        return E.explode_errors(self.rows, "errors")
 
     def extra_keys(self) -> DataFrame:
         """Target keys the source does not have, once each."""

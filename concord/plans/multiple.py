@@ -68,7 +68,7 @@ def validate_multiple(rule: Rule, find: Resolver) -> Outcome:
                 g.row_fingerprint, report_extra=False, blank_as_zero=rule.blank_as_zero,
             )
             fixed += comparison.broken_rules
-            details[f"groups:{source}->{target}"] = comparison.joined
+            details[f"groups:{source}->{target}"] = comparison.groups()
         else:
             comparison = RowComparison(old, new, rule.old_anchor, rule.new_anchor, mappings, noisy, rule.tolerance)
             frames.append(comparison.extra_errors() if rule.extras_wanted() else None)
@@ -121,7 +121,7 @@ def validate_union(rule: Rule, find: Resolver) -> Outcome:
         fixed = fixed + comparison.broken_rules
         frames += [comparison.errors(), duplicate_anchor_error(old, rule.old_anchor, name)]
         accounts.append(comparison.accounting())
-        details[f"groups:{name}"] = comparison.joined
+        details[f"groups:{name}"] = comparison.groups()
     if rule.extras_wanted():
         frames.append(_extra_errors(extra_groups(right, lefts)))
     frames.append(total_mismatch_errors(rule, find))

@@ -53,7 +53,7 @@ def validate_transaction(rule: Rule, find: Resolver) -> Outcome:
 
 
 def _details(comparison: GroupComparison) -> dict[str, DataFrame]:
-    found = {"groups": comparison.joined}
+    found = {"groups": comparison.groups()}
     differences = comparison.differences()
     if differences is not None:
         found["differences"] = differences

@@ -13,8 +13,20 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # Rules with many checks give large methods; beyond 8000 bytes the JVM would interpret them, so Spark
+    # is told to leave whole-stage code for the smaller methods of single operators.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# The settings that may change in a running session.
+RUNTIME_SETTINGS = ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")
+
+
+def apply_settings(spark: SparkSession) -> None:
+    """Bring a session someone else made to the settings the library relies on."""
+    for key in RUNTIME_SETTINGS:
+        spark.conf.set(key, SETTINGS[key])
+
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "concord", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""

@@ -7,8 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.functions.numbers import col
+
 # The encoding tried first, and the one for older Thai files.
-ENCODINGS = ("UTF-8", "x-windows-874")
+FIRST_ENCODING, THAI_ENCODING = "UTF-8", "cp874"
+# Spark reads no Thai code page. Latin-1 keeps every byte, and these two texts map its upper half to Thai.
+_PAIRS = [(chr(b), bytes([b]).decode(THAI_ENCODING, "ignore")) for b in range(0x80, 0x100)]
+LATIN, THAI = ("".join(p[side] for p in _PAIRS if p[1]) for side in (0, 1))
 
 
 def delimited(spark: SparkSession, path: str, encoding: str | None = None, **options) -> DataFrame:
@@ -16,8 +21,12 @@ def delimited(spark: SparkSession, path: str, encoding: str | None = None, **opt
 
     Without an encoding the file is read as UTF-8, and as cp874 if some text is not valid UTF-8.
     """
-    chosen = encoding or (ENCODINGS[1] if _broken_utf8(spark, path) else ENCODINGS[0])
-    df = spark.read.options(header=True, encoding=chosen, escape='"', **options).csv(path)
+    chosen = encoding or (THAI_ENCODING if _broken_utf8(spark, path) else FIRST_ENCODING)
+    thai = chosen.lower() == THAI_ENCODING
+    df = spark.read.options(header=True, encoding="ISO-8859-1" if thai else chosen, escape='"', **options).csv(path)
+    if thai:
+        to_thai = str.maketrans(LATIN, THAI)
+        df = df.select(*[F.translate(col(c), LATIN, THAI).alias(c.translate(to_thai)) for c in df.columns])
     return df.toDF(*[name.strip() for name in df.columns])
 
 
