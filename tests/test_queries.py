@@ -24,5 +24,5 @@ def test_entry_returns_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(__spark_entry__.queries()) == set(QUERIES)
-    assert __spark_entry__.oracle_sql() == ORACLES
+    assert set(__spark_entry__.queries()) >= set(QUERIES)
+    assert __spark_entry__.oracle_sql().items() >= ORACLES.items()
