@@ -1,6 +1,6 @@
 """All queries of this subpackage: importing the modules registers them."""
 
-from concord.llm import decontamination, packing, token_counts  # noqa: F401
+from concord.llm import decontamination, packing, suffix_dedup, token_counts  # noqa: F401
 from concord.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
