@@ -45,11 +45,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: short lineage, safe against lost executors."""
-    path = shared_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """The frame as a table in the shared folder: short lineage, safe against lost executors.
+
+    The shuffle files of the step are released when its table is written.
+    """
+    spark, path = frame.sparkSession, shared_path(frame.sparkSession, name)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def row_keys(id_column: str = "doc_id", text: str = "text") -> list:

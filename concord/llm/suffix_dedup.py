@@ -8,13 +8,14 @@ equality only), and suffixes that move through the passes together are kept as o
 1. The first digit of a suffix is the stretch of `span + 1 - ANCHORS` bytes that begins at its anchor, the place with
    the smallest hash of eight bytes among its first ANCHORS places. Equal strings have equal anchors, and neighbouring
    suffixes mostly share theirs, so there is about one row for each ANCHORS / 2 bytes of text. Digits that occur once
-   end here.
-2. The second digit is all bytes that the suffixes of a run cover. Runs equal in it are repeated as a whole.
-3. Only runs that differ where their first digits agree are taken apart: the third digit is the whole string of each
-   suffix, by a 128-bit hash, and what occurs twice is repeated.
+   end here; runs of suffixes that agree in all the bytes they cover are repeated as a whole.
+2. Other runs are taken apart into blocks of BLOCK suffixes; the second digit is what the suffixes of a block have in
+   common, and again blocks end, or are repeated as a whole.
+3. Blocks that differ where their second digits agree (the borders of repeats) are taken apart; the third digit is the
+   whole string of each suffix, by a 128-bit hash.
 
 Each pass is an aggregation with partial sums and a join, both of which Spark splits for a frequent digit; no group is
-gathered in a task. Texts move twice by their key, for the third pass and for cutting.
+gathered in a task. Texts move by their key for passes 2 and 3 and for cutting.
 
 Texts are UTF-8 bytes; null and empty ones, and those under `span` bytes, keep all. Rows are texts of their own: a
 repeated row is a second place for each of its strings. Extra columns are not read. An empty table gives an empty
@@ -33,10 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import arrow_batches, bounded_batches, query, row_keys, table
+from concord.llm.common import arrow_batches, bounded_batches, query, row_keys, stored, table
 
 SPAN = 400
 ANCHORS = 128
+BLOCK = 8
 PLACE_BITS = np.uint64(31)  # of a joined text; the other 33 bits compare hashes, ties go to the left
 RANGE = (1 << 32) - 1
 
@@ -70,12 +72,17 @@ def runs_of_suffixes(texts: list[bytes], span: int, anchors: int) -> tuple[bytes
     return joined, owner[first], anchor[first], place[first], place[last]
 
 
+def packed(first: np.ndarray, more: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """A run in one number: its first suffix, how many more, and how far the anchor is."""
+    return (first << 32) | (more << 16) | anchor
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def _runs(texts: DataFrame, span: int, anchors: int) -> DataFrame:
-    """k_id, k_text, digit (first), wide (second), lo_hi (first and last suffix) of each run."""
+    """k_id, k_text, digit (first), wide (second), run (see `packed`) of each run."""
     stretch = span + 1 - anchors
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,63 +97,92 @@ def _runs(texts: DataFrame, span: int, anchors: int) -> DataFrame:
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(digit, pa.int64()), pa.array(wide, pa.int64()),
-                 pa.array(((lo - starts[owner]) << 32) | (hi - starts[owner]))], names=["k_id", "k_text", "digit", "wide", "lo_hi"])
+                 pa.array(packed(lo - starts[owner], hi - lo, anchor - lo))], names=["k_id", "k_text", "digit", "wide", "run"])
 
-    return texts.select("k_id", "k_text", "text").mapInArrow(rows, "k_id long, k_text long, digit long, wide long, lo_hi long")
+    return texts.select("k_id", "k_text", "text").mapInArrow(rows, "k_id long, k_text long, digit long, wide long, run long")
 
 
-def _strings(lists: DataFrame, span: int) -> DataFrame:
-    """Third digits: h1, h2 of each suffix of the listed runs, with weight 1 (open) or 2 (a repeated run's)."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = xxhash.xxh3_128_intdigest
-        high, low, ids, keys, places, weights = out = [[] for _ in range(6)]
-
-        def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["h1", "h2", "k_id", "k_text", "place", "weight"])
-            for column in out:
-                column.clear()
-            return made
+def _taken_apart(lists: DataFrame, hashed, names: list[str]) -> DataFrame:
+    """The rows that `hashed(text, run)` gives for the runs listed with each text: hashes, a piece, and the run's weight."""
+    fields = [*names, "k_id", "k_text", "run", "weight"]
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
             for text, k_id, k_text, runs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "k_id", "k_text", "runs"))):
                 view = memoryview(text.encode())
                 for run in runs:
-                    for p in range(run["lo_hi"] >> 32, (run["lo_hi"] & RANGE) + 1):
-                        h = hash_of(view[p:p + span])
-                        high.append(_signed(h >> 64))
-                        low.append(_signed(h & (1 << 64) - 1))
-                        places.append(p)
-                    new = len(places) - len(ids)
-                    ids += [k_id] * new
-                    keys += [k_text] * new
-                    weights += [run["weight"]] * new
-                    if len(places) > 50_000:
-                        yield batch_of()
-        if places:
-            yield batch_of()
-
-    return lists.mapInArrow(rows, "h1 long, h2 long, k_id long, k_text long, place long, weight long")
+                    out += [(*hashes, k_id, k_text, piece, run["weight"]) for hashes, piece in hashed(view, run["run"])]
+                    if len(out) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=fields)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=fields)
+
+    return lists.mapInArrow(rows, ", ".join(f"{f} long" for f in fields))
+
+
+def _blocks(span: int):
+    """Cuts a run into pieces of BLOCK suffixes, counted from the anchor. Hashes: what all suffixes of the block have in
+    common (the same for blocks of other runs at the same place), and what those of the piece cover together."""
+    hash_of = xxhash.xxh3_64_intdigest
+
+    def hashed(view: memoryview, run: int) -> Iterator[tuple[tuple[int, int], int]]:
+        first, more, anchor = run >> 32, (run >> 16) & 0xFFFF, run & 0xFFFF
+        for block in range((anchor - more) // BLOCK, anchor // BLOCK + 1):
+            lo = max(first, first + anchor - BLOCK * block - BLOCK + 1)
+            hi = min(first + more, first + anchor - BLOCK * block)
+            start = first + anchor - BLOCK * block
+            common = hash_of(view[start:start - BLOCK + 1 + span], block + 1000)
+            cover = hash_of(view[lo:hi + span], start - lo)
+            yield (_signed(common), _signed(cover)), (lo << 32) | ((hi - lo) << 16)
+
+    return hashed
+
+
+def _strings(span: int):
+    """Takes a piece apart: the hash of each suffix's string."""
+    hash_of = xxhash.xxh3_128_intdigest
+
+    def hashed(view: memoryview, run: int) -> Iterator[tuple[tuple[int, int], int]]:
+        for place in range(run >> 32, (run >> 32) + ((run >> 16) & 0xFFFF) + 1):
+            h = hash_of(view[place:place + span])
+            yield (_signed(h >> 64), _signed(h & (1 << 64) - 1)), place << 32
+
+    return hashed
+
+
+def _passed(rows: DataFrame, digit: str, wide: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """One pass over rows (digit, wide, k_id, k_text, run, weight): repeated runs, and lists of those to take apart.
+
+    A digit of weight 1 ends. If all rows of a digit are equal in `wide`, they are repeated. Of the others, rows
+    that are equal in `wide` are repeated and one of them goes on with weight 2; rows that stand alone go on.
+    """
+    digits = rows.groupBy(digit).agg(F.sum("weight").alias("n"), F.min(wide).alias("least"), F.max(wide).alias("most"))
+    shared = digits.filter("n > 1").select(digit, (F.col("least") != F.col("most")).alias("mixed"))
+    lasting = stored(rows.join(shared, digit), name)
+    mixed = lasting.filter("mixed")
+    equal = stored(mixed.groupBy(digit, wide).agg(F.sum("weight").alias("n"), F.min(F.struct("k_id", "k_text", "run")).alias("one")), name)
+    whole = lasting.filter(~F.col("mixed")).select("k_id", "k_text", "run").unionByName(
+        mixed.join(equal.filter("n > 1").select(digit, wide), [digit, wide]).select("k_id", "k_text", "run"))
+    apart = equal.select("one.*", F.least("n", F.lit(2)).alias("weight"))
+    lists = apart.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("run", "weight")).alias("runs"))
+    return whole, stored(lists, name)
 
 
 def repeated_spans(texts: DataFrame, span: int = SPAN, anchors: int = ANCHORS) -> DataFrame:
     """k_id, k_text, spans (start << 32 | end, not merged) of texts with repeated strings; `texts` has these keys, doc_id and text."""
-    runs = _runs(texts, span, anchors)
-    digits = runs.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("wide").alias("least"), F.max("wide").alias("most"))
-    shared = digits.filter("n > 1").select("digit", (F.col("least") != F.col("most")).alias("mixed"))
-    lasting = runs.join(shared, "digit")
-    whole = lasting.filter(~F.col("mixed")).select("k_id", "k_text", "lo_hi")
-    mixed = lasting.filter("mixed").select("digit", "wide", "k_id", "k_text", "lo_hi")
-    equal = mixed.groupBy("digit", "wide").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k_id", "k_text", "lo_hi")).alias("one"))
-    repeated = equal.filter("n > 1").select("digit", "wide")
-    whole = whole.unionByName(mixed.join(repeated, ["digit", "wide"]).select("k_id", "k_text", "lo_hi"))
-    # Runs that stand alone, and one of each repeated run, meet in the third pass; `one` is the run itself if n is 1.
-    apart = equal.select("one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))
-    lists = apart.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("lo_hi", "weight")).alias("runs"))
-    strings = _strings(texts.join(lists, ["k_id", "k_text"]), span)
+    runs = _runs(texts, span, anchors).withColumn("weight", F.lit(1))
+    whole, lists = _passed(runs, "digit", "wide", "runs")
+    blocks = _taken_apart(texts.join(lists, ["k_id", "k_text"]), _blocks(span), ["common", "cover"])
+    parts, lists = _passed(stored(blocks, "blocks"), "common", "cover", "blocks")
+    strings = stored(_taken_apart(texts.join(lists, ["k_id", "k_text"]), _strings(span), ["h1", "h2"]), "strings")
     again = strings.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2")
-    single = strings.filter("weight = 1").join(again, ["h1", "h2"]).select("k_id", "k_text", (F.col("place") * (1 << 32) + F.col("place") + span).alias("piece"))
-    pieces = whole.select("k_id", "k_text", (F.col("lo_hi") + span).alias("piece")).unionByName(single)
-    return pieces.groupBy("k_id", "k_text").agg(F.collect_list("piece").alias("spans"))
+    single = strings.join(again, ["h1", "h2"]).select("k_id", "k_text", "run")
+    first = F.shiftright("run", 32)
+    end = first + F.shiftright("run", 16).bitwiseAND(0xFFFF) + span
+    pieces = whole.unionByName(parts).unionByName(single).select("k_id", "k_text", (F.shiftleft(first, 32) + end).alias("piece"))
+    return stored(pieces.groupBy("k_id", "k_text").agg(F.collect_list("piece").alias("spans")), "spans")
 
 
 def keyed(documents: DataFrame) -> DataFrame:
