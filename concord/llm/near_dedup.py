@@ -64,3 +64,124 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, size:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _linked(members: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """A forest of links between members (component, set) of different components: positions of alike sets."""
+    sizes = np.array([len(s) for _, s in members])
+    tokens, at = np.unique(np.concatenate([s for _, s in members]), return_inverse=True)
+    owner = np.repeat(np.arange(len(members)), sizes)
+    often = np.bincount(at, minlength=len(tokens)) > 1  # others are in no intersection
+    column = np.cumsum(often) - 1
+    owner, at = owner[often[at]], column[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(members), len(members)), dtype=np.float32)
+    for start in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(at, [start, start + 4096])
+        part = np.zeros((len(members), 4096), dtype=np.float32)
+        part[owner[lo:hi], at[lo:hi] - start] = 1
+        both += part @ part.T
+    alike = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    up = {c: c for c, _ in members}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(alike, 1))):
+        a, b = root(members[i][0]), root(members[j][0])
+        if a != b:
+            up[b] = a
+            out.append((int(i), int(j)))
+    return out
+
+
+def _across(groups: DataFrame, classes: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between classes of different components within groups (hub, cls, component, main).
+
+    Members of the hub's component (main) and the others are dealt into chunks. Every chunk of others meets every
+    chunk, itself included; chunks of the hub's component do not meet each other. A meeting holds 2 * CHUNK sets at
+    most and gives a forest of links.
+    """
+    sizes = groups.groupBy("hub").agg(F.ceil(F.sum(F.col("main").cast("int")) / F.lit(CHUNK)).alias("mains"),
+                                      F.ceil(F.sum((~F.col("main")).cast("int")) / F.lit(CHUNK)).alias("others")).filter("others > 0")
+    dealt = groups.join(sizes, "hub").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    against = lambda kind, number: F.transform(F.sequence(F.lit(0).cast("long"), F.col(number) - 1), kind)
+    meetings = F.when(F.col("main"), against(lambda j: F.struct(F.lit(True).alias("m"), F.col("chunk").alias("i"), j.alias("j")), "others")).otherwise(
+        F.concat(F.when(F.col("mains") > 0, against(lambda i: F.struct(F.lit(True).alias("m"), i.alias("i"), F.col("chunk").alias("j")), "mains")).otherwise(F.array()),
+                 against(lambda i: F.struct(F.lit(False).alias("m"), F.least(i, "chunk").alias("i"), F.greatest(i, "chunk").alias("j")), "others")))
+    # A chunk of others that meets chunks of the hub's component meets itself there too, where it is the only one.
+    rows = dealt.join(classes.select("cls", "k_id", "k_text"), "cls").select("hub", "cls", "component", "k_id", "k_text", meetings.alias("meetings"))
+    texts = documents.select(*row_keys(), "text").join(rows, ["k_id", "k_text"]).select("hub", "cls", "component", F.explode("meetings").alias("meeting"), "text")
+    together = texts.select("hub", "meeting.*", "cls", "component", "text").repartition("hub", "m", "i", "j").sortWithinPartitions("hub", "m", "i", "j", "cls")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members = None, {}
+
+        def links() -> pa.RecordBatch:
+            names = list(members)
+            found = _linked(list(members.values()), percent) if len({c for c, _ in members.values()}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in found], pa.int64()), pa.array([names[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+        for batch in arrow_batches(batches):
+            for *meeting, cls, component, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hub", "m", "i", "j", "cls", "component", "text"))):
+                if meeting != at:
+                    if members:
+                        yield links()
+                    at, members = meeting, {}
+                members[cls] = (component, shingle_set(text, size))
+        if members:
+            yield links()
+
+    return together.mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
+    """doc_id, k_id, k_text, n_shingles, component_id of each row, over word shingles of `size`."""
+    bounded_batches(documents.sparkSession)
+    rows = stored(features(documents.select("doc_id", *row_keys(), "text"), size), "features")
+    same = rows.filter("bands is not null").groupBy("s1", "s2").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k_id", "k_text")).alias("one"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = stored(same.select(F.monotonically_increasing_id().alias("cls"), "s1", "s2", "one.doc_id", "one.k_id", "one.k_text", "n", "bands"), "classes")
+    banded = classes.select("cls", "n", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "hub")
+    groups = stored(banded.join(buckets, "band").select(F.col("hub.cls").alias("hub"), "cls").distinct(), "groups")  # the hub is a member of its group
+    large = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CHUNK).select(F.col("hub").alias("a"))
+    first = groups.join(large, F.col("hub") == F.col("a")).filter("cls <> hub").select("a", F.col("cls").alias("b"))
+    first = stored(first, "pairs")
+    links = stored(_confirmed(first, classes, documents, size, percent), "links") if not first.isEmpty() else first.limit(0)
+    found = components(links)
+    of_cls = found.select(F.col("node").alias("cls"), "component")
+    of_hub = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    parted = groups.join(of_cls, "cls", "left").join(of_hub, "hub", "left")
+    component, hub_component = F.coalesce("component", "cls"), F.coalesce("hub_component", "hub")
+    parted = parted.select("hub", "cls", component.alias("component"), (component == hub_component).alias("main"))
+    more = stored(_across(stored(parted, "groups"), classes, documents, size, percent), "links")
+    whole = components(links.unionByName(more))
+    named = classes.join(whole.select(F.col("node").alias("cls"), "component"), "cls", "left").select("s1", "s2", "doc_id", F.coalesce("component", "cls").alias("component"))
+    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = stored(named.join(names, "component").select("s1", "s2", "component_id"), "components")
+    out = rows.withColumn("empty", F.col("bands").isNull()).drop("bands").join(labels, ["s1", "s2"], "left")
+    return out.select("doc_id", "k_id", "k_text", "n_shingles", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The documents, in their own columns, that name their component; of repeated rows the first, without null ids.
+
+    Rows with a null id stay if they have no component but themselves.
+    """
+    found = near_duplicates(documents, size, percent).filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.select(F.col("k_id").alias("_id"), F.col("k_text").alias("_text")).distinct()
+    k_id, k_text = row_keys()
+    keyed = documents.withColumns({"_k_id": k_id, "_k_text": k_text})
+    return keyed.join(gone, (F.col("_k_id") == F.col("_id")) & (F.col("_k_text") == F.col("_text")), "left_anti").dropDuplicates(["_k_id", "_k_text"]).select(*documents.columns)
+
+
+@query("op7_near_dedup")
+def op7_near_dedup(spark, folder):
+    found = near_duplicates(table(spark, folder, "documents"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
