@@ -159,7 +159,8 @@ def _passed(rows: DataFrame, digit: str, wide: str, name: str) -> tuple[DataFram
     that are equal in `wide` are repeated and one of them goes on with weight 2; rows that stand alone go on.
     """
     digits = rows.groupBy(digit).agg(F.sum("weight").alias("n"), F.min(wide).alias("least"), F.max(wide).alias("most"))
-    shared = digits.filter("n > 1").select(digit, (F.col("least") != F.col("most")).alias("mixed"))
+    # Stored, so that the join has nothing but shuffles on either side and Spark can split a frequent digit.
+    shared = stored(digits.filter("n > 1").select(digit, (F.col("least") != F.col("most")).alias("mixed")), name)
     lasting = stored(rows.join(shared, digit), name)
     mixed = lasting.filter("mixed")
     equal = stored(mixed.groupBy(digit, wide).agg(F.sum("weight").alias("n"), F.min(F.struct("k_id", "k_text", "run")).alias("one")), name)
@@ -177,7 +178,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, anchors: int = ANCHORS) -
     blocks = _taken_apart(texts.join(lists, ["k_id", "k_text"]), _blocks(span), ["common", "cover"])
     parts, lists = _passed(stored(blocks, "blocks"), "common", "cover", "blocks")
     strings = stored(_taken_apart(texts.join(lists, ["k_id", "k_text"]), _strings(span), ["h1", "h2"]), "strings")
-    again = strings.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2")
+    again = stored(strings.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2"), "strings")
     single = strings.join(again, ["h1", "h2"]).select("k_id", "k_text", "run")
     first = F.shiftright("run", 32)
     end = first + F.shiftright("run", 16).bitwiseAND(0xFFFF) + span
