@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     labels: DataFrame | None = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up")), "labels")
         above = least.select(F.col("a").alias("up"), F.col("up").alias("top"))
         step = stored(least.join(above, "up").select(F.col("a").alias("node"), F.col("top").alias("label")), "labels")
         if labels is None:

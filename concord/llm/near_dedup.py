@@ -43,7 +43,7 @@ def _alike(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of `pairs` (a, b: classes) whose full sets are alike. The texts of all b of an a stream past its set."""
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
+    chunks = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks")), "chunks")
     members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.col("b").alias("cls"), F.lit(1).alias("role"))
     firsts = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("cls"), F.lit(0).alias("role"))
     roles = firsts.unionByName(members).join(classes.select("cls", "k_id", "k_text"), "cls")
@@ -108,7 +108,8 @@ def _across(groups: DataFrame, classes: DataFrame, documents: DataFrame, size: i
     most and gives a forest of links.
     """
     sizes = groups.groupBy("hub").agg(F.ceil(F.sum(F.col("main").cast("int")) / F.lit(CHUNK)).alias("mains"),
-                                      F.ceil(F.sum((~F.col("main")).cast("int")) / F.lit(CHUNK)).alias("others")).filter("others > 0")
+                                      F.ceil(F.sum((~F.col("main")).cast("int")) / F.lit(CHUNK)).alias("others"))
+    sizes = stored(sizes.filter("others > 0"), "sizes")
     dealt = groups.join(sizes, "hub").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
     against = lambda kind, number: F.transform(F.sequence(F.lit(0).cast("long"), F.col(number) - 1), kind)
     meetings = F.when(F.col("main"), against(lambda j: F.struct(F.lit(True).alias("m"), F.col("chunk").alias("i"), j.alias("j")), "others")).otherwise(
@@ -145,12 +146,13 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT)
     bounded_batches(documents.sparkSession)
     rows = stored(features(documents.select("doc_id", *row_keys(), "text"), size), "features")
     same = rows.filter("bands is not null").groupBy("s1", "s2").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k_id", "k_text")).alias("one"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    classes = stored(same.select(F.monotonically_increasing_id().alias("cls"), "s1", "s2", "one.doc_id", "one.k_id", "one.k_text", "n", "bands"), "classes")
-    banded = classes.select("cls", "n", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "hub")
-    groups = stored(banded.join(buckets, "band").select(F.col("hub.cls").alias("hub"), "cls").distinct(), "groups")  # the hub is a member of its group
-    large = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CHUNK).select(F.col("hub").alias("a"))
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k_id", "k_text")).alias("one"), F.first("bands").alias("bands"))
+    classes = stored(same.select(F.monotonically_increasing_id().alias("cls"), "s1", "s2", "one.doc_id", "one.k_id", "one.k_text", "bands"), "classes")
+    banded = classes.select("cls", F.explode("bands").alias("band"))
+    # Tables that a frequent key is joined to are stored first: then Spark can split the key in the join.
+    buckets = stored(banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "hub"), "buckets")
+    groups = stored(banded.join(buckets, "band").select("hub", "cls").distinct(), "groups")  # the hub is a member of its group
+    large = stored(groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CHUNK).select(F.col("hub").alias("a")), "large")
     first = groups.join(large, F.col("hub") == F.col("a")).filter("cls <> hub").select("a", F.col("cls").alias("b"))
     first = stored(first, "pairs")
     links = stored(_confirmed(first, classes, documents, size, percent), "links") if not first.isEmpty() else first.limit(0)
@@ -163,7 +165,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT)
     more = stored(_across(stored(parted, "groups"), classes, documents, size, percent), "links")
     whole = components(links.unionByName(more))
     named = classes.join(whole.select(F.col("node").alias("cls"), "component"), "cls", "left").select("s1", "s2", "doc_id", F.coalesce("component", "cls").alias("component"))
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = stored(named, "components")
+    names = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     labels = stored(named.join(names, "component").select("s1", "s2", "component_id"), "components")
     out = rows.withColumn("empty", F.col("bands").isNull()).drop("bands").join(labels, ["s1", "s2"], "left")
     return out.select("doc_id", "k_id", "k_text", "n_shingles", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
