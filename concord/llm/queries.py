@@ -1,6 +1,6 @@
 """All queries of this subpackage: importing the modules registers them."""
 
-from concord.llm import decontamination, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, warc  # noqa: F401
+from concord.llm import decontamination, embedding_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, warc  # noqa: F401
 from concord.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
