@@ -194,7 +194,18 @@ def embedding_components(embeddings: DataFrame, least: float = 0.95) -> DataFram
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
 
 
-@query("op2_embedding_dedup")
+ORACLE = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from reach group by a),
+n as (select a as vec_id, count(*) as n_links from link group by a)
+select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept from c left join n using (vec_id)
+"""
+
+
+@query("op2_embedding_dedup", ORACLE)
 def op2_embedding_dedup(spark, folder):
     found = embedding_components(table(spark, folder, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))

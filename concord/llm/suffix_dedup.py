@@ -238,10 +238,11 @@ def without_repeats(documents: DataFrame, span: int = SPAN) -> DataFrame:
     k_id, k_text = row_keys()
     spans = repeated_spans(keyed(documents), span).select(F.col("k_id").alias("_id"), F.col("k_text").alias("_text"), "spans")
     rows = documents.withColumns({"_k_id": k_id, "_k_text": k_text}).alias("d").join(spans.alias("s"), (F.col("_k_id") == F.col("_id")) & (F.col("_k_text") == F.col("_text")), "left")
-    changed = {"text": F.when(F.col("s.spans").isNull(), F.col("d.text")).otherwise(_cut_text())}
+    text = F.when(F.col("s.spans").isNull(), F.col("d.text")).otherwise(_cut_text())
+    out = rows.select(*[(text if c == "text" else F.col(f"d.`{c}`")).alias(c) for c in documents.columns], F.col("s.spans").isNotNull().alias("_cut"))
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("s.spans").isNull(), F.col("d.n_chars"))
-    return rows.select(*[changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in documents.columns])
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*documents.columns)
 
 
 def repeats_report(documents: DataFrame, span: int = SPAN) -> DataFrame:
