@@ -226,7 +226,7 @@ def _cut_text() -> Column:
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else kept_bytes(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(text, spans)])
 
-    return cut("text", "spans")
+    return cut("d.text", "s.spans")
 
 
 def without_repeats(documents: DataFrame, span: int = SPAN) -> DataFrame:
