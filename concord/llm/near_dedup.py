@@ -30,7 +30,7 @@ from concord.llm.common import arrow_batches, bounded_batches, query, row_keys,
 from concord.llm.components import components
 from concord.llm.minhash import features, shingle_set
 
-CHUNK = 256
+CHUNK = 64
 PERCENT = 80
 
 
