@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,6 @@ from concord.functions.formulas import Likeness, row_formula
 from concord.functions.numbers import formula_of, normal_number_text, to_number, tolerant_equal
 from concord.operators import audit, field_match, profile, report, schema
 from concord.operators.audit import PairRule, RowRule
-from concord.plans.master import capped
 from concord.session import checkpoint_dir
 from concord.sources import files, sinks
 from concord.sources.tables import repeatable_sample
@@ -431,12 +429,6 @@ def fn_mean_tolerance(spark, folder):
 def scratch(spark, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
     base = checkpoint_dir(spark)
-    if base.startswith(("/", "file:")):
-        root = base.replace("file:", "", 1)
-        os.makedirs(root, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=root)
-    import uuid
-
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -508,14 +500,3 @@ def sink_document(spark, folder):
     return back.select(
         "target_table", F.col("mapping.total_columns").alias("total_columns"), F.size("validation.defect_report").cast("long").alias("n_rules"),
         F.size(F.filter("mapping.columns", lambda c: c["status"] == "MANUAL_CHECK")).cast("long").alias("manual"))
-
-
-@query("error_cap", f2b("""
-select sum(n) as n_rows, sum(c) as n_caps from (
-  select case when n > 100 then 101 else n end as n, case when n > 100 then 1 else 0 end as c from (select count(*) as n from e where error_type = 'VALUE_MISMATCH') t) x
-""".replace("sum(n)", "cast(sum(n) as bigint)").replace("sum(c)", "cast(sum(c) as bigint)"), **BREAKDOWN_CTES))
-def error_cap(spark, folder):
-    """The first 100 mismatches and one row that counts the rest."""
-    found = long(spark, folder, FULL).errors.filter("error_type = 'VALUE_MISMATCH'")
-    return capped(found, F.col("group_key"), 100).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("message").startswith("Capped")).alias("n_caps"))

@@ -310,8 +310,8 @@ def fingerprint_entropy(spark, folder):
 @query("top_values", with_tables("""
 select column_name, place, value, n, round(n / t, 6) as share from (
   select column_name, value, count(*) as n, cast(row_number() over (partition by column_name order by count(*) desc, value) as integer) as place,
-         sum(count(*)) over (partition by column_name) as t, count(*) over (partition by column_name) as c
-  from long where value is not null group by column_name, value) x where c <= 50 and place <= 15
+         sum(count(*)) over (partition by column_name) as t
+  from long where value is not null group by column_name, value) x where place <= 15
 """, f7=X.F7, long=long_sql("f7", F7_COLUMNS)))
 def top_values(spark, folder):
     return rounded(profile.top_values(profile.value_counts(X.derive(spark, folder, X.F7))))

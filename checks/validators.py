@@ -93,13 +93,19 @@ FILTERED_SQL = " union all ".join(
 )
 
 
+def counted(number: str, only: str) -> str:
+    return f"concat(cast({number} as varchar), ' distinct values, ', cast({only} as varchar), ' only here')"
+
+
 def set_lists(old_value: str, new_value: str, old_column: str, new_column: str, test: str) -> str:
     """Distinct values per group as sorted lists, and the groups where the test on them holds."""
     return f2b(
         f"select a.k as group_key, '{old_column}' as old_column, '{new_column}' as new_column, "
-        f"a.l as old_value, b.l as new_value from a join b using (k) where {test}",
-        a=f"select k, string_agg(v, '|' order by v) as l from (select distinct sysref as k, {old_value} as v from old) t group by k",
-        b=f"select k, string_agg(v, '|' order by v) as l from (select distinct sysrefno as k, {new_value} as v from new) t group by k",
+        f"{counted('a.m', 'a.only_here')} as old_value, {counted('b.m', 'b.only_here')} as new_value from a join b using (k) where {test}",
+        v="select coalesce(o.k, n.k) as k, o.v is not null as in_old, n.v is not null as in_new from "
+          f"(select distinct sysref as k, {old_value} as v from old) o full outer join (select distinct sysrefno as k, {new_value} as v from new) n on o.k = n.k and o.v = n.v",
+        a="select k, count(*) filter (in_old) as m, count(*) filter (in_old and not in_new) as only_here, max(l) as l from v join (" f"select k, string_agg(v, '|' order by v) as l from (select distinct sysref as k, {old_value} as v from old) t group by k) q using (k) group by k",
+        b="select k, count(*) filter (in_new) as m, count(*) filter (in_new and not in_old) as only_here, max(l) as l from v join (" f"select k, string_agg(v, '|' order by v) as l from (select distinct sysrefno as k, {new_value} as v from new) t group by k) q using (k) group by k",
     )
 
 
@@ -203,7 +209,7 @@ select coalesce(a.k, b.k) as group_key, coalesce(a.v, b.v) as value,
        case when b.k is null then 'old_only' else 'new_only' end as side
 from (select distinct sysref as k, accountno as v from old) a
 full outer join (select distinct sysrefno as k, accountno as v from new) b on a.k = b.k and a.v = b.v
-where a.k is null or b.k is null
+where (a.k is null and b.k in (select sysref from old)) or (b.k is null and a.k in (select sysrefno from new))
 """))
 def txn_value_differences(spark, folder):
     """Every differing value, one row each, however large the group."""
@@ -211,6 +217,8 @@ def txn_value_differences(spark, folder):
     return outcome.details["differences"].select(F.col("group_key_1").alias("group_key"), "value", "side")
 
 
+
+
 @query("txn_missing_groups", f2("select sysref as group_key from o where sysref not in (select sysref from new)"))
 def txn_missing_groups(spark, folder):
     return wide(spark, folder, wide_rule(FILTERED)).errors.filter("error_type = 'ROW_MISSING'").select("group_key")
@@ -359,7 +367,7 @@ TELLER_RULE = DefRule("vali001", (Action(
 
 @query("def_field_value", f2b(
     """
-select k as group_key, 'vali001' as def_id, coalesce(w.l, '') as old_value, coalesce(b.l, '') as new_value
+select k as group_key, 'vali001' as def_id, cast(coalesce(w.l, 0) as varchar) as old_value, cast(coalesce(b.l, 0) as varchar) as new_value
 from counts left join w using (k) left join b using (k) where bad > allowed
 """,
     counts=rf"""
@@ -367,8 +375,8 @@ select n.k, n.bad, o.allowed from
   (select sysrefno as k, count(case when regexp_matches(tellerid, '{TELLER_PATTERN}') then 1 end) as bad from new group by sysrefno) n
   join (select sysref as k, count(case when tellerid = 'CONV' then 1 end) as allowed from old group by sysref) o on n.k = o.k
 """,
-    w="select k, string_agg(v, '|' order by v) as l from (select distinct sysref as k, tellerid as v from old where tellerid <> 'CONV') t group by k",
-    b=rf"select k, string_agg(v, '|' order by v) as l from (select distinct sysrefno as k, tellerid as v from new where regexp_matches(tellerid, '{TELLER_PATTERN}')) t group by k",
+    w="select k, count(v) as l from (select distinct sysref as k, tellerid as v from old where tellerid <> 'CONV') t group by k",
+    b=rf"select k, count(v) as l from (select distinct sysrefno as k, tellerid as v from new where regexp_matches(tellerid, '{TELLER_PATTERN}')) t group by k",
 ))
 def def_field_value(spark, folder):
     found = long(spark, folder, long_rule(Mappings(), (TELLER_RULE,))).errors
@@ -480,7 +488,7 @@ def f3(body: str, **more: str) -> str:
     return with_tables(
         body, old=X.F2_OLD, new=X.F3_NEW, map=X.F3_MAP,
         g="""select sysref, accountno, newinvaccountno as lv, count(*) as n, sum(cast(transactionamount as decimal(28,8))) as s,
-                    string_agg(distinct affectcode, '|' order by affectcode) as codes
+                    string_agg(distinct affectcode, '|' order by affectcode) as codes, list(distinct affectcode) as vs
              from old left join map on accountno = invaccountno group by sysref, accountno, newinvaccountno""",
         m="""select g.*, new.amount, new.affectcode as code, new.sysrefno as found from g
              left join new on g.sysref = new.sysrefno and g.lv = new.lvaccountno""",
@@ -495,7 +503,9 @@ def composite(spark, folder) -> Outcome:
 select concat(sysref, '::', lv) as group_key, 'transactionamount' as old_column, 'amount' as new_column,
        {plain('s')} as old_value, {plain('amount')} as new_value from m where abs(s - amount) > 0.01
 union all
-select concat(sysref, '::', lv), 'affectcode', 'affectcode', codes, code from m where found is not null and codes <> code
+select concat(sysref, '::', lv), 'affectcode', 'affectcode',
+       {counted('len(vs)', 'len(list_filter(vs, lambda x: x <> code))')}, {counted('1', 'case when list_contains(vs, code) then 0 else 1 end')}
+from m where found is not null and codes <> code
 """))
 def composite_txn(spark, folder):
     return mismatches(composite(spark, folder))
@@ -542,14 +552,16 @@ MULTI = Rule(
     grouping=PART_KEYS, tolerance=0.01, tolerance_set=True, skip_aggregate_sum_check=True,
 )
 MULTI_SQL = f"""
-select a.k as group_key, 'accountno' as old_column, 'accountno' as new_column, a.l as old_value, b.l as new_value
+select a.k as group_key, 'accountno' as old_column, 'accountno' as new_column,
+       {counted('len(a.v)', 'len(list_filter(a.v, lambda x: not list_contains(b.v, x)))')} as old_value,
+       {counted('len(b.v)', 'len(list_filter(b.v, lambda x: not list_contains(a.v, x)))')} as new_value
 from a join b using (k) where a.l <> b.l
 union all
 select a.k, 'transactionamount', 'transactionamount', {plain('a.s')}, {plain('b.s')} from a join b using (k) where abs(a.s - b.s) > 0.01
 """
 MULTI_CTES = {
-    "a": "select sysref as k, string_agg(distinct accountno, '|' order by accountno) as l, sum(cast(transactionamount as decimal(28,8))) as s, count(*) as n from old group by sysref",
-    "b": "select sysrefno as k, string_agg(distinct accountno, '|' order by accountno) as l, sum(transactionamount) as s from new group by sysrefno",
+    "a": "select sysref as k, string_agg(distinct accountno, '|' order by accountno) as l, list(distinct accountno) as v, sum(cast(transactionamount as decimal(28,8))) as s, count(*) as n from old group by sysref",
+    "b": "select sysrefno as k, string_agg(distinct accountno, '|' order by accountno) as l, list(distinct accountno) as v, sum(transactionamount) as s from new group by sysrefno",
 }
 
 
@@ -621,8 +633,8 @@ UNION = Rule(
     grouping=KEYS, tolerance=0.01, tolerance_set=True, skip_aggregate_sum_check=True,
 )
 UNION_CTES = {
-    "a": "select sysref as k, lower(string_agg(distinct affectcode, '|' order by affectcode)) as l, sum(cast(transactionamount as decimal(28,8))) as s, count(*) as n from old group by sysref",
-    "b": "select sysrefno as k, lower(string_agg(distinct affectcode, '|' order by affectcode)) as l, sum(transactionamount) as s from new group by sysrefno",
+    "a": "select sysref as k, lower(string_agg(distinct affectcode, '|' order by affectcode)) as l, list(distinct lower(affectcode)) as v, sum(cast(transactionamount as decimal(28,8))) as s, count(*) as n from old group by sysref",
+    "b": "select sysrefno as k, lower(string_agg(distinct affectcode, '|' order by affectcode)) as l, list(distinct lower(affectcode)) as v, sum(transactionamount) as s from new group by sysrefno",
 }
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 # Exact decimals: sums do not depend on the order in which tasks finish.
 NUMBER = "decimal(28,8)"
+# For equality of texts: more digits after the point. Texts of more than EXACT_DIGITS digits may be binary fractions
+# written out, whose last digits mean nothing; they are compared at the scale of sums.
+WIDE_NUMBER, EXACT_DIGITS = "decimal(38,18)", 15
 NUMERIC_TYPES = (T.NumericType,)
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -51,10 +54,16 @@ def plain(number: Column) -> Column:
     return F.when(number == 0, F.lit("0")).otherwise(F.rtrim(F.rtrim(number.cast("string"), F.lit("0")), F.lit(".")))
 
 
+def exact_number(text: Column) -> Column:
+    """Decimal of a text shaped like a number, with all its digits where there are at most EXACT_DIGITS."""
+    short = F.length(F.regexp_replace(text, "[^0-9]", "")) <= EXACT_DIGITS
+    return F.when(short, text.try_cast(WIDE_NUMBER)).otherwise(text.try_cast(NUMBER).cast(WIDE_NUMBER))
+
+
 def normal_number_text(value: Column) -> Column:
     """Trimmed text; '.8', '0.8' and '0.80' become the same value. Blank becomes null."""
     text = F.nullif(F.trim(value.cast("string")), F.lit(""))
-    return F.when(text.rlike(NUMBER_SHAPE), F.coalesce(plain(text.try_cast(NUMBER)), text)).otherwise(text)
+    return F.when(text.rlike(NUMBER_SHAPE), F.coalesce(plain(exact_number(text)), text)).otherwise(text)
 
 
 def number_text_of(df: DataFrame, name: str) -> Column:
@@ -81,7 +90,7 @@ def equal_texts(a: Column, b: Column, tolerance: float) -> Column:
         .when(a.isNull() | b.isNull(), F.lit(False))
         .when(
             a.rlike(NUMBER_SHAPE) & b.rlike(NUMBER_SHAPE),
-            F.coalesce(~differs(a.try_cast(NUMBER), b.try_cast(NUMBER), tolerance), F.lit(False)),
+            F.coalesce(~(F.abs(exact_number(a) - exact_number(b)) > F.lit(Decimal(str(tolerance)))), F.lit(False)),
         )
         .otherwise(F.lower(a) == F.lower(b))
     )

@@ -53,7 +53,8 @@ def even_join(
     hot = hot if hot is not None else hot_keys(left, on, hot_rows)
     flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    salt = F.when(F.col("_hot") | unmatched, F.floor(F.rand(17) * salts)).otherwise(F.lit(0)).cast("int")
+    # From the row itself, so that a stage that runs again deals its rows as before.
+    salt = F.when(F.col("_hot") | unmatched, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = left.join(flag, list(on), "left").withColumn("_salt", salt).drop("_hot")
     copied = right.join(flag, list(on), "left").withColumn("_salt", F.explode(copies)).drop("_hot")

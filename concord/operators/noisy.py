@@ -10,7 +10,6 @@ from concord.functions.numbers import col
 # Fixed values.
 ZERO_VALUES = ["0", ""]
 BOOLEAN_VALUES = ["0", "1", "true", "false"]
-PROBE_ROWS = 10_000
 
 
 def _text(name: str) -> Column:
@@ -54,15 +53,9 @@ def noisy_columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 def noisy_names(df: DataFrame, names: list[str]) -> set[str]:
     """Names of the noisy columns, for planning.
 
-    One value outside the noisy sets proves a column normal, so a few rows settle most columns; only
-    those still in doubt are counted over the whole table.
+    One plain aggregate over the whole table: partial counts per task, one row in the end.
     """
     names = [n for n in dict.fromkeys(names) if n in df.columns]
     if not names:
         return set()
-    probe = noisy_columns(df.select(*[col(n) for n in names]).limit(PROBE_ROWS), names)
-    doubtful = [r.column_name for r in probe.filter("kind <> 'NORMAL'").select("column_name").collect()]
-    if not doubtful:
-        return set()
-    whole = noisy_columns(df, doubtful)
-    return {r.column_name for r in whole.filter("kind <> 'NORMAL'").select("column_name").collect()}
+    return {r.column_name for r in noisy_columns(df, names).filter("kind <> 'NORMAL'").select("column_name").collect()}

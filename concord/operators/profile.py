@@ -55,7 +55,7 @@ PATTERNS = [
 ]
 FREE_TEXT_LENGTH, NARRATIVE_WORDS = 40, 5
 MAGNITUDES = [(1, "fractional"), (100, "tens"), (10_000, "hundreds-thousands"), (1_000_000, "tens-thousands-millions")]
-TOP_VALUES, TOP_IF_AT_MOST = 15, 50
+TOP_VALUES = 15
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -347,11 +347,11 @@ def fingerprints(counts: DataFrame) -> DataFrame:
     )
 
 
-def top_values(counts: DataFrame, most: int = TOP_VALUES, at_most: int = TOP_IF_AT_MOST) -> DataFrame:
-    """The most frequent values of columns with few distinct values: column_name, place, value, n, share."""
+def top_values(counts: DataFrame, most: int = TOP_VALUES) -> DataFrame:
+    """The `most` most frequent values of each column: column_name, place, value, n, share."""
     held = counts.filter(F.col("value").isNotNull())
-    sizes = held.groupBy("column_name").agg(F.count(F.lit(1)).alias("cardinality"), F.sum("n").alias("n_values"))
-    few = held.join(F.broadcast(sizes.filter(F.col("cardinality") <= at_most)), ["column_name"])
+    sizes = held.groupBy("column_name").agg(F.sum("n").alias("n_values"))
+    few = held.join(F.broadcast(sizes), ["column_name"])  # a row per column
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value"))
     return (
         few.withColumn("place", place).filter(F.col("place") <= most)

@@ -9,8 +9,7 @@ from concord import errors as E
 from concord.plans.common import union_all
 from concord.plans.outcome import Outcome
 
-# Length of a description, and the report order of mapping statuses.
-DESCRIPTION_LENGTH = 80
+# The report order of mapping statuses.
 STATUS_RANK = {
     "VERIFIED (Schema Mapping)": 0, "VERIFIED": 1, "VERIFIED (Data Match)": 2, "VERIFIED (Set Match)": 3,
     "MANUAL_CHECK": 6, "SCHEMA_MATCH_ONLY": 7, "ZERO_COLUMN": 8, "NO_MATCH": 9, "DATA_LOST": 10, "EMPTY_COLUMN": 11,
@@ -19,7 +18,7 @@ STATUS_RANK = {
 
 def _description(message: Column) -> Column:
     line = F.trim(F.substring_index(F.trim(message), "\n", 1))
-    return F.left(F.trim(F.regexp_replace(line, r"\.\s*$", "")), F.lit(DESCRIPTION_LENGTH))
+    return F.trim(F.regexp_replace(line, r"\.\s*$", ""))
 
 
 def breakdown(errors: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.functions.numbers import NUMBER, col, is_numeric, number_of
 from concord.rules import RowFilter
@@ -61,6 +62,18 @@ class Side:
             return total
         return F.when(self._ask(f"bad|{label}", F.count_if(bad)) == 0, total)
 
+    def unsummable(self, column: str, row_filter: RowFilter | None = None) -> Column:
+        """Whether a typed number of the group has no place in the sum: not finite, or beyond its digits.
+
+        Text that is no number is another matter: it voids the sum, and the comparison is skipped.
+        """
+        if not isinstance(self.df.schema[column].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            return F.lit(False)
+        bad = col(column).isNotNull() & number_of(self.df, column).isNull()
+        if row_filter:
+            bad = bad & row_test(row_filter)
+        return F.coalesce(self._ask(f"bad|{column}|{row_filter}", F.count_if(bad)) > 0, F.lit(False))
+
     def filter_hits(self, row_filter: RowFilter) -> Column:
         return self._ask(f"hits|{row_filter}", F.count_if(row_test(row_filter)))
 

@@ -12,10 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# An error lists the values of its two sides up to this many each; beyond it gives their numbers,
-# and `differences` returns every one of the values.
-LISTED_VALUES = 1000
-
 
 @dataclass
 class ValueSet:
@@ -71,26 +67,12 @@ def set_counts(table: DataFrame, key: Sequence[str], set_ids: Sequence[int]) ->
     return table.groupBy(*key).agg(*counts)
 
 
-def listed(table: DataFrame, wanted: DataFrame, key: Sequence[str], limit: int = LISTED_VALUES) -> DataFrame:
-    """key, set_id, old_values, new_values for the wanted (key, set_id, n_old, n_new) rows.
+def differences(table: DataFrame, failing: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Every value that tells the sides of a failing set apart, one row each: key, mapping, value, side.
 
-    Only groups of at most `limit` values per side are collected. The rows of larger groups meet no partner
-    in the join, whose two inputs are plain shuffles that adaptive execution splits where they are skewed.
+    `failing` has key, set_id, mapping and `wanted`: the sides to give. Both inputs of the join are plain shuffles,
+    which adaptive execution splits where a group is large.
     """
-    on = [*key, "set_id"]
-    short = wanted.filter((F.col("n_old") <= limit) & (F.col("n_new") <= limit)).select(*on)
-
-    def values(side: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col(side), F.col("value"))))
-
-    return table.join(short, on).groupBy(*on).agg(
-        values("in_old").alias("old_values"), values("in_new").alias("new_values")
-    )
-
-
-def differences(table: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Every value only one side holds, one row each."""
-    return (
-        table.filter(F.col("in_old") != F.col("in_new"))
-        .select(*key, "set_id", "value", F.when(F.col("in_old"), "old_only").otherwise("new_only").alias("side"))
-    )
+    side = F.when(F.col("in_old") & F.col("in_new"), "both").when(F.col("in_old"), "old_only").otherwise("new_only")
+    found = table.join(failing, [*key, "set_id"]).withColumn("side", side)
+    return found.filter(F.array_contains("wanted", F.col("side"))).select(*key, "mapping", "value", "side")

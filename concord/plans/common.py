@@ -57,6 +57,11 @@ def duplicate_anchor_error(df: DataFrame, anchor: str | None, table: str) -> Dat
     return repeated.filter(F.col("first").isNotNull()).select(E.error(E.TRANSFORM_ERROR, message=message).alias("e")).select("e.*")
 
 
+def filter_of(rule: Rule, source: str) -> str | None:
+    """The filter belongs to the first source; in a UNION, whose sources are alike, to all."""
+    return rule.source_filter if rule.table_type == "UNION" or source == rule.sources()[0] else None
+
+
 def total_mismatch_errors(rule: Rule, find: Resolver) -> DataFrame | None:
     """Cross-check of an amount per code over all sources; None where the rule gives nothing to check."""
     from concord.operators.keys import sums_by_code
@@ -68,8 +73,13 @@ def total_mismatch_errors(rule: Rule, find: Resolver) -> DataFrame | None:
     )
     if pair is None or rule.grouping is None or rule.skip_aggregate_sum_check:
         return None
-    olds = [source_rows(find(s), rule.source_filter if i == 0 else None) for i, s in enumerate(rule.sources())]
+    olds = [source_rows(find(s), filter_of(rule, s)) for s in rule.sources()]
     new = find(rule.targets()[0])
+    if rule.source_filter and rule.grouping.new_key in new.columns:
+        # Other rules own the target rows of groups that the filter leaves out.
+        g = rule.grouping
+        keys = [o.select(key_text(g.source_key_aliases.get(s, g.old_key), g.transform_key).alias("_group")) for s, o in zip(rule.sources(), olds)]
+        new = new.withColumn("_group", key_text(g.new_key, g.transform_key)).join(union_all(keys).distinct(), ["_group"], "left_semi")
     code_names = ["affectcode", "affect_code", "afcode", "affcode", "affect_cd"]
     code = next((c for c in code_names if c in olds[0].columns and c in new.columns), None)
     if code is None or pair.new not in new.columns or any(pair.old not in o.columns for o in olds):
@@ -89,10 +99,10 @@ def total_mismatch_errors(rule: Rule, find: Resolver) -> DataFrame | None:
     ).alias("e")).select("e.*")
 
 
-def gather(rule: Rule, frames: list[DataFrame | None], fixed: list[dict]) -> DataFrame:
-    """All errors of a rule in one frame, labelled."""
-    spark = next(f for f in frames if f is not None).sparkSession
+def gather(rule: Rule, frames: list[DataFrame | None], fixed: list[dict], any_table: DataFrame | None = None) -> DataFrame:
+    """All errors of a rule in one frame, labelled; `any_table` gives the session where there are no frames."""
+    spark = next(f for f in (*frames, any_table) if f is not None).sparkSession
     found = [E.labelled(f, rule.name, rule.source, rule.target) for f in frames if f is not None]
-    if fixed:
+    if fixed or not found:
         found.append(E.fixed_errors(spark, fixed, rule.name, rule.source, rule.target))
     return union_all(found)

@@ -9,7 +9,7 @@ from concord import errors as E
 from concord.functions.numbers import col
 from concord.functions.text import clean, transform
 from concord.plans.common import checked_mappings, gather, noisy_of
-from concord.plans.outcome import Outcome
+from concord.plans.outcome import Outcome, nothing_checked
 from concord.rules import Rule
 from concord.sources.tables import Resolver, source_rows
 
@@ -33,8 +33,10 @@ def validate_split(rule: Rule, find: Resolver) -> Outcome:
     mappings, fixed = checked_mappings(old_table, new_table, rule.mappings, rule.source, rule.target)
     noisy = noisy_of(old, mappings)
     compared = [m for m in mappings.exact if m.old not in noisy]
+    if rule.defs:
+        fixed = [*fixed, {"error_type": E.TRANSFORM_ERROR, "message": "Business rules need groups; convert the rule to TRANSACTION to evaluate them"}]
     if not compared:
-        raise ValueError(f"{rule.name}: SPLIT has no exact mapping left to compare")
+        return Outcome(rule, gather(rule, [], fixed, new_table), nothing_checked(new_table))
     counts = value_counts_both(old, new_table, [
         (transform(col(m.old), m.transform), clean(col(m.new))) for m in compared
     ])
@@ -45,7 +47,7 @@ def validate_split(rule: Rule, find: Resolver) -> Outcome:
             E.ROW_MISSING, old_column=m.old, new_column=m.new, old_value=F.col("value"),
             message=F.concat(F.lit("Value ["), F.col("value"), F.lit("] of "), F.col("n_old").cast("string"),
                              F.lit(f" source row(s) not found in {m.new}")),
-        )).when(F.col("n_old") == 0, E.error(
+        )).when((F.col("n_old") == 0) & F.lit(rule.extras_wanted()), E.error(
             E.ROW_MISSING, old_column=m.old, new_column=m.new, new_value=F.col("value"),
             message=F.concat(F.lit("Value ["), F.col("value"), F.lit(f"] not found in source {m.old} (extra in target)")),
         ))

@@ -59,7 +59,8 @@ class GroupComparison:
         self.anchors = (old_anchor, new_anchor)
         self.group_key = F.concat_ws("::", *[F.col(k) for k in self.shown_key()])
         self.sets: list[values.ValueSet] = []
-        self.set_tests: dict[int, Column] = {}
+        # Per set: when its values tell the sides apart, the mapping's name, and the sides to give.
+        self.set_failures: dict[int, tuple[Column, str, list[str]]] = {}
         self.mapping_checks: list[E.Check] = []
         self.def_checks: list[E.Check] = []
         self.extra_columns: dict[str, Column] = {}
@@ -89,7 +90,9 @@ class GroupComparison:
         return any(c in self.noisy for c in columns)
 
     def _mismatch(self, test: Column, old_column, new_column, old_value=None, new_value=None, set_id=None, text=None) -> E.Check:
-        """Check struct: the error plus the set whose values complete it."""
+        """Test and error. For a set of values the error gives their numbers; `differences` gives the values."""
+        if set_id is not None:
+            old_value, new_value = self._counted(set_id, "o"), self._counted(set_id, "n")
         what = text or f"Value mismatch [{old_column}->{new_column}]"
         message = F.lit(what) if old_value is None else F.concat(
             F.lit(what + ": "), F.coalesce(old_value, F.lit("null")), F.lit(" <> "), F.coalesce(new_value, F.lit("null"))
@@ -98,22 +101,23 @@ class GroupComparison:
             E.VALUE_MISMATCH, group_key=self.group_key, old_column=old_column, new_column=new_column,
             old_value=old_value, new_value=new_value, message=message,
         )
-        return self._check(test, made, set_id)
-
-    def _check(self, test: Column, made: Column, set_id: int | None) -> E.Check:
-        n_old = F.lit(None) if set_id is None else F.col(f"so_{set_id}")
-        n_new = F.lit(None) if set_id is None else F.col(f"sn_{set_id}")
-        return test, F.struct(
-            F.lit(set_id).cast("int").alias("set_id"), n_old.cast("long").alias("n_old"),
-            n_new.cast("long").alias("n_new"), made.alias("e"),
-        )
+        return test, made
+
+    @staticmethod
+    def _counted(set_id: int, side: str) -> Column:
+        all_, only = (F.coalesce(F.col(f"{n}{side}_{set_id}"), F.lit(0)).cast("string") for n in "sx")
+        return F.concat(all_, F.lit(" distinct values, "), only, F.lit(" only here"))
 
-    def _set(self, old_value: Column | None, new_value: Column | None, test: Callable[[dict[str, Column]], Column]) -> tuple[int, Column]:
+    def _set(
+        self, old_value: Column | None, new_value: Column | None, test: Callable[[dict[str, Column]], Column], name: str,
+        sides: tuple[str, ...] = ("old_only", "new_only"),
+    ) -> tuple[int, Column]:
         """Add a pair of value sets; `test` says from their four counts whether they are worth an error."""
         i = len(self.sets)
         self.sets.append(values.ValueSet(i, old_value, new_value))
-        self.set_tests[i] = test({n: F.coalesce(F.col(f"{n}_{i}"), F.lit(0)) for n in ("so", "sn", "xo", "xn")})
-        return i, self.set_tests[i]
+        fails = test({n: F.coalesce(F.col(f"{n}_{i}"), F.lit(0)) for n in ("so", "sn", "xo", "xn")})
+        self.set_failures[i] = (fails, name, list(sides))
+        return i, fails
 
     def _value(self, side: Side, name: str) -> Column:
         text = number_text_of(side.df, name)
@@ -123,7 +127,7 @@ class GroupComparison:
         for m in self.mappings.exact:
             if self._skip(m.old):
                 continue
-            i, test = self._set(self._value(self.old, m.old), self._value(self.new, m.new), _unequal)
+            i, test = self._set(self._value(self.old, m.old), self._value(self.new, m.new), _unequal, f"{m.old}->{m.new}")
             self.mapping_checks.append(self._mismatch(test, m.old, m.new, set_id=i))
 
     def _split(self) -> None:
@@ -132,8 +136,9 @@ class GroupComparison:
                 continue
             total = self.old.strict_sum(m.old)
             computed = formula_of(m.formula, [self.new.strict_sum(c) for c in m.new_cols])
+            odd = reduce(lambda a, b: a | b, [self.old.unsummable(m.old), *[self.new.unsummable(c) for c in m.new_cols]])
             self.mapping_checks.append(self._mismatch(
-                differs(total, computed, self.tolerance), m.old, "+".join(m.new_cols), plain(total), plain(computed),
+                odd | differs(total, computed, self.tolerance), m.old, "+".join(m.new_cols), plain(total), plain(computed),
                 text=f"Split formula mismatch [{m.old}]",
             ))
 
@@ -142,12 +147,13 @@ class GroupComparison:
             if self._skip(m.old):
                 continue
             if m.transform == DATE_TRANSFORM:
-                i, test = self._set(date_text(col(m.old)), date_text(col(m.new)), _unequal)
+                i, test = self._set(date_text(col(m.old)), date_text(col(m.new)), _unequal, f"{m.old}->{m.new}")
                 self.mapping_checks.append(self._mismatch(test, m.old, m.new, set_id=i))
                 continue
             a, b = self.old.strict_sum(m.old), self.new.strict_sum(m.new)
+            odd = self.old.unsummable(m.old) | self.new.unsummable(m.new)
             self.mapping_checks.append(self._mismatch(
-                differs(a, b, self.tolerance), m.old, m.new, plain(a), plain(b),
+                odd | differs(a, b, self.tolerance), m.old, m.new, plain(a), plain(b),
                 text=f"Group sum mismatch [{m.old}->{m.new}]",
             ))
 
@@ -158,7 +164,7 @@ class GroupComparison:
             left = concat_columns([col(c) for c in m.old_cols], m.separator)
             right = F.coalesce(F.trim(col(m.new).cast("string")), F.lit(""))
             name = "+".join(m.old_cols)
-            i, test = self._set(left, right, lambda n: n["xo"] + n["xn"] > 0)
+            i, test = self._set(left, right, lambda n: n["xo"] + n["xn"] > 0, f"{name}->{m.new}")
             self.mapping_checks.append(self._mismatch(
                 test, name, m.new, set_id=i, text=f"Concat mismatch [{name}->{m.new}]",
             ))
@@ -171,8 +177,9 @@ class GroupComparison:
             complete = reduce(lambda a, b: a & b, [v.isNotNull() for v in inputs])
             computed, total = formula_of(m.formula, inputs), self.new.strict_sum(m.new)
             name = ("-" if m.formula == "SUBTRACT" else "+").join(m.old_cols)
+            odd = reduce(lambda a, b: a | b, [self.new.unsummable(m.new), *[self.old.unsummable(c) for c in m.old_cols]])
             self.mapping_checks.append(self._mismatch(
-                complete & differs(computed, total, self.tolerance), name, m.new, plain(computed), plain(total),
+                odd | (complete & differs(computed, total, self.tolerance)), name, m.new, plain(computed), plain(total),
                 text=f"Formula mismatch [{m.formula}({','.join(m.old_cols)})->{m.new}]",
             ))
 
@@ -183,7 +190,7 @@ class GroupComparison:
                 continue
             a = F.coalesce(self.old.strict_sum(m.old, m.old_filter), zero)
             b = F.coalesce(self.new.strict_sum(m.new, m.new_filter), zero)
-            test = differs(a, b, self.tolerance)
+            test = differs(a, b, self.tolerance) | self.old.unsummable(m.old, m.old_filter) | self.new.unsummable(m.new, m.new_filter)
             if m.skip_if_old_empty:
                 test = test & (self.old.filter_hits(m.old_filter) > 0)
             name = f"{m.old}[{m.old_filter.label()}]"
@@ -196,7 +203,8 @@ class GroupComparison:
             if self._skip(m.old):
                 continue
             i, test = self._set(
-                number_text_of(self.old.df, m.old), number_text_of(self.new.df, m.new), lambda n: n["xo"] > 0
+                number_text_of(self.old.df, m.old), number_text_of(self.new.df, m.new), lambda n: n["xo"] > 0,
+                f"{m.old}->{m.new}", ("old_only",),
             )
             self.mapping_checks.append(self._mismatch(
                 test, m.old, m.new, set_id=i, text=f"Old values missing in new [{m.old}->{m.new}]",
@@ -209,12 +217,14 @@ class GroupComparison:
                 continue
             numeric = (self.old.text_values(m.old) == 0) & (self.new.text_values(m.new) == 0)
             a, b = self.old.strict_sum(m.old), self.new.strict_sum(m.new)
-            i, in_sets = self._set(F.lower(clean(col(m.old))), F.lower(clean(col(m.new))), _unequal)
+            i, in_sets = self._set(F.lower(clean(col(m.old))), F.lower(clean(col(m.new))), _unequal, f"{m.old}->{m.new}")
             sums = F.when(numeric, differs(a, b, self.tolerance)).otherwise(F.lit(False))
             self.mapping_checks.append(self._mismatch(
                 sums, m.old, m.new, plain(a), plain(b), text=f"Group sum mismatch [{m.old}->{m.new}]",
             ))
-            self.mapping_checks.append(self._mismatch(~F.coalesce(numeric, F.lit(False)) & in_sets, m.old, m.new, set_id=i))
+            as_sets = ~F.coalesce(numeric, F.lit(False)) & in_sets
+            self.set_failures[i] = (as_sets, *self.set_failures[i][1:])
+            self.mapping_checks.append(self._mismatch(as_sets, m.old, m.new, set_id=i))
         old_anchor, new_anchor = self.anchors
         for m in self.mappings.transformed:
             if self._skip(m.old):
@@ -249,7 +259,16 @@ class GroupComparison:
                     })
                     continue
                 self.extra_columns.update(compiled.columns)
-                self.def_checks.append(self._check(compiled.broken, compiled.error(self.group_key), set_id))
+                made = compiled.error(self.group_key)
+                if set_id is not None:
+                    self.set_failures[set_id] = (compiled.broken, *self.set_failures[set_id][1:])
+                    made = self._with_counts(made, set_id)
+                self.def_checks.append((compiled.broken, made))
+
+    def _with_counts(self, made: Column, set_id: int) -> Column:
+        waiting, bad = (F.coalesce(F.col(f"{n}_{set_id}"), F.lit(0)).cast("string") for n in ("so", "sn"))
+        text = F.concat(made["message"], F.lit(" - "), waiting, F.lit(" old values, "), bad, F.lit(" new values"))
+        return made.withField("message", text).withField("old_value", waiting).withField("new_value", bad)
 
     def _value_check_set(self, rule: DefRule, action) -> int:
         """Failing new values, and old values that should have been converted; listed, never compared."""
@@ -260,7 +279,7 @@ class GroupComparison:
             waiting = clean(col(old_col))
             if permitted:
                 waiting = F.when(F.upper(waiting) != permitted.upper(), waiting)
-        return self._set(waiting, bad, lambda n: n["sn"] > 0)[0]
+        return self._set(waiting, bad, lambda n: n["sn"] > 0, rule.def_id, ("old_only", "new_only", "both"))[0]
 
     # ---- frames -----------------------------------------------------------------------------------
 
@@ -287,17 +306,15 @@ class GroupComparison:
         if self.extra_columns:
             both = both.withColumns(self.extra_columns)
         in_old, in_new = F.col("rows_old") > 0, F.col("rows_new") > 0
-        missing = self._check(
+        missing = (
             in_old & ~in_new,
             E.error(E.ROW_MISSING, group_key=self.group_key, message=F.concat(
                 F.lit("Group ["), self.group_key, F.lit("] found in source but not in target"))),
-            None,
         )
-        extra = self._check(
+        extra = (
             in_new & ~in_old,
             E.error(E.ROW_MISSING, group_key=self.group_key, message=F.concat(
                 F.lit("Group ["), self.group_key, F.lit("] found in target but not in source (extra)"))),
-            None,
         )
         compared = in_old & in_new
         mapped = [(compared & test, made) for test, made in self.mapping_checks]
@@ -313,43 +330,11 @@ class GroupComparison:
 
     def errors(self) -> DataFrame:
         """Error rows without rule and table names."""
-        found = self.joined.select(*self.key, E.held(self.checks).alias("found"))
-        hits = found.select(*self.key, F.explode("found").alias("c")).select(*self.key, "c.set_id", "c.n_old", "c.n_new", "c.e.*")
-        if self.sets:
-            hits = self._with_values(hits)
-        found = hits.drop(*self.key, "set_id", "n_old", "n_new")
+        found = E.explode_errors(self.joined.select(E.held(self.checks).alias("found")), "found")
         if self.fingerprint:
             found = found.unionByName(self._fingerprint_errors())
         return found
 
-    def _with_values(self, hits: DataFrame) -> DataFrame:
-        on = [*self.key, "set_id"]
-        # Which sets to list follows from their counts alone, so the joined frame is not computed twice.
-        picks = [(test, F.struct(F.lit(i).alias("set_id"), F.col(f"so_{i}").alias("n_old"), F.col(f"sn_{i}").alias("n_new")))
-                 for i, test in self.set_tests.items()]
-        wanted = self.counts.select(*self.key, F.explode(E.held(picks)).alias("w")).select(*self.key, "w.*")
-        lists = values.listed(self.value_table, wanted, self.key)
-        full = hits.join(lists, on, "left")
-
-        def side(size: str, held: str, glue: str) -> Column:
-            count = F.concat(F.col(size).cast("string"), F.lit(" distinct values"))
-            return F.when(F.greatest("n_old", "n_new") > values.LISTED_VALUES, count).otherwise(F.array_join(held, glue))
-
-        compared = F.col("error_type") == E.VALUE_MISMATCH
-        old_text, new_text = side("n_old", "old_values", "|"), side("n_new", "new_values", "|")
-        detail = F.when(compared, F.concat(
-            F.col("message"), F.lit(": "), F.coalesce(old_text, F.lit("")), F.lit(" <> "), F.coalesce(new_text, F.lit("")),
-        )).otherwise(F.concat(
-            F.col("message"), F.lit(" - old: ["), F.coalesce(side("n_old", "old_values", ", "), F.lit("")),
-            F.lit("] new: ["), F.coalesce(side("n_new", "new_values", ", "), F.lit("")), F.lit("]"),
-        ))
-        is_set = F.col("set_id").isNotNull()
-        return full.withColumns({
-            "message": F.when(is_set, detail).otherwise(F.col("message")),
-            "old_value": F.when(is_set, old_text).otherwise(F.col("old_value")),
-            "new_value": F.when(is_set, new_text).otherwise(F.col("new_value")),
-        }).drop("old_values", "new_values")
-
     def _fingerprint_errors(self) -> DataFrame:
         failing = self.joined.filter("mapping_failed").select(*self.key)
         counts = fingerprint_counts(self.old.df, self.new.df, self.key, self.fingerprint)
@@ -368,8 +353,16 @@ class GroupComparison:
         ).alias("e")).select("e.*")
 
     def differences(self) -> DataFrame | None:
-        """Every value only one side of a mapped set holds, for groups both sides have."""
-        return None if self.value_table is None else values.differences(self.value_table, self.key)
+        """Every value that tells the sides of a failing mapping or value check apart: key, mapping, value, side."""
+        if self.value_table is None:
+            return None
+        both = (F.col("rows_old") > 0) & (F.col("rows_new") > 0)
+        picks = [
+            (both & fails, F.struct(F.lit(i).alias("set_id"), F.lit(name).alias("mapping"), F.array(*map(F.lit, sides)).alias("wanted")))
+            for i, (fails, name, sides) in self.set_failures.items()
+        ]
+        failing = self.joined.select(*self.key, F.explode(E.held(picks)).alias("w")).select(*self.key, "w.*")
+        return values.differences(self.value_table, failing, self.key)
 
     def accounting(self) -> DataFrame:
         """Old rows checked, in groups without and with errors."""

@@ -9,8 +9,9 @@ from concord import errors as E
 from concord.functions.numbers import col, is_numeric, number_of, plain, tolerant_equal
 from concord.operators.joins import first_per_key
 from concord.plans.common import checked_mappings, gather, key_text
-from concord.plans.outcome import Outcome
-from concord.rules import Pivot, PivotConfig, Rule
+from concord.plans.grouped import GroupComparison
+from concord.plans.outcome import Outcome, nothing_checked
+from concord.rules import Mappings, Pivot, PivotConfig, Rule
 from concord.sources.tables import Resolver, source_rows
 
 KEY = "identity"
@@ -34,7 +35,7 @@ def pivoted(old: DataFrame, config: PivotConfig, pivots: tuple[Pivot, ...]) -> D
 def wide_rows(new: DataFrame, config: PivotConfig, pivots: tuple[Pivot, ...]) -> DataFrame:
     """One target row per identity and how many there are."""
     wide = new.select(key_text(config.new_identity).alias(KEY), *[col(p.new_col).alias(f"w{i}") for i, p in enumerate(pivots)])
-    kept = first_per_key(wide, [KEY], [F.col(f"w{i}").asc_nulls_last() for i in range(len(pivots))])
+    kept = first_per_key(wide, [KEY], [F.col(f"w{i}").asc_nulls_last() for i in range(len(pivots))] or [F.col(KEY)])
     counts = wide.groupBy(KEY).agg(F.count(F.lit(1)).alias("rows_new"))
     return kept.join(counts, [KEY])
 
@@ -53,6 +54,8 @@ def validate_header(rule: Rule, find: Resolver) -> Outcome:
         [rule.pivot.old_identity, rule.pivot.pivot_key], [rule.pivot.new_identity],
     )
     pivots = mappings.pivot
+    if not pivots:
+        return Outcome(rule, gather(rule, [], fixed, new_table), nothing_checked(new_table))
     row_id = F.col(KEY)
     both = F.col("rows_new").isNotNull() & F.col("rows_old").isNotNull()
     checks: list[E.Check] = []
@@ -67,7 +70,7 @@ def validate_header(rule: Rule, find: Resolver) -> Outcome:
     checks += [
         (F.col("rows_new").isNull(), E.error(
             E.ROW_MISSING, row_id=row_id, message=F.lit("Identity found in source but not in target"))),
-        (F.col("rows_old").isNull(), E.error(
+        (F.col("rows_old").isNull() & F.lit(rule.extras_wanted()), E.error(
             E.ROW_MISSING, row_id=row_id, message=F.lit("Identity found in target but not in source"))),
         (F.col("rows_new") > 1, E.error(
             E.TRANSFORM_ERROR, row_id=row_id,
@@ -81,15 +84,25 @@ def validate_header(rule: Rule, find: Resolver) -> Outcome:
         F.coalesce(F.sum(F.when(~bad, F.col("rows_old"))), zero).alias("pass_rows"),
         F.coalesce(F.sum(F.when(bad, F.col("rows_old"))), zero).alias("fail_rows"),
     )
-    errors = gather(rule, [E.explode_errors(joined, "errors")], fixed)
-    return Outcome(rule, errors, accounting, {"identities": joined})
+    frames = [E.explode_errors(joined, "errors")]
+    if rule.defs:
+        found, broken = _rule_errors(rule, old, new_table)
+        frames.append(found)
+        fixed = fixed + broken
+    return Outcome(rule, gather(rule, frames, fixed), accounting, {"identities": joined})
+
+
+def _rule_errors(rule: Rule, old: DataFrame, new: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """Violations of business rules, with an identity's rows as the group."""
+    left = old.withColumn(KEY, key_text(rule.pivot.old_identity))
+    right = new.withColumn(KEY, key_text(rule.pivot.new_identity))
+    groups = GroupComparison(left, right, [KEY], Mappings(), rule.tolerance, defs=rule.defs, known_codes=rule.known_codes, report_extra=False)
+    return groups.errors().filter(F.col("error_type") == E.DEFECT_VIOLATION), groups.broken_rules
 
 
 def _unconfigured(rule: Rule, target: DataFrame) -> Outcome:
     """Without a pivot only an empty target can be noticed."""
-    spark = target.sparkSession
     fixed = [{"error_type": E.DATA_MISSING, "message": f"[HEADER] {rule.source}: pivot_config not defined - pivot not checked"}]
     empty = target.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(E.error(
         E.ROW_MISSING, message=F.lit(f"[HEADER] Target table {rule.target} is empty")).alias("e")).select("e.*")
-    none = spark.range(1).select(*[F.lit(0).cast("long").alias(n) for n in ("rows_checked", "pass_rows", "fail_rows")])
-    return Outcome(rule, gather(rule, [empty], fixed), none)
+    return Outcome(rule, gather(rule, [empty], fixed), nothing_checked(target))

@@ -90,15 +90,6 @@ def row_count_error(old: DataFrame, new: DataFrame) -> DataFrame:
     ).alias("e")).select("e.*")
 
 
-def capped(errors: DataFrame, order: Column, limit: int) -> DataFrame:
-    """The first `limit` errors and, if there are more, one row that says how many; for reports that ask for it."""
-    rest = errors.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(E.error(
-        E.ROW_MISSING,
-        message=F.concat(F.lit(f"Capped at {limit} - "), (F.col("n") - limit).cast("string"), F.lit(" more")),
-    ).alias("e")).select("e.*")
-    return errors.orderBy(order).limit(limit).unionByName(rest, allowMissingColumns=True)
-
-
 def with_fallbacks(rule: Rule, mappings: Mappings, old: DataFrame, new: DataFrame) -> Mappings:
     """Mappings plus exact ones for unmapped columns with nearly the same name."""
     rest_old = [c for c in old.columns if c not in mappings.old_columns()]

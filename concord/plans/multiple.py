@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concord import errors as E
 from concord.plans.common import (
-    checked_mappings, duplicate_anchor_error, gather, key_text, noisy_of, total_mismatch_errors, union_all,
+    checked_mappings, duplicate_anchor_error, filter_of, gather, key_text, noisy_of, total_mismatch_errors, union_all,
 )
 from concord.plans.grouped import GroupComparison
 from concord.plans.master import RowComparison
@@ -44,13 +44,17 @@ def _extra_errors(extra: DataFrame) -> DataFrame:
 
 
 def _source(rule: Rule, find: Resolver, name: str, anchor: str | None = None) -> DataFrame:
-    """Source rows; the filter belongs to the first source."""
-    return source_rows(find(name), rule.source_filter if name == rule.sources()[0] else None, anchor)
+    return source_rows(find(name), filter_of(rule, name), anchor)
+
+
+def _named(differences: DataFrame | None, source: str, target: str) -> DataFrame | None:
+    return None if differences is None else differences.select(F.lit(source).alias("source_table"), F.lit(target).alias("target_table"), "*")
 
 
 def validate_multiple(rule: Rule, find: Resolver) -> Outcome:
     pairs = pairs_of(rule)
     frames: list[DataFrame | None] = []
+    differences: list[DataFrame | None] = []
     accounts, fixed, details = [], [], {}
     for (source, target), wanted in pairs.items():
         old, new = _source(rule, find, source), find(target)
@@ -69,6 +73,7 @@ def validate_multiple(rule: Rule, find: Resolver) -> Outcome:
             )
             fixed += comparison.broken_rules
             details[f"groups:{source}->{target}"] = comparison.groups()
+            differences.append(_named(comparison.differences(), source, target))
         else:
             comparison = RowComparison(old, new, rule.old_anchor, rule.new_anchor, mappings, noisy, rule.tolerance)
             frames.append(comparison.extra_errors() if rule.extras_wanted() else None)
@@ -77,6 +82,8 @@ def validate_multiple(rule: Rule, find: Resolver) -> Outcome:
     if rule.grouping and rule.extras_wanted():
         frames += [_extra_errors(e) for e in _extras_per_target(rule, find, list(pairs))]
     frames.append(total_mismatch_errors(rule, find))
+    if any(d is not None for d in differences):
+        details["differences"] = union_all([d for d in differences if d is not None])
     return Outcome(rule, gather(rule, frames, fixed), union_all(accounts), details)
 
 
@@ -105,14 +112,19 @@ def validate_union(rule: Rule, find: Resolver) -> Outcome:
             *[F.lit(0).cast("long").alias(n) for n in ("rows_checked", "pass_rows", "fail_rows")])
         return Outcome(rule, errors, none)
     g = rule.grouping
-    mappings, fixed = checked_mappings(first, target, rule.mappings, sources[0], rule.target, [g.old_key], [g.new_key])
-    noisy = noisy_of(source_rows(first, rule.source_filter), mappings)
+    fixed: list[dict] = []
     right = target.withColumn(KEY, key_text(g.new_key)).filter(F.col(KEY) != "")
     frames: list[DataFrame | None] = []
+    differences: list[DataFrame | None] = []
     accounts, lefts, details = [], [], {}
     for name in sources:
-        old = source_rows(find(name), rule.source_filter, rule.old_anchor)
-        left = old.withColumn(KEY, key_text(g.source_key_aliases.get(name, g.old_key)))
+        old = _source(rule, find, name, rule.old_anchor)
+        old_key = g.source_key_aliases.get(name, g.old_key)
+        # Each source is held against its own columns and its own noise.
+        mappings, found = checked_mappings(find(name), target, rule.mappings, name, rule.target, [old_key], [g.new_key])
+        fixed += [f for f in found if f not in fixed]
+        noisy = noisy_of(old, mappings)
+        left = old.withColumn(KEY, key_text(old_key))
         lefts.append(left)
         comparison = GroupComparison(
             left, right, [KEY], mappings, rule.tolerance, noisy, rule.defs, rule.known_codes,
@@ -122,7 +134,10 @@ def validate_union(rule: Rule, find: Resolver) -> Outcome:
         frames += [comparison.errors(), duplicate_anchor_error(old, rule.old_anchor, name)]
         accounts.append(comparison.accounting())
         details[f"groups:{name}"] = comparison.groups()
+        differences.append(_named(comparison.differences(), name, rule.target))
     if rule.extras_wanted():
         frames.append(_extra_errors(extra_groups(right, lefts)))
     frames.append(total_mismatch_errors(rule, find))
+    if any(d is not None for d in differences):
+        details["differences"] = union_all([d for d in differences if d is not None])
     return Outcome(rule, gather(rule, frames, fixed), union_all(accounts), details)

@@ -103,7 +103,11 @@ def _composite(rule: Rule, find: Resolver) -> Outcome:
         F.lit(0).cast("long").alias("pass_rows"),
         F.coalesce(F.sum("rows_old"), F.lit(0)).alias("fail_rows"),
     )
+    # Rows without an account belong to no group: checked, and neither passed nor failed.
+    none = F.lit(0).cast("long")
+    skipped = old.filter(clean(col(ck.old_col)).isNull()).agg(F.count(F.lit(1)).alias("rows_checked"), none.alias("pass_rows"), none.alias("fail_rows"))
     errors = gather(
         rule, [comparison.errors(), unmapped_errors, total_mismatch_errors(rule, find)], fixed + comparison.broken_rules
     )
-    return Outcome(rule, errors, comparison.accounting().unionByName(lost), _details(comparison))
+    accounting = comparison.accounting().unionByName(lost).unionByName(skipped)
+    return Outcome(rule, errors, accounting, _details(comparison))
