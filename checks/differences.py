@@ -210,3 +210,17 @@ def union_blank_first_source(spark, folder):
     rule = Rule("ub", "UNION", "old0,old1", "new", Mappings(exact=(Exact("affectcode", "affectcode"),)), grouping=Grouping("sysref", "sysrefno"),
                 tolerance=0.01, tolerance_set=True, skip_aggregate_sum_check=True)
     return V.mismatches(V.run(spark, folder, rule, **UNION_BLANK)).select("group_key")
+
+
+EITHER = DefRule("vali010", (Action(
+    "ROW_LEVEL_COHESION", {"a": "SUM(new.transactionamount)", "b": "SUM(old.transactionamount)"}, "a == 0 OR a == b", "{a} and {b}"),))
+
+
+@query("def_several_equalities", V.f2b("""
+select a.k as group_key from (select sysref as k, sum(cast(transactionamount as decimal(28,8))) as s from old group by sysref) a
+join (select sysrefno as k, sum(cast(transactionamount as decimal(28,8))) as s from new group by sysrefno) b using (k) where not (abs(b.s) <= 0.01 or abs(a.s - b.s) <= 0.01)
+"""))
+def def_several_equalities(spark, folder):
+    """A condition with two equalities, each within the tolerance."""
+    found = V.long(spark, folder, V.long_rule(Mappings(), (EITHER,))).errors
+    return found.filter("error_type = 'DEFECT_VIOLATION'").select("group_key")

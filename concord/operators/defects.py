@@ -98,20 +98,51 @@ def sql_text(tokens: list[str], columns: dict[str, str]) -> str:
     return " ".join(words)
 
 
+def _parts(tokens: list[str], word: str) -> list[list[str]]:
+    """The tokens cut at a word that stands outside brackets."""
+    parts: list[list[str]] = [[]]
+    depth = 0
+    for token in tokens:
+        depth += {"(": 1, ")": -1}.get(token, 0)
+        if token == word and depth == 0:
+            parts.append([])
+        else:
+            parts[-1].append(token)
+    return parts
+
+
+def _boolean(tokens: list[str], columns: dict[str, str], tolerance: float) -> str:
+    """Boolean SQL of tokens with a `==`: alternatives, then conditions, then single comparisons."""
+    for word, name in (("||", "OR"), ("&&", "AND")):
+        parts = _parts(tokens, word)
+        if len(parts) > 1:
+            return f" {name} ".join(f"({_boolean(p, columns, tolerance)})" for p in parts)
+    if tokens[:1] == ["!"]:
+        return f"NOT ({_boolean(tokens[1:], columns, tolerance)})"
+    if tokens and tokens[0] == "(" and _operand_end(tokens, 0) == len(tokens):
+        return _boolean(tokens[1:-1], columns, tolerance)
+    if "==" not in tokens:
+        if not LOGICAL & set(tokens):
+            raise RuleError(f"no comparison in {' '.join(tokens)!r}")
+        return sql_text(tokens, columns)
+    at = tokens.index("==")
+    left, right = tokens[:at], tokens[at + 1:]
+    if not left or not right or LOGICAL & {*left, *right}:
+        raise RuleError(f"'==' needs a value on either side in {' '.join(tokens)!r}")
+    return (
+        f"abs(({sql_text(left, columns)}) - ({sql_text(right, columns)}))"
+        f" <= cast('{tolerance}' as decimal(28,8))"
+    )
+
+
 def condition_sql(text: str, columns: dict[str, str], tolerance: float) -> str:
-    """Boolean SQL. A `==` compares its two sides within the tolerance, so it must be the only comparison."""
-    tokens = tokens_of(text)
+    """Boolean SQL. Each `==` compares its two sides within the tolerance; AND and OR are also words."""
+    words = {"AND": "&&", "OR": "||", "NOT": "!"}
+    tokens = [words.get(t.upper(), t) if t not in columns else t for t in tokens_of(text)]
     if not tokens:
         raise RuleError("empty condition")
     if "==" in tokens:
-        at = tokens.index("==")
-        left, right = tokens[:at], tokens[at + 1:]
-        if not left or not right or LOGICAL & {*left, *right}:
-            raise RuleError(f"'==' cannot be mixed with other comparisons in {text!r}")
-        return (
-            f"abs(({sql_text(left, columns)}) - ({sql_text(right, columns)}))"
-            f" <= cast('{tolerance}' as decimal(28,8))"
-        )
+        return _boolean(tokens, columns, tolerance)
     sql = sql_text(tokens, columns)
     return sql if LOGICAL & set(tokens) else f"({sql}) <> 0"
 

@@ -176,12 +176,19 @@ def test_condition_text(text, wanted):
     assert condition_sql(text, {"a": "A", "b": "B"}, 0.01) == wanted
 
 
-@pytest.mark.parametrize("text", ["", "a == b && a > 1", "process.exit()", "a; b", "require('fs')", "c == 1", "a == b == a", "'x' == a"])
+@pytest.mark.parametrize("text", ["", "a == b && a", "a == b OR", "process.exit()", "a; b", "require('fs')", "c == 1", "a == b == a", "'x' == a"])
 def test_conditions_that_are_refused(text):
     with pytest.raises(RuleError):
         condition_sql(text, {"a": "A", "b": "B"}, 0.01)
 
 
+def test_several_equalities_each_have_the_tolerance(spark):
+    for text in ("a == 0 OR a == b", "a == 0 || (a == b && !(b > 9))", "(a == 0) or (a == b)"):
+        frame = spark.createDataFrame([(0.005, 3.0), (3.004, 3.0), (2.0, 3.0)], "A double, B double")
+        got = [r[0] for r in frame.selectExpr(condition_sql(text, {"a": "A", "b": "B"}, 0.01)).collect()]
+        assert got == [True, True, False]
+
+
 def test_broken_rules_give_one_error_and_others_go_on(spark):
     old = rows(spark, [("a", "PP", "C", "1", "x"), ("b", "PP", "C", "1", "x")])
     new = rows(spark, [("a", "2"), ("b", "*")], "k string, amount string")
