@@ -56,42 +56,64 @@ def fixed_frame(spark, rows, columns):
     return spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], ", ".join(f"{c} string" for c in columns))
 
 
+F1_OLD_COLUMNS = ["o_orderkey", "o_custkey", "custref", "o_orderstatus", "o_totalprice", "orderdate", "o_orderpriority"]
+F1_NEW_COLUMNS = ["id", "custno", "status", "totalprice", "order_day", "label"]
+
+
+def counts_sql(table: str, names: list[str]) -> str:
+    """column_name and how many rows have a value there."""
+    return " union all ".join(f"select '{n}' as column_name, count({n}) as n_values from {table}" for n in names)
+
+
+def values_in(df):
+    """The same of a table, in one pass over it."""
+    totals = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n_{i}") for i, c in enumerate(df.columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n_{i}").alias("n_values")) for i, c in enumerate(df.columns)])
+    return totals.select(F.explode(rows).alias("r")).select("r.*")
+
+
 @query("missing_columns", with_tables(
     """
-select distinct 'COLUMN_MISSING' as error_type, case when side = 'old' then name end as old_column, case when side = 'new' then name end as new_column from (
-  select side, name from (values ('old', 'o_orderstatus'), ('old', 'gone'), ('old', 'custref'), ('old', 'o_totalprice'), ('old', 'affectcode'), ('old', 'debitcredit'),
-    ('new', 'status'), ('new', 'custno'), ('new', 'lost'), ('new', 'totalprice')) m(side, name)
-) t where (side = 'old' and name not in (select column_name from old_names)) or (side = 'new' and name not in (select column_name from new_names))
+select error_type, old_column, new_column, n_rows from (
+  select distinct 'COLUMN_MISSING' as error_type, side, case when side = 'old' then name end as old_column, case when side = 'new' then name end as new_column from (
+    select side, name from (values ('old', 'o_orderstatus'), ('old', 'gone'), ('old', 'custref'), ('old', 'o_totalprice'), ('old', 'affectcode'), ('old', 'debitcredit'),
+      ('new', 'status'), ('new', 'custno'), ('new', 'lost'), ('new', 'totalprice')) m(side, name)
+  ) t where (side = 'old' and name not in (select column_name from old_names)) or (side = 'new' and name not in (select column_name from new_names))
+) e join (select 'old' as side, count(*) as n_rows from old union all select 'new', count(*) from new) r using (side)
 """,
-    old_names=names_sql(["o_orderkey", "o_custkey", "custref", "o_orderstatus", "o_totalprice", "orderdate", "o_orderpriority"]),
-    new_names=names_sql(["id", "custno", "status", "totalprice", "order_day", "label"])))
+    old=X.F1_OLD, new=X.F1_NEW, old_names=names_sql(F1_OLD_COLUMNS), new_names=names_sql(F1_NEW_COLUMNS)))
 def missing_columns(spark, folder):
+    """Mapped columns that a table lacks, and how many of its rows go unchecked for that."""
     old, new = X.derive(spark, folder, X.F1_OLD), X.derive(spark, folder, X.F1_NEW)
-    found = schema.missing_columns(old.columns, new.columns, PARTIAL, "old", "new")
-    return fixed_frame(spark, found, ["error_type", "old_column", "new_column"])
+    found = fixed_frame(spark, schema.missing_columns(old.columns, new.columns, PARTIAL, "old", "new"), ["error_type", "old_column", "new_column"])
+    rows = old.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("of_old", F.lit(True)).unionByName(
+        new.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("of_old", F.lit(False)))
+    return found.withColumn("of_old", F.col("old_column").isNotNull()).join(F.broadcast(rows), "of_old").drop("of_old")
 
 
 @query("unmapped_columns", with_tables(
     """
-select 'old' as side, column_name from old_names where column_name not in ('o_orderstatus', 'o_orderkey', 'custref')
-union all select 'new', column_name from new_names where column_name not in ('status', 'id', 'custno')
+select 'old' as side, column_name, n_values from old_names where column_name not in ('o_orderstatus', 'o_orderkey', 'custref')
+union all select 'new', column_name, n_values from new_names where column_name not in ('status', 'id', 'custno')
 """,
-    old_names=names_sql(["o_orderkey", "o_custkey", "custref", "o_orderstatus", "o_totalprice", "orderdate", "o_orderpriority"]),
-    new_names=names_sql(["id", "custno", "status", "totalprice", "order_day", "label"])))
+    old=X.F1_OLD, new=X.F1_NEW, old_names=counts_sql("old", F1_OLD_COLUMNS), new_names=counts_sql("new", F1_NEW_COLUMNS)))
 def unmapped_columns(spark, folder):
+    """Columns no mapping names, and how many values are in them."""
     old, new = X.derive(spark, folder, X.F1_OLD), X.derive(spark, folder, X.F1_NEW)
     mappings = Mappings(exact=(Exact("o_orderstatus", "status"), Exact("custref", "custno")))
     rest_old, rest_new = schema.unmapped(old.columns, new.columns, mappings, ["o_orderkey"], ["id"])
-    return fixed_frame(spark, [{"side": "old", "column_name": c} for c in rest_old] + [{"side": "new", "column_name": c} for c in rest_new],
-                       ["side", "column_name"])
+    return values_in(old.select(*rest_old)).select(F.lit("old").alias("side"), "*").unionByName(values_in(new.select(*rest_new)).select(F.lit("new").alias("side"), "*"))
 
 
 @query("schema_diff", with_tables("""
-select column_name, 'left_only' as side from a where column_name not in (select column_name from b)
-union all select column_name, 'right_only' from b where column_name not in (select column_name from a)
-""", a=names_sql(F8_OLD_COLUMNS), b=names_sql(F8_NEW_COLUMNS)))
+select column_name, 'left_only' as side, n_values from a where column_name not in (select column_name from b)
+union all select column_name, 'right_only', n_values from b where column_name not in (select column_name from a)
+""", old=X.F8_OLD, new=X.F8_NEW, a=counts_sql("old", F8_OLD_COLUMNS), b=counts_sql("new", F8_NEW_COLUMNS)))
 def schema_diff(spark, folder):
-    return schema.schema_diff(X.derive(spark, folder, X.F8_OLD), X.derive(spark, folder, X.F8_NEW))
+    """Columns of one table alone, and how many values are in them."""
+    old, new = X.derive(spark, folder, X.F8_OLD), X.derive(spark, folder, X.F8_NEW)
+    sizes = values_in(old).withColumn("side", F.lit("left_only")).unionByName(values_in(new).withColumn("side", F.lit("right_only")))
+    return schema.schema_diff(old, new).join(F.broadcast(sizes), ["column_name", "side"])
 
 
 NAME_SIM = "1 - levenshtein(lower({a}), lower({b})) / greatest(length({a}), length({b}))"
@@ -99,14 +121,18 @@ NAME_SIM = "1 - levenshtein(lower({a}), lower({b})) / greatest(length({a}), leng
 
 @query("fallback_match", with_tables(
     f"""
-select old_column, new_column, similarity from (
-  select o.old_column, n.new_column, {NAME_SIM.format(a='old_column', b='new_column')} as similarity,
-         row_number() over (partition by old_column order by {NAME_SIM.format(a='old_column', b='new_column')} desc, n.place) as rn
-  from o cross join n) t where rn = 1 and similarity >= 0.9
-""", o=names_sql(F8_OLD_COLUMNS, "old_column"), n=names_sql(F8_NEW_COLUMNS, "new_column")))
+select old_column, new_column, similarity, o_values as old_values, n_values as new_values from (
+  select o.column_name as old_column, n.column_name as new_column, o.n_values as o_values, n.n_values, {NAME_SIM.format(a='o.column_name', b='n.column_name')} as similarity,
+         row_number() over (partition by o.column_name order by {NAME_SIM.format(a='o.column_name', b='n.column_name')} desc, p.place) as rn
+  from o cross join n join p on p.new_column = n.column_name) t where rn = 1 and similarity >= 0.9
+""", old=X.F8_OLD, new=X.F8_NEW, o=counts_sql("old", F8_OLD_COLUMNS), n=counts_sql("new", F8_NEW_COLUMNS), p=names_sql(F8_NEW_COLUMNS, "new_column")))
 def fallback_match(spark, folder):
+    """Columns of nearly the same name, and how many values either has."""
     old, new = X.derive(spark, folder, X.F8_OLD), X.derive(spark, folder, X.F8_NEW)
-    return schema.fallback_matches(spark, old.columns, new.columns)
+    pairs = schema.fallback_matches(spark, old.columns, new.columns)
+    sizes_old = values_in(old).select(F.col("column_name").alias("old_column"), F.col("n_values").alias("old_values"))
+    sizes_new = values_in(new).select(F.col("column_name").alias("new_column"), F.col("n_values").alias("new_values"))
+    return pairs.join(F.broadcast(sizes_old), "old_column").join(F.broadcast(sizes_new), "new_column")
 
 
 # ---- profiles -------------------------------------------------------------------------------------

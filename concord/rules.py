@@ -181,7 +181,6 @@ class Grouping:
     new_key: str
     transform_key: str | None = None
     source_key_aliases: dict[str, str] = field(default_factory=dict)
-    target_fetch_key: str | None = None
     row_fingerprint: tuple[tuple[str, str, bool], ...] = ()
     composite_key: CompositeKey | None = None
 
@@ -345,7 +344,7 @@ def rule_from(name: str, raw: dict, defs: tuple[DefRule, ...] = (), known_codes=
             )
         grouping = Grouping(
             g["keys"]["old"], g["keys"]["new"], g.get("transform_key"),
-            dict(g.get("source_key_aliases") or {}), g.get("target_fetch_key"),
+            dict(g.get("source_key_aliases") or {}),
             tuple((f["old"], f["new"], f.get("transform") == "YEAR_ONLY") for f in g.get("row_fingerprint") or ()),
             composite,
         )
