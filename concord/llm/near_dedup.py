@@ -3,10 +3,10 @@
 1. Documents with equal shingle sets are one class; a class is compared once, however many copies it has.
 2. Two permutations, one shifted in a circle, give all 288 coordinates of a class; 48 bands of 6 make buckets. Two
    sets of similarity 0.8 miss all buckets with a probability under 10^-6.
-3. In each bucket all classes are compared with its first one only, on their full sets. The links found give
-   components. A bucket all of whose classes are in one component is done.
-4. In the other buckets, classes of different components remain to be compared; each of them is compared with all
-   classes of other components whose set size allows the similarity, in blocks (`_across`).
+3. Buckets with the same first class are one group. In groups of more than DIRECT classes all are first compared with
+   that class only, on their full sets; the links found give components.
+4. Classes of different components within a group are compared, in meetings of two chunks (`_across`); classes of the
+   first one's component do not meet each other.
 5. Components of all links; the smallest doc_id of a component names it.
 
 Frequent keys: copies vanish in step 1 by partial aggregation; the members of a large bucket meet its first class in
@@ -31,6 +31,7 @@ from concord.llm.components import components
 from concord.llm.minhash import features, shingle_set
 
 CHUNK = 64
+DIRECT = 16 * CHUNK  # larger groups are compared with their first class before chunks meet
 PERCENT = 80
 
 
@@ -83,7 +84,11 @@ def _linked(members: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[i
         part[owner[lo:hi], at[lo:hi] - start] = 1
         both += part @ part.T
     alike = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    up = {c: c for c, _ in members}
+    component = np.array([c for c, _ in members])
+    first, second = np.nonzero(np.triu(alike, 1) & (component[:, None] != component[None, :]))
+    ends = np.sort(np.column_stack([component[first], component[second]]), axis=1)
+    _, one = np.unique(ends, axis=0, return_index=True)  # a link for each two components is enough
+    up = {c: c for c in component.tolist()}
 
     def root(c: int) -> int:
         while up[c] != c:
@@ -92,11 +97,11 @@ def _linked(members: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[i
         return c
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(alike, 1))):
-        a, b = root(members[i][0]), root(members[j][0])
+    for k in one.tolist():
+        a, b = root(int(component[first[k]])), root(int(component[second[k]]))
         if a != b:
             up[b] = a
-            out.append((int(i), int(j)))
+            out.append((int(first[k]), int(second[k])))
     return out
 
 
@@ -152,7 +157,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = PERCENT)
     # Tables that a frequent key is joined to are stored first: then Spark can split the key in the join.
     buckets = stored(banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "hub"), "buckets")
     groups = stored(banded.join(buckets, "band").select("hub", "cls").distinct(), "groups")  # the hub is a member of its group
-    large = stored(groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CHUNK).select(F.col("hub").alias("a")), "large")
+    large = stored(groups.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > DIRECT).select(F.col("hub").alias("a")), "large")
     first = groups.join(large, F.col("hub") == F.col("a")).filter("cls <> hub").select("a", F.col("cls").alias("b"))
     first = stored(first, "pairs")
     links = stored(_confirmed(first, classes, documents, size, percent), "links") if not first.isEmpty() else first.limit(0)
