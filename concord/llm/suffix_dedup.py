@@ -162,11 +162,11 @@ def _passed(rows: DataFrame, digit: str, wide: str, name: str) -> tuple[DataFram
     # Stored, so that the join has nothing but shuffles on either side and Spark can split a frequent digit.
     shared = stored(digits.filter("n > 1").select(digit, (F.col("least") != F.col("most")).alias("mixed")), name)
     lasting = stored(rows.join(shared, digit), name)
-    mixed = lasting.filter("mixed")
-    equal = stored(mixed.groupBy(digit, wide).agg(F.sum("weight").alias("n"), F.min(F.struct("k_id", "k_text", "run")).alias("one")), name)
-    whole = lasting.filter(~F.col("mixed")).select("k_id", "k_text", "run").unionByName(
-        mixed.join(equal.filter("n > 1").select(digit, wide), [digit, wide]).select("k_id", "k_text", "run"))
-    apart = equal.select("one.*", F.least("n", F.lit(2)).alias("weight"))
+    equal = stored(lasting.groupBy(digit, wide).agg(F.sum("weight").alias("n"), F.min(F.struct("k_id", "k_text", "run")).alias("one"), F.max("mixed").alias("mixed")), name)
+    # One row for each lasting row, with the number of its equals.
+    numbered = stored(lasting.select(digit, wide, "k_id", "k_text", "run").join(equal.select(digit, wide, "n"), [digit, wide]), name)
+    whole = numbered.filter("n > 1").select("k_id", "k_text", "run")
+    apart = equal.filter("mixed").select("one.*", F.least("n", F.lit(2)).alias("weight"))
     lists = apart.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("run", "weight")).alias("runs"))
     return whole, stored(lists, name)
 
