@@ -98,11 +98,26 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return rows.select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _any_hit(items: DataFrame, sets: dict[int, list[int] | None]) -> Column:
+    """Whether a text holds a window, decided on the row itself: by the hash set, then by the words of what it finds."""
+    if not sets:
+        return F.lit(False)
+    # At most LARGEST_SET windows, as their hashes are; words hold no quotes or backslashes.
+    known = ", ".join(f"'{r['gram']}'" for r in items.select("gram").distinct().collect())
+    found = ", ".join(_grams(k, sets[k]) for k in sorted(sets))
+    # The words are bound to w once, as the only element of an array.
+    cut = f"array_remove(split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), r'{BETWEEN}+'), '')"
+    return F.expr(f"exists(array({cut}), w -> exists(concat({found}), f -> f.gram in ({known})))")
+
+
 def decontaminated(documents: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """The documents, in their own columns, without contaminated ones, or ("spans") without the hit words.
 
     A hit word goes with what stands between it and the next word; n_chars, where there is one, is counted anew.
     """
+    items, sets = window_set(benchmark, window)
+    if remove == "documents" and None not in sets.values():
+        return documents.filter(~_any_hit(items, sets))
     found = hits(documents, benchmark, window).filter(F.size("spans") > 0)
     hit = found.select(F.col("k_id").alias("_hit_id"), F.col("k_text").alias("_hit_text"), F.col("spans").alias("_spans"))
     k_id, k_text = row_keys()
