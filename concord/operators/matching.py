@@ -6,7 +6,6 @@ the distinct values of each table (`profile`) and the values two tables share (`
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,10 +206,6 @@ def split_candidates(matches: DataFrame, unmatched: DataFrame) -> DataFrame:
     ).filter("n_columns >= 2")
 
 
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
 def ranked_claims(matches: DataFrame) -> DataFrame:
     """Matches with their rank among the claims to the same new column."""
     window = Window.partitionBy("new_column").orderBy(F.col("confidence").desc(), "old_column")

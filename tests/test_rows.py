@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from concord.operators import audit, joins, report, schema
 from concord.operators.audit import PairRule, RowRule
