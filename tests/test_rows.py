@@ -190,7 +190,7 @@ def test_breakdown_description_and_order(spark):
     rows = [("ROW_MISSING", None, "b. \nmore"), ("DEFECT_VIOLATION", "d2", "x" * 100), ("DEFECT_VIOLATION", "d1", "y"), ("COLUMN_MISSING", None, "c.")]
     frame = spark.createDataFrame(rows, "error_type string, def_id string, message string")
     got = [(r.error_type, r.def_id, r["count"], r.description) for r in report.report_order(report.breakdown(frame)).collect()]
-    assert got == [("DEFECT_VIOLATION", "d1", 1, "y"), ("DEFECT_VIOLATION", "d2", 1, "x" * 80), ("COLUMN_MISSING", None, 1, "c"), ("ROW_MISSING", None, 1, "b")]
+    assert got == [("DEFECT_VIOLATION", "d1", 1, "y"), ("DEFECT_VIOLATION", "d2", 1, "x" * 100), ("COLUMN_MISSING", None, 1, "c"), ("ROW_MISSING", None, 1, "b")]
 
 
 def test_audit_edges(spark):
