@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from concord.llm import decontamination, sharding
 from concord.llm.common import shared_path
 from concord.llm.decontamination import contamination, decontaminated
+from concord.llm.license_texts import BODIES
 from concord.llm.licenses import license_scan
 from concord.llm.quality import FEATURES, Model, fit_quality, passages, quality_score
 from concord.llm.sharding import kd_shards, leaves_for, sharded
@@ -74,6 +75,29 @@ def test_licences(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+def test_licences_wrapped_embedded_and_in_full(spark):
+    prose = "Some prose that goes on about nothing much for more than a few words.\n"
+    texts = {
+        "Apache-2.0": [f"{prose}Licensed under the Apache License,\nVersion 2.0.\n{prose}"],
+        "GPL-3.0": [f"{prose}This work is licensed under the GNU General Public\nLicense, version 3.\n{prose}",
+                    "This work is licensed under the GNU General Public\nLicense, version 3."],
+        "MIT": ["Words before it, released under the MIT License. And then there are many more words on this line after it.",
+                f"{prose}# Released under\n# the MIT\n# License.\n{prose}"],
+        "": ["Mine; licensed under CC BY-NC 3.0. and so on, for any number of words", "Released under the Mozilla license, as some say, and not any other", prose],
+        "ISC,MIT": ["Parts are released under the MIT License. Others are released under the ISC License. That is all there is to say about it."],
+    }
+    cases = [(wanted, text) for wanted, own in texts.items() for text in own]
+    cases += [(name, f"{prose}Copyright (c) 2020 A. Holder\n\n{text}\n{prose}") for name, text in BODIES]
+    cases += [(name, "Copyright 1999 Somebody. " + " ".join(text.split()) + " " + prose * 3) for name, text in BODIES]
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(docs).collect()}
+    names = [",".join(sorted({m.license for m in got[k]["matches"]})) for k in range(len(cases))]
+    assert names == [wanted for wanted, _ in cases]
+    assert [len(got[k]["matches"]) for k in range(5)] == [1] * 5 and len(got[8]["matches"]) == 2
+    own = license_scan(docs.limit(3), {"X": "some prose that goes"}).collect()
+    assert [[m.license for m in r["matches"]] for r in sorted(own)] == [["X", "X"], ["X", "X"], []]
+
+
 def test_slopes_of_the_model():
     rng = np.random.default_rng(0)
     bags, labels = [rng.normal(size=(k, FEATURES)) for k in (1, 3, 2)], np.array([0, 1, 1.0])
