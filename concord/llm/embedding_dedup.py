@@ -117,15 +117,17 @@ def _trees(assigned: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _pairs(blocks: DataFrame, pivots: dict[int, np.ndarray], radii: dict[tuple[int, int], float], least: float) -> DataFrame:
-    """a, b: blocks (a <= b) whose covering radii let them hold a link."""
+    """a, b: blocks (a <= b) whose covering radii let them hold a link. `radii` are those of cells with a centre."""
     reach = float(np.sqrt(2 - 2 * least)) + 1e-6
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for number, dims, centre, radius in zip(*(_column(batch, c).to_pylist() for c in ("id", "dims", "centre", "radius"))):
+                if dims not in pivots:  # its blocks are all in one cell
+                    out.append((number, dims, -1, centre, radius))
                 for (length, cell), cover in radii.items():
-                    if length == dims and (cell < 0 or np.linalg.norm(pivots[dims][cell] - centre) <= reach + radius + cover):
+                    if length == dims and np.linalg.norm(pivots[dims][cell] - centre) <= reach + radius + cover:
                         out.append((number, dims, cell, centre, radius))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64()])],
                                              names=["a", "dims", "cell", "centre_a", "radius_a"])
@@ -178,10 +180,9 @@ def embedding_components(embeddings: DataFrame, least: float = 0.95) -> DataFram
     assigned = stored(_assigned(classes, pivots), "assigned")
     cells = assigned.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"))
     trees = stored(_trees(assigned, cells).withColumn("id", F.monotonically_increasing_id()), "trees")
-    # At most PIVOTS cells of each length among the sample, and one of each other length.
+    # At most PIVOTS cells of each length among the sample; other lengths have one cell each, and no list of them is needed.
     radii = {(r["dims"], r["cell"]): r["radius"] + 1e-7 for r in cells.filter("cell >= 0").collect()}
-    other = {(r["dims"], -1): 1.0 for r in cells.filter("cell < 0").select("dims").distinct().limit(SAMPLE).collect()}
-    pairs = stored(_pairs(trees, pivots, {**radii, **other}, least), "pairs")
+    pairs = stored(_pairs(trees, pivots, radii, least), "pairs")
     met = stored(_met(pairs, trees, least), "met")
     links = stored(met.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("linked")).select(F.col("a").alias("cls"), "linked"), "links")
     found = components(met.filter("kind = 1").select("a", "b")).select(F.col("node").alias("cls"), "component")

@@ -145,3 +145,14 @@ def test_embeddings(spark, monkeypatch, block, pivots):
     frame = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<double>, cls int")
     assert sorted(map(tuple, embedding_dedup.embedding_components(frame).collect())) == vectors_by_force(rows)
     assert embedding_dedup.embedding_components(frame.limit(0)).count() == 0
+
+
+def test_embeddings_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 4)
+    rng = np.random.default_rng(1)
+    rows = []
+    for dims in range(3, 23):
+        base = rng.normal(size=dims)
+        rows += [(10 * dims + k, (base + 0.01 * k * rng.normal(size=dims)).tolist()) for k in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embedding_dedup.embedding_components(frame).collect())) == vectors_by_force(rows)
