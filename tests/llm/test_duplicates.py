@@ -156,3 +156,17 @@ def test_embeddings_of_many_lengths(spark, monkeypatch):
         rows += [(10 * dims + k, (base + 0.01 * k * rng.normal(size=dims)).tolist()) for k in range(3)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, embedding_dedup.embedding_components(frame).collect())) == vectors_by_force(rows)
+
+
+@pytest.mark.parametrize("chunk", [64, 5])
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, size, chunk):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "DIRECT", 8)
+    confirmed, calls = near_dedup._confirmed, []
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *rest: calls.append(pairs.count()) or confirmed(pairs, *rest))
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, size).collect()), key=str)
+    assert got == near_by_force(rows, size)
+    assert sum(calls) > 8
