@@ -20,7 +20,7 @@ def test_query_equals_sql(name, spark, folder, database):
 def test_every_operator_is_registered():
     import __spark_entry__
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
