@@ -10,14 +10,15 @@ length over the whole corpus (count per partition, prefix sums, place within the
 So windows are the same as those of one big best-fit decreasing run over all pieces, and no piece passes through the
 driver.
 
-Null and empty texts are documents of the end id alone. Repeated rows and null ids are packed as they are. Extra
+Ties: of open windows with equal remaining capacity the one opened first is taken; of equal pieces, those of earlier
+partitions, and there earlier rows, go first. Null and empty texts are documents of the end id alone. Repeated rows and null ids are packed as they are. Extra
 columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,23 +76,25 @@ class PieceIds:
 
 
 class OpenWindows:
-    """Windows by remaining capacity; a segment tree over the capacities finds the tightest one that fits."""
+    """Windows by remaining capacity; a segment tree over the capacities finds the tightest one that fits.
+
+    Of windows with equal capacity the one opened first, that with the lowest number, is taken."""
 
     def __init__(self, window: int):
         self.leaves = 1 << window.bit_length()
         self.some = np.zeros(2 * self.leaves, dtype=bool)
-        self.queues: list[deque[list[int]]] = [deque() for _ in range(window + 1)]
+        self.heaps: list[list[list[int]]] = [[] for _ in range(window + 1)]
 
     def _mark(self, capacity: int) -> None:
         node = self.leaves + capacity
-        self.some[node] = bool(self.queues[capacity])
+        self.some[node] = bool(self.heaps[capacity])
         while node > 1:
             node //= 2
             self.some[node] = self.some[2 * node] or self.some[2 * node + 1]
 
     def add(self, capacity: int, first: int, number: int) -> None:
         if number and capacity:
-            self.queues[capacity].append([first, number])
+            heapq.heappush(self.heaps[capacity], [first, number])
             self._mark(capacity)
 
     def tightest(self, length: int) -> int | None:
@@ -109,13 +112,14 @@ class OpenWindows:
         return None
 
     def take(self, capacity: int, most: int) -> tuple[int, int]:
-        """Removes up to `most` windows of the oldest run with this capacity: the first window, and how many."""
-        run = self.queues[capacity][0]
-        first, number = run[0], min(run[1], most)
-        run[0], run[1] = run[0] + number, run[1] - number
-        if not run[1]:
-            self.queues[capacity].popleft()
-            self._mark(capacity)
+        """Removes up to `most` windows with this capacity, lowest numbers first: the first window, and how many.
+
+        Runs do not overlap, so the run with the lowest first window holds the lowest numbers."""
+        first, size = heapq.heappop(self.heaps[capacity])
+        number = min(size, most)
+        if number < size:
+            heapq.heappush(self.heaps[capacity], [first + number, size - number])
+        self._mark(capacity)
         return first, number
 
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -68,6 +68,7 @@ def plain_best_fit(lengths, window):
     return windows
 
 
+@example(counts={14: 1, 1: 1, 2: 1, 3: 3, 21: 1, 32: 1})  # two open windows with equal space
 @settings(max_examples=60, deadline=None)
 @given(counts=st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 def test_plan_is_best_fit_decreasing(counts):
