@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.session import checkpoint_dir
@@ -45,6 +45,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark itself would read it by, for readers that know no default file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -74,6 +80,45 @@ def row_keys(id_column: str = "doc_id", text: str = "text") -> list:
     ]
 
 
+def column(name: str) -> Column:
+    """The column of that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def wrapped(documents: DataFrame, *columns: Column) -> DataFrame:
+    """All columns of the documents as the struct `row`, so that no name of theirs meets one of `columns`."""
+    return documents.select(F.struct(*map(column, documents.columns)).alias("row"), *columns)
+
+
+def unwrapped(rows: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The columns of `row` again; those in `new` get other values."""
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
+SIEVE_BITS = 23
+MAP_BITS = 1 << 15  # of one of Spark's bitmaps
+
+
+def sieve(keys: DataFrame, *columns: str, bits: int = SIEVE_BITS) -> Column:
+    """A condition on columns of the same names: true for every key of `keys`, and for few others.
+
+    It is a bitmap of 2 ** bits places by the hash of the key, a megabyte by default however many keys there are. Rows
+    that it rules out need no join, so they need not move. With more keys than places it rules out little and the
+    joins behind it do the work; results never depend on it.
+    """
+    places = keys.select((F.pmod(F.xxhash64(*columns), F.lit(1 << bits)) + 1).alias("place"))
+    maps = places.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
+    whole = bytearray(1 << (bits - 3))
+    for row in maps.collect():  # at most 2 ** bits / MAP_BITS rows
+        start = (row["part"] - 1) * MAP_BITS // 8
+        whole[start:start + len(row["map"])] = row["map"]
+    if not any(whole):
+        return F.lit(False)
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    byte = F.conv(F.hex(F.substr(F.lit(whole), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.call_function("getbit", byte, place.bitwiseAND(7).cast("int")) == 1
+
+
 def arrow_batches(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece has about `chars` bytes, or one row."""
     for batch in batches:

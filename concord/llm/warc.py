@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition,
                                     IsNotNull, WriterCommitMessage)
 
-from concord.llm.common import arrow_batches, bounded_batches, query, shared_path, stored, table
+from concord.llm.common import arrow_batches, bounded_batches, qualified, query, shared_path, stored, table
 from concord.llm.warc_format import EQUAL_PAYLOAD, http_block, member, open_range, payload_of, record_bytes, records
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
@@ -250,8 +250,7 @@ from d
 @query("op10_warc", ORACLE)
 def op10_warc(spark, folder):
     register(spark)
-    path = shared_path(spark, "warc")
-    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    path = qualified(spark, shared_path(spark, "warc"))
     page_records(table(spark, folder, "pages")).write.format("warc").mode("append").save(path)
     read = spark.read.format("warc").load(path)
     # Digests and sizes of answers are those of the payloads read back; a revisit has only its header's.
