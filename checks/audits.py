@@ -16,6 +16,7 @@ from concord.functions.formulas import Likeness, row_formula
 from concord.functions.numbers import formula_of, normal_number_text, to_number, tolerant_equal
 from concord.operators import audit, field_match, profile, report, schema
 from concord.operators.audit import PairRule, RowRule
+from concord.plans.match_tables import match_tables
 from concord.session import checkpoint_dir
 from concord.sources import files, sinks
 from concord.sources.tables import repeatable_sample
@@ -204,6 +205,32 @@ def coverage(spark, folder):
     return found.withColumn("coverage_rate", F.round("coverage_rate", 6))
 
 
+@query("matched_tables", with_tables("""
+select old_column, new_column, coalesce(claim_outcome, 'NONE') as claim_outcome, case when claim_outcome = 'EVICTED' then 'MANUAL_CHECK' else status end as status,
+       case when claim_outcome = 'EVICTED' then 0 else confidence end as confidence, 'order_accountno' as old_key, 'order_account_no' as new_key
+from m left join (select old_column, case when n = 1 then 'SOLE' when rn = 1 then 'OWNER' when top >= 95 or top - confidence >= 15 then 'EVICTED' else 'TIE' end as claim_outcome
+  from (select old_column, confidence, count(*) over w as n, row_number() over (partition by new_column order by confidence desc, old_column) as rn, max(confidence) over w as top
+        from m where new_column is not null window w as (partition by new_column)) t) c using (old_column)
+""", **PAIR_CTES, **RATE_CTES, m=field_sql(True)))
+def matched_tables(spark, folder):
+    """The whole way from two tables to their mapping; the key is found, not given."""
+    found = match_tables(X.derive(spark, folder, X.F8_OLD), X.derive(spark, folder, X.F8_NEW))
+    key = [F.lit(",".join(k)) for k in (found.anchor.old_key, found.anchor.new_key)]
+    return found.matches.select("old_column", "new_column", "claim_outcome", "status", F.round("confidence", 2).alias("confidence"), key[0].alias("old_key"), key[1].alias("new_key"))
+
+
+@query("matched_tables_coverage", with_tables("""
+select 'f8' as table_name, count(*) as n_columns, count(case when v then 1 end) as n_mapped, count(case when not v then 1 end) as n_orphaned,
+       round(avg(case when v then 1.0 else 0.0 end), 6) as coverage_rate from (
+  select status like '%VERIFIED%' and not coalesce(n > 1 and rn > 1 and (top >= 95 or top - confidence >= 15), false) as v from m left join (
+    select old_column, count(*) over w as n, row_number() over (partition by new_column order by confidence desc, old_column) as rn, max(confidence) over w as top
+    from m where new_column is not null window w as (partition by new_column)) c using (old_column)) t
+""", **PAIR_CTES, **RATE_CTES, m=field_sql(True)))
+def matched_tables_coverage(spark, folder):
+    found = match_tables(X.derive(spark, folder, X.F8_OLD), X.derive(spark, folder, X.F8_NEW), "f8").coverage
+    return found.withColumn("coverage_rate", F.round("coverage_rate", 6))
+
+
 @query("unmatched_old", with_tables("""
 select c.column_name, s.sample from (select distinct column_name from long where column_name in ('customer_key', 'order_status', 'spare')) c left join (
   select column_name, list(value order by value) as sample from (select column_name, value, row_number() over (partition by column_name order by count(*) desc, value) as rn

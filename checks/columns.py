@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as X
 from checks.catalog import query, with_tables
 from concord.operators import anchors, field_match, matching, overlap, profile, schema
+from concord.operators.anchor_search import search_anchor
 from concord.operators.noisy import noisy_columns
 from concord.rules import Exact, Mappings, RowFilter, FilteredSum
 
@@ -665,3 +666,42 @@ def rates_sql(pairs) -> str:
 def best_transform(spark, folder):
     rates = field_match.rewrite_rates(joined_of(spark, folder)[2], REWRITE_PAIRS)
     return rounded(field_match.best_rewrites(rates))
+
+
+# ---- the search for a key, and whole tables -------------------------------------------------------
+
+# serial_no shares most of its values, but with other rows: a ghost. The rows agree along two columns of unlike names.
+GHOST_OLD = """select o_orderkey as serial_no, concat('A', cast(o_orderkey - o_orderkey % 5 as varchar(20))) as belnr,
+  concat('B', cast(o_orderkey % 5 as varchar(2)), 'x', cast(o_orderkey - o_orderkey % 7 as varchar(20))) as posten from orders"""
+GHOST_NEW = """select o_orderkey + 500 as serial_no, concat('A', cast(o_orderkey - o_orderkey % 5 as varchar(20))) as voucher,
+  concat('B', cast(o_orderkey % 5 as varchar(2)), 'x', cast(o_orderkey - o_orderkey % 7 as varchar(20))) as chapter from orders where o_orderkey % 97 <> 13"""
+GHOST_OLD_COLUMNS, GHOST_NEW_COLUMNS = ["serial_no", "belnr", "posten"], ["serial_no", "voucher", "chapter"]
+GHOST_CTES = {
+    **CANDIDATE_CTES, "old": GHOST_OLD, "ol": long_sql("old", GHOST_OLD_COLUMNS), "new": GHOST_NEW, "nl": long_sql("new", GHOST_NEW_COLUMNS),
+    "best": f"select * from (select *, row_number() over (partition by strategy order by score desc, old_column desc, new_column desc) as rn from ({CANDIDATE_SQL}) t) u where rn = 1",
+    "single": """select b.strategy, 1 + (b.strategy <> 'IDEAL_ID')::int as place, sh.n_old, sh.n_new, sh.n_shared,
+      (select count(*) from old o join new n using (serial_no) where o.belnr in (n.voucher, n.chapter) or o.posten in (n.voucher, n.chapter)) as n_with_context
+      from best b join sh on sh.old_column = b.old_column and sh.new_column = b.new_column where b.old_column = 'serial_no' and b.new_column = 'serial_no'""",
+}
+
+
+def sets_sql(table: str, names: list[str]) -> str:
+    """Distinct pairs of values of every ordered pair of columns."""
+    return " union ".join(f"select ['{a}', '{b}'] as k, concat(md5(cast({a} as varchar)), md5(cast({b} as varchar))) as v from {table}" for a in names for b in names if a != b)
+
+
+@query("anchor_found", with_tables("""
+select strategy, ['serial_no'] as old_key, ['serial_no'] as new_key, n_old, n_new, n_shared as n_joined,
+       case when n_with_context = 0 then 'GHOST_JOIN' else 'ACCEPTED' end as verdict, n_with_context > 0 as chosen from single
+union all
+select 'COMPOSITE', old_key, new_key, n_old, n_new, n_joined, 'ACCEPTED', true from (
+  select x.k as old_key, y.k as new_key, count(*) as n_joined, max(xn.n) as n_old, max(yn.n) as n_new
+  from x join y using (v) join (select k, count(*) as n from x group by k) xn on xn.k = x.k join (select k, count(*) as n from y group by k) yn on yn.k = y.k
+  where x.k[1] < x.k[2] group by 1, 2 order by count(*) / max(yn.n) desc, count(*) desc, old_key desc, new_key desc limit 1) t
+where n_joined / n_new >= 0.25 and (select max(n_with_context) from single) = 0
+""", **GHOST_CTES, x=sets_sql("old", GHOST_OLD_COLUMNS), y=sets_sql("new", GHOST_NEW_COLUMNS)))
+def anchor_found(spark, folder):
+    """The best single column joins rows that have nothing else in common, so the pair of columns is chosen."""
+    old, new = X.derive(spark, folder, GHOST_OLD), X.derive(spark, folder, GHOST_NEW)
+    tested, _ = search_anchor(old, new, anchors.anchor_quality(profile.value_counts(old)), anchors.anchor_quality(profile.value_counts(new)))
+    return tested.select("strategy", "old_key", "new_key", "n_old", "n_new", "n_joined", "verdict", "chosen")

@@ -181,23 +181,3 @@ def best_per_strategy(candidates: DataFrame) -> DataFrame:
     """The best pair of each strategy that found one."""
     best = F.max_by(F.struct("old_column", "new_column", "score"), F.struct("score", "old_column", "new_column"))
     return candidates.groupBy("place", "strategy").agg(best.alias("b")).select("place", "strategy", "b.*")
-
-
-def find_anchor(old: DataFrame, new: DataFrame, old_quality: DataFrame, new_quality: DataFrame) -> tuple[list[str], list[str], str] | None:
-    """(old key, new key, kind) of the first strategy whose best pair joins on real context, else the best composite."""
-    found = anchor_candidates(old, new, old_quality, new_quality)
-    # One row per strategy, three at most.
-    for row in sorted(best_per_strategy(found).collect()):
-        joined = anchored_join(old, new, [row.old_column], [row.new_column])
-        olds = [f"{c}_O" for c in old.columns if c != row.old_column]
-        news = [f"{c}_N" for c in new.columns if c != row.new_column]
-        verdict = join_quality(old, new, joined).first()
-        if verdict.verdict == "GOOD" and context_rows(joined, olds, news).first().n_with_context > 0:
-            return [row.old_column], [row.new_column], row.strategy
-    olds, news = eligible_names(old_quality), eligible_names(new_quality)
-    if len(olds) > 1 and len(news) > 1:
-        best = composite_candidates(old, new, olds, news).orderBy(F.col("overlap").desc(), "old_column", "new_column").first()
-        if best:
-            by_name = {f"{a}+{b}": [a, b] for names in (olds, news) for a, b in combinations(names, 2)}
-            return by_name[best.old_column], by_name[best.new_column], "COMPOSITE"
-    return None

@@ -156,9 +156,9 @@ def decide_matches(scored: DataFrame) -> DataFrame:
     )
 
 
-def match_fields(old: DataFrame, new: DataFrame, joined: DataFrame | None = None) -> DataFrame:
-    """Matches of all old columns; `joined` is the anchored join if a key was found."""
-    old_prints, new_prints = fingerprints(value_counts(old)), fingerprints(value_counts(new))
+def match_fields(old: DataFrame, new: DataFrame, joined: DataFrame | None = None, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Matches of all old columns; `joined` is the anchored join if a key was found, `counts` the value counts if they are known."""
+    old_prints, new_prints = map(fingerprints, counts or (value_counts(old), value_counts(new)))
     pairs = possible_pairs(old, new, comparable_overlap(old, new), old_prints, new_prints)
     if joined is None:
         rated = pairs.withColumn("rule", F.lit("NONE")).withColumn("row_match", F.lit(0.0))
