@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from concord.functions.formulas import Likeness, row_formula
 from concord.functions.numbers import col, number_of
-from concord.operators.joins import even_join, first_per_key
+from concord.operators.joins import even_join
+from concord.sources.scratch import stored
 
 # Pass rates of a good and of a doubtful rule.
 PASS_RATE, WARN_RATE = 0.95, 0.80
@@ -174,34 +175,56 @@ def audit_groups(df: DataFrame, key: str, rules: Sequence[RowRule], tolerance: f
     return _stack(parts)
 
 
-def aligned(a: DataFrame, b: DataFrame, key: str, order_a: str | None = None, order_b: str | None = None) -> DataFrame:
-    """Two sources joined on a key both have, one row per key on either side: (key, a.*, b.*) as structs."""
+def aligned(sources: dict[str, DataFrame], key: str, values: Sequence[tuple[str, Column]]) -> DataFrame:
+    """align_key, v0, v1...: all values (source and column) of all sources, a row per key; and s0, s1...: whether a
+    source has the key.
 
-    def unique(df: DataFrame, side: str, order: str | None) -> DataFrame:
-        present = df.filter(col(key).isNotNull())
-        names = [order] if order else df.columns
-        kept = first_per_key(present, [key], [col(n).asc_nulls_last() for n in names])
-        return kept.select(col(key).alias("align_key"), *[col(c).alias(f"{side}.{c}") for c in df.columns])
-
-    return unique(a, "a", order_a).join(unique(b, "b", order_b), ["align_key"])
+    One aggregation of the tagged sources, whatever their number: each is reduced to a row per key before the shuffle.
+    Of a repeated key the smallest value counts, for every value by itself.
+    """
+    names, tagged = list(dict.fromkeys(s for s, _ in values)), []
+    for name in names:
+        df = sources[name]
+        own = {f"v{i}": value.alias(f"v{i}") for i, (s, value) in enumerate(values) if s == name}
+        own |= {f"s{names.index(name)}": F.lit(True).alias(f"s{names.index(name)}")}
+        tagged.append(df.filter(col(key).isNotNull()).select(col(key).alias("align_key"), *own.values()))
+    rows = tagged[0]
+    for other in tagged[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    columns = [f"v{i}" for i in range(len(values))]
+    flags = [F.coalesce(F.max(f"s{i}"), F.lit(False)).alias(f"s{i}") for i in range(len(names))] if len(names) > 1 else [F.lit(True).alias("s0")]
+    return rows.groupBy("align_key").agg(*[F.min(c).alias(c) for c in columns], *flags)
 
 
 def audit_pairs(sources: dict[str, DataFrame], key: str, rules: Sequence[PairRule], tolerance: float = 0.01) -> DataFrame:
-    """Rules between aligned sources; keys only one source has are left out."""
-    results = []
+    """Rules between aligned sources; keys only one source of a rule has are left out.
+
+    The sources are aligned once, for all rules; two more aggregations over the aligned rows give the means that the
+    tolerances follow and the counts.
+    """
+    values: list[tuple[str, Column]] = []
+    places: dict[tuple[str, str], int] = {}
+    for rule in rules:
+        for source, formula in ((rule.source_a, rule.a), (rule.source_b, rule.b)):
+            value = row_formula(sources[source], formula)
+            if value is None:
+                raise ValueError(f"{rule.rule_id}: cannot evaluate {rule.a!r} or {rule.b!r}")
+            if (source, formula) not in places:
+                places[source, formula] = len(values)
+                values.append((source, value))
+    names = list(dict.fromkeys(s for s, _ in values))
+    rows = stored(aligned(sources, key, values), "aligned")
+    likes = []
     for rule in rules:
-        a, b = sources[rule.source_a], sources[rule.source_b]
-        left, right = row_formula(a, rule.a), row_formula(b, rule.b)
-        if left is None or right is None:
-            raise ValueError(f"{rule.rule_id}: cannot evaluate {rule.a!r} or {rule.b!r}")
-        pair = aligned(
-            a.withColumn("audit_value", left).select(key, "audit_value"), b.withColumn("audit_value", right).select(key, "audit_value"), key
-        )
-        like = Likeness(F.col("`a.audit_value`"), F.col("`b.audit_value`"), tolerance)
-        mean = pair.agg(like.mean_size()).scalar()
-        totals = pair.agg(F.count(F.lit(1)).alias("n"), F.count_if(like.holds(mean)).alias("p"))
-        results.append(_exploded(totals, [_entry(rule, "PAIR", F.col("p"), F.col("n") - F.col("p"))]))
-    return _stack(results)
+        both = F.col(f"s{names.index(rule.source_a)}") & F.col(f"s{names.index(rule.source_b)}")
+        a, b = (F.when(both, F.col(f"v{places[place]}")) for place in ((rule.source_a, rule.a), (rule.source_b, rule.b)))
+        likes.append((both, Likeness(a, b, tolerance)))
+    means = rows.agg(F.struct(*[like.mean_size().alias(f"m{i}") for i, (_, like) in enumerate(likes)]).alias("m")).scalar()
+    counts, entries = [], []
+    for i, (rule, (both, like)) in enumerate(zip(rules, likes)):
+        counts += [F.count_if(both).alias(f"n{i}"), F.count_if(both & like.holds(means[f"m{i}"])).alias(f"p{i}")]
+        entries.append(_entry(rule, "PAIR", F.col(f"p{i}"), F.col(f"n{i}") - F.col(f"p{i}")))
+    return _exploded(rows.agg(*counts), entries)
 
 
 def tag_codes(df: DataFrame, code: str, codes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from concord.sources.scratch import stored
+
 # A key with this many rows is spread over SALTS tasks. At most total_rows / HOT_ROWS keys can be hot,
 # which bounds the list of hot keys that is broadcast.
 HOT_ROWS = 1_000_000
@@ -50,8 +52,10 @@ def even_join(
         raise ValueError(f"even_join cannot do {how!r}")
     if small_enough(right):
         return left.join(F.broadcast(right), list(on), how)
-    hot = hot if hot is not None else hot_keys(left, on, hot_rows)
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot = stored(hot if hot is not None else hot_keys(left, on, hot_rows), "hot")
+    flag = hot.withColumn("_hot", F.lit(True))
+    if small_enough(hot):  # by the size of its files; a longer list is joined as any other table
+        flag = F.broadcast(flag)
     unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     # From the row itself, so that a stage that runs again deals its rows as before.
     salt = F.when(F.col("_hot") | unmatched, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
@@ -61,6 +65,31 @@ def even_join(
     return spread.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
+SIEVE_BITS = 23
+
+
+def marked(rows: DataFrame, keys: DataFrame, on: Sequence[str], bits: int = SIEVE_BITS) -> DataFrame:
+    """`rows` with the column `seen`: true for every row whose key is in `keys`, and for few others.
+
+    The keys become a bitmap of 2 ** bits places by their hash, a megabyte however many keys there are, which is
+    broadcast as rows of 4 KB. Rows that are not seen need no join with the keys, so they need not move. With more
+    keys than places little is ruled out and the join behind it does the work; results never depend on it.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << bits)) + 1  # Spark's bitmaps count from 1
+    maps = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map"))
+    bit = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substr("_map", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.call_function("getbit", byte, bit.bitwiseAND(7)) == 1, F.lit(False))
+    parted = rows.withColumn("_part", F.bitmap_bucket_number(place)).join(F.broadcast(stored(maps, "sieve")), ["_part"], "left")
+    return parted.withColumn("seen", found).drop("_part", "_map")
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str], bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows whose key is in `keys` (stored, each key once); few others are moved to find out."""
+    return marked(rows, keys, on, bits).filter("seen").drop("seen").join(keys.select(*on), list(on), "left_semi")
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first by `order`.
 

@@ -6,14 +6,16 @@ before the shuffle, so a key that holds a large share of the rows costs one row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.numbers import NUMBER, col, is_numeric, number_of
+from concord.operators.fingerprint_diff import multiset_hash
 from concord.rules import RowFilter
+from concord.sources.scratch import stored
 
 
 def row_test(row_filter: RowFilter) -> Column:
@@ -35,9 +37,14 @@ def row_test(row_filter: RowFilter) -> Column:
 
 
 class Side:
-    def __init__(self, df: DataFrame, name: str, key: Sequence[str]):
-        self.df, self.name, self.key = df, name, list(key)
+    """A table of a comparison. A `shared` one serves several comparisons: it collects what all of them ask, and what
+    comes out is computed once and stored."""
+
+    def __init__(self, df: DataFrame, name: str, key: Sequence[str], shared: bool = False):
+        self.df, self.name, self.key, self.shared = df, name, list(key), shared
         self._aggregates: dict[str, tuple[str, Column]] = {}
+        self._values: dict[str, tuple[int, Column]] = {}
+        self._held: dict[str, DataFrame] = {}
         self.rows()
 
     def _ask(self, label: str, aggregate: Column) -> Column:
@@ -110,5 +117,29 @@ class Side:
         """Text of the row with the smallest anchor."""
         return self._ask(f"first|{column}", F.min_by(col(column).cast("string"), col(anchor)))
 
+    def multiset(self, value: Column) -> list[Column]:
+        """The sums that stand for the multiset of a value's texts in the group."""
+        return [self._ask(f"multiset|{value}|{i}", part) for i, part in enumerate(multiset_hash(value))]
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if not self.shared:
+            return make()
+        if name not in self._held:
+            self._held[name] = stored(make(), name)
+        return self._held[name]
+
     def aggregated(self) -> DataFrame:
-        return self.df.groupBy(*self.key).agg(*[a.alias(n) for n, a in self._aggregates.values()])
+        return self._once("groups", lambda: self.df.groupBy(*self.key).agg(*[a.alias(n) for n, a in self._aggregates.values()]))
+
+    def ask_values(self, value: Column) -> int:
+        """Register a value whose different texts per group are wanted; returns its number."""
+        label = str(value)
+        if label not in self._values:
+            self._values[label] = (len(self._values), value)
+        return self._values[label][0]
+
+    def values(self) -> DataFrame:
+        """key, value_id, value: the different texts of all registered values, each once where the side is shared."""
+        pairs = F.array(*[F.struct(F.lit(i).alias("value_id"), v.cast("string").alias("value")) for i, v in self._values.values()])
+        rows = self.df.select(*self.key, F.explode(pairs).alias("p")).select(*self.key, "p.*").filter(F.col("value").isNotNull())
+        return self._once("values", rows.distinct) if self.shared else rows

@@ -7,48 +7,22 @@ spread over the cluster instead of being collected into one array.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass
-class ValueSet:
-    """The values of one mapping; either side may be absent."""
-
-    set_id: int
-    old_value: Column | None
-    new_value: Column | None
-
-
-def _long(df: DataFrame, key: Sequence[str], values: list[tuple[int, Column]], old: bool) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(i).alias("set_id"), v.cast("string").alias("value")) for i, v in values])
-    return (
-        df.select(*key, F.explode(pairs).alias("p"))
-        .select(*key, "p.set_id", "p.value", F.lit(old).alias("in_old"), F.lit(not old).alias("in_new"))
-        .filter(F.col("value").isNotNull())
-    )
-
-
-def value_table(
-    old: DataFrame, new: DataFrame, key: Sequence[str], new_key: Sequence[str], sets: Sequence[ValueSet],
-    fan_out: DataFrame | None = None,
-) -> DataFrame:
+def value_table(old: DataFrame | None, new: DataFrame | None, key: Sequence[str], old_sets: dict[int, list[int]], new_sets: dict[int, list[int]]) -> DataFrame:
     """key, set_id, value, in_old, in_new: which side holds which value.
 
-    Where several old groups share a new group, `fan_out` lists the old keys the new values go to.
+    `old` and `new` hold key, value_id, value; `old_sets` and `new_sets` say in which sets a value takes part.
     """
-    old_values = [(s.set_id, s.old_value) for s in sets if s.old_value is not None]
-    new_values = [(s.set_id, s.new_value) for s in sets if s.new_value is not None]
-    parts = []
-    if old_values:
-        parts.append(_long(old, key, old_values, True))
-    if new_values:
-        right = _long(new, new_key, new_values, False)
-        if fan_out is not None:
-            right = right.distinct().join(fan_out, list(new_key)).select(*key, "set_id", "value", "in_old", "in_new")
-        parts.append(right)
+    def tagged(rows: DataFrame, sets: dict[int, list[int]], is_old: bool) -> DataFrame:
+        of_value = F.create_map(*[part for i, own in sets.items() for part in (F.lit(i), F.array(*map(F.lit, own)))])
+        wanted = rows.filter(F.col("value_id").isin(list(sets))).select(*key, F.explode(of_value[F.col("value_id")]).alias("set_id"), "value")
+        return wanted.select("*", F.lit(is_old).alias("in_old"), F.lit(not is_old).alias("in_new"))
+
+    parts = [tagged(rows, sets, is_old) for rows, sets, is_old in ((old, old_sets, True), (new, new_sets, False)) if rows is not None and sets]
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return both.groupBy(*key, "set_id", "value").agg(F.max("in_old").alias("in_old"), F.max("in_new").alias("in_new"))
 

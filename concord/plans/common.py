@@ -49,7 +49,12 @@ def duplicate_anchor_error(df: DataFrame, anchor: str | None, table: str) -> Dat
     """One TRANSFORM_ERROR if the anchor repeats; its smallest repeated value is named."""
     if not anchor or anchor not in df.columns:
         return None
-    repeated = duplicate_keys(df, anchor).agg(F.min(col(anchor).cast("string")).alias("first"))
+    return repeated_anchor(duplicate_keys(df, anchor).select(col(anchor).cast("string").alias("key")), anchor, table)
+
+
+def repeated_anchor(keys: DataFrame, anchor: str, table: str) -> DataFrame:
+    """One TRANSFORM_ERROR if there are repeated keys (column `key`)."""
+    repeated = keys.agg(F.min("key").alias("first"))
     message = F.concat(
         F.lit(f"Anchor key [{anchor}] has duplicate values in [{table}] (first duplicate: \""),
         F.coalesce(F.col("first"), F.lit("")), F.lit("\")"),

@@ -7,7 +7,7 @@ key, and every mapping and business rule is one column over the joined row.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +18,11 @@ from concord.functions.numbers import (
 )
 from concord.functions.text import clean, concat_columns, date_text
 from concord.operators import defects, values
-from concord.operators.fingerprint_diff import fingerprint_counts, fingerprint_diff
-from concord.operators.joins import even_join
+from concord.operators.fingerprint_diff import fingerprint_gaps, new_fingerprint, old_fingerprint
 from concord.operators.rows import DATE_TRANSFORM, transformed_equal
 from concord.operators.sides import Side
 from concord.rules import DefRule, Mappings
+from concord.sources.scratch import stored
 
 
 def _unequal(n: dict[str, Column]) -> Column:
@@ -34,7 +34,7 @@ class GroupComparison:
     def __init__(
         self,
         old: DataFrame,
-        new: DataFrame,
+        new: DataFrame | Side,
         key: list[str],
         mappings: Mappings,
         tolerance: float = 0,
@@ -48,25 +48,38 @@ class GroupComparison:
         union_mode: bool = False,
         old_anchor: str | None = None,
         new_anchor: str | None = None,
+        old_key: list[str] | None = None,
+        translate: Callable[[DataFrame], DataFrame] | None = None,
+        more_checks: Callable[[Column], list[E.Check]] | None = None,
+        skipped: Column | None = None,
     ):
+        """`new` is a table, or a shared Side of several comparisons. `old_key` and `translate`: the old side is
+        aggregated by `old_key`, and `translate` adds the rest of `key` to what comes out. `skipped`: groups that are
+        neither passed nor failed. `more_checks`: checks of old groups without a counterpart, given the group's name."""
         self.spark = old.sparkSession
         self.key, self.new_key = key, new_key or key
-        self.old, self.new = Side(old, "old", self.key), Side(new, "new", self.new_key)
+        self.old = Side(old, "old", old_key or self.key)
+        self.new = new if isinstance(new, Side) else Side(new, "new", self.new_key)
+        self.translate, self.more_checks, self.skipped = translate, more_checks, F.lit(False) if skipped is None else skipped
         self.mappings, self.tolerance, self.noisy = mappings, tolerance, noisy
         self.defs, self.known_codes = defs, known_codes
         self.fingerprint, self.report_extra = fingerprint, report_extra
         self.blank_as_zero, self.union_mode = blank_as_zero, union_mode
         self.anchors = (old_anchor, new_anchor)
         self.group_key = F.concat_ws("::", *[F.col(k) for k in self.shown_key()])
-        self.sets: list[values.ValueSet] = []
+        self.sets: list[int] = []
         # Per set: when its values tell the sides apart, the mapping's name, and the sides to give.
         self.set_failures: dict[int, tuple[Column, str, list[str]]] = {}
         self.mapping_checks: list[E.Check] = []
         self.def_checks: list[E.Check] = []
         self.extra_columns: dict[str, Column] = {}
         self.broken_rules: list[dict] = []
+        self.old_sets: dict[int, list[int]] = {}
+        self.new_sets: dict[int, list[int]] = {}
         self._prepare()
-        self.joined = self._joined()
+        self.hashes: list[tuple[Column, Column]] = []
+        if fingerprint:
+            self.hashes = list(zip(self.old.multiset(old_fingerprint(self.old.df, fingerprint)), self.new.multiset(new_fingerprint(self.new.df, fingerprint))))
 
     def shown_key(self) -> list[str]:
         return self.new_key
@@ -114,7 +127,10 @@ class GroupComparison:
     ) -> tuple[int, Column]:
         """Add a pair of value sets; `test` says from their four counts whether they are worth an error."""
         i = len(self.sets)
-        self.sets.append(values.ValueSet(i, old_value, new_value))
+        self.sets.append(i)
+        for value, side, sets in ((old_value, self.old, self.old_sets), (new_value, self.new, self.new_sets)):
+            if value is not None:
+                sets.setdefault(side.ask_values(value), []).append(i)
         fails = test({n: F.coalesce(F.col(f"{n}_{i}"), F.lit(0)) for n in ("so", "sn", "xo", "xn")})
         self.set_failures[i] = (fails, name, list(sides))
         return i, fails
@@ -283,31 +299,41 @@ class GroupComparison:
 
     # ---- frames -----------------------------------------------------------------------------------
 
-    def _fan_out(self, old_groups: DataFrame) -> DataFrame | None:
-        if self.key == self.new_key:
+    @cached_property
+    def _old_groups(self) -> DataFrame:
+        groups = self.old.aggregated()
+        if self.translate:
+            groups = self.translate(groups)
+        # Where several old groups share a new one, the groups are read twice.
+        return stored(groups, "groups") if self.sets and self.key != self.new_key else groups
+
+    @cached_property
+    def value_table(self) -> DataFrame | None:
+        if not self.sets:
             return None
-        return old_groups.select(*self.key)
-
-    def _joined(self) -> DataFrame:
-        old, new = self.old.aggregated(), self.new.aggregated()
-        if self.key == self.new_key:
-            both = old.join(new, self.key, "full_outer")
-        else:
-            both = old.join(new, self.new_key, "full_outer")
-        self.value_table = None
+        old = self.old.values() if self.old_sets else None
+        if old is not None and self.translate:
+            old = self.translate(old.distinct())
+        new = self.new.values() if self.new_sets else None
+        if new is not None and self.key != self.new_key:
+            new = new.distinct().join(self._old_groups.select(*self.key), self.new_key)
+        return values.value_table(old, new, self.key, self.old_sets, self.new_sets)
+
+    @cached_property
+    def joined(self) -> DataFrame:
+        """A row per group of either side. Built when every comparison that shares a side has asked for what it needs."""
+        both = self._old_groups.join(self.new.aggregated(), self.new_key, "full_outer")
         if self.sets:
-            self.value_table = values.value_table(
-                self.old.df, self.new.df, self.key, self.new_key, self.sets, self._fan_out(old)
-            )
-            self.counts = values.set_counts(self.value_table, self.key, [s.set_id for s in self.sets])
-            both = both.join(self.counts, self.key, "left")
+            both = both.join(values.set_counts(self.value_table, self.key, self.sets), self.key, "left")
         n_old, n_new = F.coalesce(self.old.rows(), F.lit(0)), F.coalesce(self.new.rows(), F.lit(0))
         both = both.withColumns({"rows_old": n_old, "rows_new": n_new})
         if self.extra_columns:
             both = both.withColumns(self.extra_columns)
         in_old, in_new = F.col("rows_old") > 0, F.col("rows_new") > 0
+        alone = in_old & ~in_new & ~self.skipped
+        more = [(alone & test, made) for test, made in (self.more_checks(self.group_key) if self.more_checks else [])]
         missing = (
-            in_old & ~in_new,
+            alone & ~E.any_holds(more),
             E.error(E.ROW_MISSING, group_key=self.group_key, message=F.concat(
                 F.lit("Group ["), self.group_key, F.lit("] found in source but not in target"))),
         )
@@ -319,26 +345,43 @@ class GroupComparison:
         compared = in_old & in_new
         mapped = [(compared & test, made) for test, made in self.mapping_checks]
         ruled = [(compared & test, made) for test, made in self.def_checks]
-        self.checks = [missing, *([extra] if self.report_extra else []), *mapped, *ruled]
+        self.checks = [missing, *more, *([extra] if self.report_extra else []), *mapped, *ruled]
+        unlike = F.lit(False)
+        for a, b in self.hashes:
+            unlike = unlike | ~a.eqNullSafe(b)
         return both.withColumns({
-            "mapping_failed": E.any_holds(mapped), "failed": E.any_holds([missing, *mapped, *ruled]),
+            "mapping_failed": E.any_holds(mapped), "failed": E.any_holds([missing, *more, *mapped, *ruled]),
+            "rows_differ": unlike, "skipped": self.skipped & in_old,
         })
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """The verdict, errors and failing sets of every group, stored: errors, accounting, groups and differences of a
+        run come from here, so the tables are compared once however many reports are written."""
+        picks = [
+            (F.struct(F.lit(i).alias("set_id"), F.lit(name).alias("mapping"), F.array(*map(F.lit, sides)).alias("wanted")), fails)
+            for i, (fails, name, sides) in self.set_failures.items()
+        ]
+        both = (F.col("rows_old") > 0) & (F.col("rows_new") > 0)
+        joined = self.joined
+        wanted = [E.held([(both & fails, made) for made, fails in picks]).alias("sets")] if picks else []
+        return stored(joined.select(
+            *self.key, "rows_old", "rows_new", "mapping_failed", "failed", "rows_differ", "skipped", E.held(self.checks).alias("found"), *wanted), "judged")
+
     def groups(self) -> DataFrame:
         """Key, rows on either side and verdict of every group."""
-        return self.joined.select(*self.key, "rows_old", "rows_new", "mapping_failed", "failed")
+        return self.judged.select(*self.key, "rows_old", "rows_new", "mapping_failed", "failed")
 
     def errors(self) -> DataFrame:
         """Error rows without rule and table names."""
-        found = E.explode_errors(self.joined.select(E.held(self.checks).alias("found")), "found")
+        found = E.explode_errors(self.judged.filter(F.size("found") > 0), "found")
         if self.fingerprint:
             found = found.unionByName(self._fingerprint_errors())
         return found
 
     def _fingerprint_errors(self) -> DataFrame:
-        failing = self.joined.filter("mapping_failed").select(*self.key)
-        counts = fingerprint_counts(self.old.df, self.new.df, self.key, self.fingerprint)
-        gaps = even_join(fingerprint_diff(counts), failing, self.key, "left_semi")
+        failing = self.judged.filter("mapping_failed and rows_differ").select(*self.key)
+        gaps = fingerprint_gaps(self.old.df, self.new.df, self.key, self.fingerprint, failing)
         message = F.concat(
             F.lit("[FP] "), F.col("copies").cast("string"),
             F.when(F.col("side") == "missing_in_target", F.lit("x in source not in target")).otherwise(
@@ -356,20 +399,15 @@ class GroupComparison:
         """Every value that tells the sides of a failing mapping or value check apart: key, mapping, value, side."""
         if self.value_table is None:
             return None
-        both = (F.col("rows_old") > 0) & (F.col("rows_new") > 0)
-        picks = [
-            (both & fails, F.struct(F.lit(i).alias("set_id"), F.lit(name).alias("mapping"), F.array(*map(F.lit, sides)).alias("wanted")))
-            for i, (fails, name, sides) in self.set_failures.items()
-        ]
-        failing = self.joined.select(*self.key, F.explode(E.held(picks)).alias("w")).select(*self.key, "w.*")
+        failing = self.judged.select(*self.key, F.explode("sets").alias("w")).select(*self.key, "w.*")
         return values.differences(self.value_table, failing, self.key)
 
     def accounting(self) -> DataFrame:
         """Old rows checked, in groups without and with errors."""
         rows = F.col("rows_old")
         zero = F.lit(0).cast("long")
-        return self.joined.agg(
+        return self.judged.agg(
             F.coalesce(F.sum(rows), zero).alias("rows_checked"),
-            F.coalesce(F.sum(F.when(~F.col("failed"), rows)), zero).alias("pass_rows"),
+            F.coalesce(F.sum(F.when(~F.col("failed") & ~F.col("skipped"), rows)), zero).alias("pass_rows"),
             F.coalesce(F.sum(F.when(F.col("failed"), rows)), zero).alias("fail_rows"),
         )

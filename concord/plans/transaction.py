@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord import errors as E
@@ -60,20 +62,21 @@ def _details(comparison: GroupComparison) -> dict[str, DataFrame]:
     return found
 
 
-def with_mapped_part(old: DataFrame, rule: Rule, find: Resolver) -> DataFrame:
-    """Old rows with both key parts; the second is translated by the look-up table, null where it has no entry."""
+def _translation(rule: Rule, find: Resolver) -> Callable[[DataFrame], DataFrame]:
+    """Adds the new account to rows with an old one; null where the look-up table has no entry."""
     ck = rule.grouping.composite_key
-    rows = old.withColumn(KEY, key_text(rule.grouping.old_key)).withColumn(OLD_PART, clean(col(ck.old_col)))
-    rows = rows.filter(F.col(OLD_PART).isNotNull())
     if ck.mapping is None:
-        return rows.withColumn(PART, F.col(OLD_PART))
+        return lambda groups: groups.withColumn(PART, F.col(OLD_PART))
     lookup = lookup_table(find(ck.mapping.table), col(ck.mapping.lookup_col), col(ck.mapping.result_col))
-    return even_join(
-        rows, lookup.withColumnsRenamed({"lookup_key": OLD_PART, "lookup_value": PART}), [OLD_PART], "left"
-    )
+    named = lookup.withColumnsRenamed({"lookup_key": OLD_PART, "lookup_value": PART})
+    return lambda groups: even_join(groups, named, [OLD_PART], "left")
 
 
 def _composite(rule: Rule, find: Resolver) -> Outcome:
+    """Old rows are aggregated by their own account; accounts are translated on the groups, a row per key and account.
+
+    Groups without a new account fail; rows without an old one are checked, and neither passed nor failed.
+    """
     g, ck = rule.grouping, rule.grouping.composite_key
     old_table, new_table = find(rule.source), find(rule.target)
     old = source_rows(old_table, rule.source_filter)
@@ -82,32 +85,22 @@ def _composite(rule: Rule, find: Resolver) -> Outcome:
         [g.old_key, ck.old_col], [g.new_key, ck.new_col],
     )
     noisy = noisy_of(old, mappings)
-    rows = with_mapped_part(old, rule, find)
+    rows = old.withColumn(KEY, key_text(g.old_key)).withColumn(OLD_PART, clean(col(ck.old_col)))
     right = (
         new_table.withColumn(KEY, key_text(g.new_key)).withColumn(PART, clean(col(ck.new_col)))
         .filter(F.col(PART).isNotNull())
     )
+
+    def unmapped(_: Column) -> list[E.Check]:
+        return [(F.col(PART).isNull(), E.error(
+            E.ROW_MISSING, group_key=F.concat_ws("::", KEY, OLD_PART),
+            message=F.concat(F.lit(f"No account mapping found for old [{ck.old_col}="), F.col(OLD_PART), F.lit("]")),
+        ))]
+
     comparison = GroupComparison(
-        rows.filter(F.col(PART).isNotNull()), right, [KEY, PART, OLD_PART], mappings, rule.tolerance, noisy,
+        rows, right, [KEY, PART, OLD_PART], mappings, rule.tolerance, noisy,
         rule.defs, rule.known_codes, (), rule.extras_wanted(), rule.blank_as_zero, new_key=[KEY, PART],
+        old_key=[KEY, OLD_PART], translate=_translation(rule, find), more_checks=unmapped, skipped=F.col(OLD_PART).isNull(),
     )
-    unmapped = (
-        rows.filter(F.col(PART).isNull()).groupBy(KEY, OLD_PART).agg(F.count(F.lit(1)).alias("rows_old"))
-    )
-    unmapped_errors = unmapped.select(E.error(
-        E.ROW_MISSING, group_key=F.concat_ws("::", KEY, OLD_PART),
-        message=F.concat(F.lit(f"No account mapping found for old [{ck.old_col}="), F.col(OLD_PART), F.lit("]")),
-    ).alias("e")).select("e.*")
-    lost = unmapped.agg(
-        F.coalesce(F.sum("rows_old"), F.lit(0)).alias("rows_checked"),
-        F.lit(0).cast("long").alias("pass_rows"),
-        F.coalesce(F.sum("rows_old"), F.lit(0)).alias("fail_rows"),
-    )
-    # Rows without an account belong to no group: checked, and neither passed nor failed.
-    none = F.lit(0).cast("long")
-    skipped = old.filter(clean(col(ck.old_col)).isNull()).agg(F.count(F.lit(1)).alias("rows_checked"), none.alias("pass_rows"), none.alias("fail_rows"))
-    errors = gather(
-        rule, [comparison.errors(), unmapped_errors, total_mismatch_errors(rule, find)], fixed + comparison.broken_rules
-    )
-    accounting = comparison.accounting().unionByName(lost).unionByName(skipped)
-    return Outcome(rule, errors, accounting, _details(comparison))
+    errors = gather(rule, [comparison.errors(), total_mismatch_errors(rule, find)], fixed + comparison.broken_rules)
+    return Outcome(rule, errors, comparison.accounting(), _details(comparison))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,23 @@ from concord.operators.report import (
     def_report, mapping_order, merged_breakdown, report_order, summary,
 )
 from concord.plans.outcome import Outcome
+from concord.sources.scratch import scratch_path, stored
 
 DETAIL_COLUMNS = [f for f in FIELDS if f != "report_fields"]
 
 
+def settled(outcome: Outcome) -> Outcome:
+    """The outcome with errors and accounting as tables in the shared folder: computed once for all reports.
+
+    Errors lie in a folder per type, so the report of a business rule reads defects only.
+    """
+    spark = outcome.errors.sparkSession
+    path = scratch_path(spark, "errors")
+    outcome.errors.write.partitionBy("error_type").parquet(path)
+    errors = spark.read.schema(outcome.errors.schema).parquet(path).select(*FIELDS)
+    return replace(outcome, errors=errors, accounting=stored(outcome.accounting, "accounting"))
+
+
 def write_detail(outcome: Outcome, folder: str, form: str = "csv") -> None:
     """Detail log: a folder per error type."""
     writer = outcome.errors.select(*DETAIL_COLUMNS).write.mode("overwrite").partitionBy("error_type").format(form)
@@ -70,8 +85,9 @@ def write_mapping_report(matches: DataFrame, folder: str) -> None:
 
 
 def write_run(outcomes: list[Outcome], folder: str, form: str = "csv") -> None:
-    """All reports of a run. Cache the outcomes' frames first if several writers should share one pass."""
-    for outcome in outcomes:
+    """All reports of a run, from one computation of each rule."""
+    known = [settled(o) for o in outcomes]
+    for outcome in known:
         write_detail(outcome, f"{folder}/Detail_Log/{outcome.rule.name}", form)
         write_def_reports(outcome, f"{folder}/{outcome.rule.name}")
-    write_summary(outcomes, folder)
+    write_summary(known, folder)
