@@ -164,33 +164,64 @@ def split_formula(spark, folder):
     return found.select("formula", F.round("match_rate", 6).alias("match_rate"))
 
 
-@query("split_siblings", with_tables("""
-select 'interest' as old_column, 'debitinterest' as primary_column, 'creditinterest' as sibling_column, 'DEBIT_CREDIT_SPLIT' as split_type
-from (select count(*) as n from new) t where n >= 0
-""", new=SPLIT_NEW))
+def pair_ctes(old: str, old_columns: list[str], new: str, new_columns: list[str]) -> dict[str, str]:
+    """What `field_sql` needs, for any two tables."""
+    return {**C.side_ctes("old", old, old_columns), **C.side_ctes("new", new, new_columns),
+            **{k: v for k, v in C.OVERLAP_CTES.items() if k in ("ov", "nv", "shared_pairs")}, "places": C.names_sql(new_columns)}
+
+
+def stem_sql(name: str) -> str:
+    prefixes, suffixes = "|".join(field_match.SPLIT_PREFIXES), "|".join(field_match.SPLIT_SUFFIXES)
+    return f"regexp_replace(regexp_replace(lower({name}), '^(?:{prefixes})(.{{4}}.*)$', '\\1'), '^(.{{4,}}?)(?:{suffixes})$', '\\1')"
+
+
+def stem_similarity_sql(stem: str, name: str) -> str:
+    return (f"case when length({stem}) < 4 then 0 when {stem} = lower({name}) then 1 when contains(lower({name}), {stem}) then length({stem}) / length(lower({name})) "
+            f"else 1 - levenshtein({stem}, lower({name})) / greatest(length({stem}), length({name})) end")
+
+
+SPLIT_KIND_SQL = "case " + " ".join(
+    f"when (contains(lower(primary_column), '{a}') or contains(lower(primary_column), '{b}')) and (contains(lower(sibling_column), '{a}') or contains(lower(sibling_column), '{b}')) then '{kind}'"
+    for a, b, kind in field_match.SPLIT_TYPES) + " else 'UNKNOWN_SPLIT' end"
+
+
+@query("split_siblings", with_tables(f"""
+select old_column, primary_column, sibling_column, {SPLIT_KIND_SQL} as split_type from (
+  select *, {stem_sql('old_column')} as old_stem, {stem_sql('primary_column')} as primary_stem, {stem_sql('sibling_column')} as sibling_stem
+  from (select old_column, new_column as primary_column from settled where new_column is not null and status not in ('EMPTY_COLUMN', 'ZERO_COLUMN')) a,
+       (select column_name as sibling_column from places where column_name not in (select new_column from settled where new_column is not null)) b) t
+where (length(old_column) >= 4 and contains(lower(sibling_column), lower(old_column)))
+  or {stem_similarity_sql('old_stem', 'sibling_column')} > 0.6 or {stem_similarity_sql('primary_stem', 'sibling_stem')} > 0.65
+""", **pair_ctes(SPLIT_OLD, ["key", "interest", "state_code"], SPLIT_NEW, ["key", "debitinterest", "creditinterest", "state_code"]), m=field_sql(False),
+    settled="""select old_column, new_column, status from m where old_column <> 'interest' and (new_column is null or new_column <> 'debitinterest')
+    union all select 'interest', 'debitinterest', 'VERIFIED (Schema Mapping)'"""))
 def split_siblings(spark, folder):
     old, new = X.derive(spark, folder, SPLIT_OLD), X.derive(spark, folder, SPLIT_NEW)
-    matches = field_match.match_fields(old, new).filter("old_column in ('interest', 'state_code', 'key')")
     # The tie between the two halves is settled by configuration, as a user would.
-    settled = field_match.with_configured(matches, [("interest", "debitinterest")])
+    settled = field_match.with_configured(field_match.match_fields(old, new), [("interest", "debitinterest")])
     return field_match.split_siblings(settled, new.columns).select("old_column", "primary_column", "sibling_column", "split_type")
 
 
-WIDE_OLD = "select o_orderkey as key, cast(o_totalprice as decimal(18,2)) as quarterly_turnover_of_the_branch from orders"
-WIDE_NEW = "select o_orderkey % 7 as x, o_orderkey % 7 + 1 as quarterly_turnover_debit, o_orderkey % 7 + 2 as quarterly_turnover_credit from orders"
+WIDE_OLD = """select o_orderkey as key, cast(o_totalprice as decimal(18,2)) as qty_of_all_pieces_ever_delivered, o_custkey as customer_no, o_orderstatus as qty_state_of_the_order_line from orders"""
+WIDE_NEW = """select o_orderkey as key, o_orderkey % 7 + 1 as qtyin, o_orderkey % 7 + 2 as qtyout, o_custkey as customerno, o_orderkey % 5 + 1 as cust from orders"""
+WIDE_OLD_COLUMNS, WIDE_NEW_COLUMNS = ["key", "qty_of_all_pieces_ever_delivered", "customer_no", "qty_state_of_the_order_line"], ["key", "qtyin", "qtyout", "customerno", "cust"]
+START_SQL = "left(lower({0}), cast(greatest(3, floor(length({0}) * 0.5)) as bigint))"
 
 
-@query("split_candidates", with_tables("""
-select 'quarterly_turnover_of_the_branch' as old_column, cast(['quarterly_turnover_credit', 'quarterly_turnover_debit'] as varchar[]) as new_columns, cast(2 as bigint) as n_columns
-from (select count(*) as n from new) t where n >= 0
-""", new=WIDE_NEW))
+@query("split_candidates", with_tables(f"""
+select old_column, list(new_column order by new_column) as new_columns, count(*) as n_columns
+from (select old_column from m where status = 'NO_MATCH' and old_type = 'numeric') o,
+     (select column_name as new_column from places where column_name not in (select new_column from m where new_column is not null and status not in ('NO_MATCH', 'SAME_NAME_DIFF_DATA'))) n
+where starts_with(lower(new_column), {START_SQL.format('old_column')}) or starts_with(lower(old_column), {START_SQL.format('new_column')})
+group by old_column having count(*) >= 2
+""", **{**C.BOTH_META, "old": WIDE_OLD, "new": WIDE_NEW, "old_long": C.long_sql("old", WIDE_OLD_COLUMNS), "new_long": C.long_sql("new", WIDE_NEW_COLUMNS),
+        "places": C.names_sql(WIDE_NEW_COLUMNS)}, m=C.MATCH_SQL))
 def split_candidates(spark, folder):
-    """Names that begin alike; a match below every threshold is taken as none."""
+    """Numeric columns that match nothing, with unmatched new columns whose names begin alike."""
     from concord.operators import matching
 
     old, new = X.derive(spark, folder, WIDE_OLD), X.derive(spark, folder, WIDE_NEW)
-    matches = matching.match_columns(old, new).withColumn(
-        "status", F.when(F.col("confidence") < 0.75, "NO_MATCH").otherwise(F.col("status")))
+    matches = matching.match_columns(old, new)
     rest = matching.unmatched_new(matches, schema.name_list(spark, new.columns, "column_name"))
     return matching.split_candidates(matches, rest)
 
@@ -376,14 +407,18 @@ def fn_transforms(spark, folder):
         text.concat_columns([F.col("padded"), F.col("maybe")], "/").alias("joined"), text.prefix(F.trim("padded"), 3).alias("prefix"))
 
 
+# The same rewrites on texts of any script: letters beyond ASCII are letters, and one of them has two capitals.
+TEXT_REWRITE_SQL = {**C.REWRITE_SQL, "REMOVE_PUNCTUATION": r"regexp_replace({0}, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]', '', 'g')", "UPPERCASE": "upper(replace({0}, 'ß', 'SS'))"}
+
+
 @query("fn_rewrites", with_tables(
-    "select doc_id, " + ", ".join(f"md5({sql.format('text')}) as {rule.lower()}" for rule, sql in C.REWRITE_SQL.items() if rule in ("RAW", "REMOVE_SPACES", "STRIP_HYPHENS", "NUMERIC_ONLY"))
-    + ", ltrim(cast(doc_id as varchar), '0') as strip_leading_zeros from documents", one="select 1"))
+    "select doc_id, " + ", ".join(f"md5({sql.format('text')}) as {rule.lower()}" for rule, sql in TEXT_REWRITE_SQL.items())
+    + ", ltrim(lpad(cast(doc_id as varchar), 12, '0'), '0') as padded_id from documents", one="select 1"))
 def fn_rewrites(spark, folder):
+    """All rewrites on whole texts."""
     docs = X.tables(spark, folder, "documents")["documents"]
-    kept = ("RAW", "REMOVE_SPACES", "STRIP_HYPHENS", "NUMERIC_ONLY")
-    return docs.select("doc_id", *[F.md5(text.REWRITES[r](F.col("text"))).alias(r.lower()) for r in kept],
-                       text.REWRITES["STRIP_LEADING_ZEROS"](F.col("doc_id")).alias("strip_leading_zeros"))
+    return docs.select("doc_id", *[F.md5(rewrite(F.col("text"))).alias(name.lower()) for name, rewrite in text.REWRITES.items()],
+                       text.REWRITES["STRIP_LEADING_ZEROS"](F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("padded_id"))
 
 
 @query("fn_numbers", with_tables(f"""
@@ -480,6 +515,29 @@ def src_sample(spark, folder):
         F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_keys"))
 
 
+@query("src_sample_rows", "select o_orderkey, o_custkey from orders order by md5(cast(o_orderkey as varchar)), o_orderkey limit 500")
+def src_sample_rows(spark, folder):
+    """Which rows the sample holds, by a hash that any engine has."""
+    orders = X.tables(spark, folder, "orders")["orders"]
+    return repeatable_sample(orders, 500, [F.md5(F.col("o_orderkey").cast("string")), F.col("o_orderkey")]).select("o_orderkey", "o_custkey")
+
+
+@query("code_list_tags", """
+select c_nationkey, case when n_name is null then concat('UNKNOWN:', cast(c_nationkey as varchar)) else n_name end as affect_tag,
+       case when n_name is null then 'UNKNOWN' else concat('R', cast(n_regionkey as varchar)) end as affect_category, count(*) as n
+from customer left join (select * from nation where n_nationkey % 5 <> 3) x on n_nationkey = c_nationkey group by all
+""")
+def code_list_tags(spark, folder):
+    """A code list written as JSON, read back and used for tags."""
+    t = X.tables(spark, folder, "nation", "customer")
+    path = scratch(spark, "codes")
+    entry = F.struct(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("description"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("category"))
+    # One JSON document of a few dozen codes, as such lists are.
+    t["nation"].filter("n_nationkey % 5 <> 3").agg(F.collect_list(entry).alias("codes")).coalesce(1).write.json(path)
+    codes = files.code_list(spark, path)
+    return audit.tag_codes(t["customer"], "c_nationkey", codes).groupBy("c_nationkey", "affect_tag", "affect_category").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sink_detail", f2b("select error_type, count(*) as n from e group by error_type", **BREAKDOWN_CTES))
 def sink_detail(spark, folder):
     """The detail log, written and read back."""
@@ -498,6 +556,48 @@ def sink_summary(spark, folder):
     return spark.read.option("header", True).csv(f"{path}/Error_Summary").select("error_type", "def_id", "count")
 
 
+SUMMARY_SQL = """
+select 'long' as rule, 'old' as source_table, 'new' as target_table, 'FAIL' as status, (select count(*) from old) as rows_checked,
+       (select count(*) from old where sysref not in (select k from e where k is not null)) as "pass",
+       (select count(*) from old where sysref in (select k from e where k is not null)) as fail, 0 as skipped, count(*) as total_errors,
+       count(case when error_type like '%MISSING' then 1 end) as missing,
+       (select string_agg(message, ' | ' order by message) from (
+         select concat('Source [old] has ', count(*), ' unmapped column(s): ', string_agg(column_name, ', ' order by place)) as message from old_names where column_name not in ('sysref', 'transactionamount')
+         union all select concat('Target [new] has ', count(*), ' unmapped column(s): ', string_agg(column_name, ', ' order by place)) from new_names where column_name not in ('sysrefno', 'transactionamount')) r) as remarks
+from e
+"""
+F2_OLD_COLUMNS = ["sysref", "affectcode", "debitcredit", "loantranshostcode", "accountno", "transactionamount", "quantity", "tellerid", "l_orderkey", "l_partkey", "l_linenumber"]
+F2B_NEW_COLUMNS = ["sysrefno", "affectcode", "debitcredit", "accountno", "transactionamount", "quantity", "tellerid", "code_side", "l_orderkey", "l_partkey", "l_linenumber"]
+SUMMARY_CTES = {**BREAKDOWN_CTES, "old_names": C.names_sql(F2_OLD_COLUMNS), "new_names": C.names_sql(F2B_NEW_COLUMNS)}
+
+
+@query("summary_remarks", f2b(SUMMARY_SQL.replace(" as rows_checked", "::bigint as rows_checked").replace("0 as skipped", "0::bigint as skipped"), **SUMMARY_CTES))
+def summary_remarks(spark, folder):
+    """The whole summary row of a rule, with the messages about its columns."""
+    return report.summary([long(spark, folder, FULL)])
+
+
+@query("sink_summary_report", f2b("select rule, source_table, target_table, status, " + ", ".join(
+    f'cast("{c}" as varchar) as "{c}"' for c in ("rows_checked", "pass", "fail", "skipped", "total_errors", "missing")) + ", remarks from s", **SUMMARY_CTES, s=SUMMARY_SQL))
+def sink_summary_report(spark, folder):
+    """All reports of a run, of which the summary is read back."""
+    path = scratch(spark, "run")
+    sinks.write_run([long(spark, folder, FULL)], path)
+    return spark.read.option("header", True).csv(f"{path}/Summary_Report")
+
+
+@query("error_summary_order", f2b("""
+select error_type, def_id, cast(row_number() over (order by case when error_type = 'DEFECT_VIOLATION' then 0 else 1 end, concat(coalesce(def_id, ''), error_type)) as integer) as place,
+       count(*) as n from e group by error_type, def_id
+""", **BREAKDOWN_CTES))
+def error_summary_order(spark, folder):
+    """Where each line stands in the written error summary."""
+    path = scratch(spark, "order")
+    sinks.write_summary([long(spark, folder, FULL)], path)
+    lines = spark.read.option("header", True).csv(f"{path}/Error_Summary").coalesce(1)  # a line per type of error
+    return lines.select("error_type", "def_id", (F.monotonically_increasing_id() + 1).cast("int").alias("place"), F.col("count").cast("long").alias("n"))
+
+
 @query("sink_def_report", with_tables("select group_key, message as shown from m", **{
     "old": X.F2_OLD, "new": X.F2B_NEW, "m": """select k as group_key, concat(cast(o as varchar), ' vs ', cast(n as varchar)) as message
 from (select sysref as k, count(*) as o from old group by sysref) a join (select sysrefno as k, count(*) as n from new group by sysrefno) b using (k) where o <> n"""}))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as X
-from checks.catalog import plain, query, with_tables
+from checks.catalog import ORACLES, plain, query, with_tables
 from concord.operators import report
 from concord.operators.fingerprint_diff import fingerprint_gaps
 from concord.operators.keys import sums_by_code
@@ -808,3 +810,83 @@ select cast(2 as bigint) as total_tables, cast(case when (select count(*) from e
 def summary_overall(spark, folder):
     """A table compared with itself passes, a defective one fails."""
     return report.overall(report.summary([long(spark, folder, FULL), run(spark, folder, SAME, old=X.F2_OLD)]))
+
+
+# ---- rules that break, balance and associate ------------------------------------------------------
+
+BROKEN_RULE = DefRule("broken", (Action("ROW_LEVEL_COHESION", {"a": "COUNT(old)"}, "a === (", "never"),))
+# A ledger of its own: the six routed columns of a target row add up to its amount.
+BALANCE_RULE = DefRule("balance", (Action(
+    "ROW_LEVEL_COHESION", {"total": "SUM(new.transactionamount)", **{c: f"SUM(new.{c})" for c in WIDE}}, " + ".join(WIDE) + " == total", "{total}"),))
+# Debits are turned round: what the legacy table holds as a debit stands on the debit side alone.
+SIGN_RULE = DefRule("sign", (Action(
+    "ROW_LEVEL_COHESION",
+    {"gave": "SUM(old.transactionamount[debitcredit=D])", "took": "SUM(old.transactionamount[debitcredit=C])",
+     **{c: f"SUM(new.{c})" for c in WIDE}},
+    "took - gave == " + " + ".join(c for c in WIDE if c.startswith("credit")) + " - " + " - ".join(c for c in WIDE if c.startswith("debit")), "{took} {gave}"),))
+
+
+@query("def_broken_rule", f2b("""
+select 'DEFECT_VIOLATION' as error_type, 'vali002' as def_id, k as group_key
+from (select sysref as k, count(*) as o from old group by sysref) a join (select sysrefno as k, count(*) as n from new group by sysrefno) b using (k) where o <> n
+union all select 'TRANSFORM_ERROR', 'broken', null
+"""))
+def def_broken_rule(spark, folder):
+    """A rule that cannot be read is one error; the other rule goes on."""
+    found = long(spark, folder, long_rule(Mappings(), (BROKEN_RULE, COUNT_RULE))).errors
+    return found.filter("error_type in ('DEFECT_VIOLATION', 'TRANSFORM_ERROR')").select("error_type", "def_id", "group_key")
+
+
+@query("def_ledger", f2(f"""
+select sysref as group_key, 'balance' as def_id from new join o using (sysref) where abs({' + '.join(WIDE)} - transactionamount) > 0.01
+union all
+select sysref, 'sign' from new join
+  (select sysref, sum(case when debitcredit = 'C' then cast(transactionamount as decimal(28,8)) else 0 end) - sum(case when debitcredit = 'D' then cast(transactionamount as decimal(28,8)) else 0 end) as net from old group by sysref) l
+  using (sysref) where abs(net - ({' + '.join(c for c in WIDE if c.startswith('credit'))} - {' - '.join(c for c in WIDE if c.startswith('debit'))})) > 0.01
+"""))
+def def_ledger(spark, folder):
+    """Rules about a ledger's own balance and its signs."""
+    found = wide(spark, folder, wide_rule(Mappings(), (BALANCE_RULE, SIGN_RULE))).errors
+    return found.filter("error_type = 'DEFECT_VIOLATION'").select("group_key", "def_id")
+
+
+@query("associate_compare", ORACLES["master_compare"])
+def associate_compare(spark, folder):
+    """ASSOCIATE tables are held against each other as MASTER tables are."""
+    return master(spark, folder, replace(MASTER, table_type="ASSOCIATE")).errors.filter("row_id is not null").select(
+        "row_id", "error_type", "old_column", "new_column", "old_value", "new_value")
+
+
+# Two columns that no mapping names, with nearly the same name; some rows differ in them.
+NEAR_OLD = "select o_orderkey as key_no, o_custkey as customer, o_orderstatus as order_status_code, o_orderpriority as left_alone from orders"
+NEAR_NEW = "select o_orderkey as key_no, o_custkey as customer, case when o_orderkey % 29 = 4 then concat(o_orderstatus, 'x') else lower(o_orderstatus) end as order_statuscode, 1 as another from orders"
+NEAR = Rule("near", "MASTER", "old", "new", Mappings(exact=(Exact("customer", "customer"),)), old_anchor="key_no", new_anchor="key_no")
+
+
+@query("master_fallback", with_tables("""
+select cast(key_no as varchar) as row_id, 'VALUE_MISMATCH' as error_type, 'order_status_code' as old_column, 'order_statuscode' as new_column, cast(null as varchar) as message
+from old join new using (key_no) where lower(order_status_code) <> lower(order_statuscode)
+union all select null, 'DATA_MISSING', null, null, 'Source [old] has 2 unmapped column(s): order_status_code, left_alone' from (select count(*) as n from old) t
+union all select null, 'DATA_MISSING', null, null, 'Target [new] has 2 unmapped column(s): order_statuscode, another' from (select count(*) as n from new) t
+""", old=NEAR_OLD, new=NEAR_NEW))
+def master_fallback(spark, folder):
+    """What a validator returns about columns no mapping names: reported, and compared where the names are alike."""
+    found = run(spark, folder, NEAR, old=NEAR_OLD, new=NEAR_NEW).errors
+    return found.select("row_id", "error_type", "old_column", "new_column", F.when(F.col("error_type") == "DATA_MISSING", F.col("message")).alias("message"))
+
+
+LOST = Rule("lost", "TRANSACTION", "old", "new", Mappings(
+    exact=(Exact("affectcode", "affectcode"), Exact("branch", "affectcode"), Exact("tellerid", "teller_name")),
+    transformed=(Transformed("transactionamount", "transactionamount"),)), grouping=Grouping("sysref", "sysrefno"), tolerance=0.01, tolerance_set=True, skip_aggregate_sum_check=True)
+
+
+@query("missing_columns_reported", f2b("""
+select 'COLUMN_MISSING' as error_type, 'branch' as old_column, cast(null as varchar) as new_column, count(distinct 1) as n from old
+union all select 'COLUMN_MISSING', null, 'teller_name', count(distinct 1) from new
+union all select 'VALUE_MISMATCH', 'transactionamount', 'transactionamount', count(*) from (select sysref as k, sum(cast(transactionamount as decimal(28,8))) as s from old group by 1) a
+  join (select sysrefno as k, sum(transactionamount) as s from new group by 1) b using (k) where abs(a.s - b.s) > 0.01 having count(*) > 0
+"""))
+def missing_columns_reported(spark, folder):
+    """A validator reports mapped columns that are not there and goes on with the other mappings."""
+    found = long(spark, folder, LOST).errors.filter("error_type = 'COLUMN_MISSING' or new_column = 'transactionamount'")
+    return found.groupBy("error_type", "old_column", "new_column").agg(F.count(F.lit(1)).alias("n"))

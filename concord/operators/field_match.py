@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from concord.functions.numbers import NUMBER, to_number
 from concord.functions.text import REWRITES, comparable, name_similarity
 from concord.operators.matching import paired_profiles, ranked_claims
-from concord.operators.overlap import shared_values
+from concord.operators.overlap import shared_cells, shared_values
 from concord.operators.profile import as_text, fingerprint_similarity, fingerprints, value_counts
+from concord.sources.scratch import stored
 
 # Score weights, thresholds and the words of a split.
 LOW_CARDINALITY = 5
@@ -49,40 +50,64 @@ def comparable_overlap(old: DataFrame, new: DataFrame) -> DataFrame:
     return shared.withColumn("set_match", F.col("n_shared") / F.col("n_old") * 100)
 
 
+def _distinct_rewrites(joined: DataFrame, names: list[str], suffix: str) -> DataFrame:
+    """(i, value) for every column and rewrite: place of the column times rewrites plus place of the rewrite, and the
+    rewritten text behind the rewrite's number, so that only texts of one rewrite meet. Only different values are rewritten."""
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), as_text(joined, f"{n}_{suffix}").alias("text")) for i, n in enumerate(names)])
+    values = joined.select(F.explode(cells).alias("x")).select("x.*").filter(F.col("text").isNotNull()).distinct()
+    rewritten = F.array(*[F.struct((F.col("c") * len(REWRITES) + j).alias("i"), F.concat(F.lit(f"{j}:"), rule(F.col("text"))).alias("value")) for j, rule in enumerate(REWRITES.values())])
+    return values.select(F.explode(rewritten).alias("x")).select("x.*")
+
+
+def _shared_rewrites(joined: DataFrame, olds: list[str], news: list[str]) -> set[tuple[int, int]]:
+    """Places (column times rewrites plus rewrite) of the pairs that share a rewritten value: an inverted index of the
+    values. A row per pair and rewrite comes to the driver."""
+    sides = [[str(i) for i in range(len(names) * len(REWRITES))] for names in (olds, news)]
+    shared = shared_cells(_distinct_rewrites(joined, olds, "O"), _distinct_rewrites(joined, news, "N"), *sides)
+    return {(int(r.old_column), int(r.new_column)) for r in shared.select("old_column", "new_column").collect()}
+
+
+def _both_null(joined: DataFrame, olds: list[str], news: list[str]) -> DataFrame:
+    """o, n (places of columns), n_null: rows where both are null. Rows are first counted by which columns are null."""
+    def nulls(names: list[str], suffix: str) -> Column:
+        return F.filter(F.array(*[F.when(as_text(joined, f"{n}_{suffix}").isNull(), F.lit(i)) for i, n in enumerate(names)]), lambda i: i.isNotNull())
+
+    patterns = joined.select(nulls(olds, "O").alias("os"), nulls(news, "N").alias("ns")).groupBy("os", "ns").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = patterns.select(F.explode("os").alias("o"), "ns", "rows").select("o", F.explode("ns").alias("n"), "rows")
+    return pairs.groupBy("o", "n").agg(F.sum("rows").alias("n_null"))
+
+
 def rewrite_rates(joined: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """old_column, new_column, place, rule, match_rate over the anchored rows, for every pair and rewrite.
 
-    Every column is rewritten once per row; the row then yields the numbers of the (pair, rewrite)
-    combinations that agree, and these are counted. Combinations that never agree have rate 0.
+    Only combinations that share a rewritten value at all are compared row by row: every column is rewritten once per
+    row, the row yields the numbers of the combinations that agree, and these are counted. The others agree where both
+    columns are null, and nowhere else.
     """
     olds, news = (list(dict.fromkeys(side)) for side in zip(*pairs))
+    n_rules = len(REWRITES)
+    shared = _shared_rewrites(joined, olds, news)
+    grid = [(olds.index(o), news.index(n), o, n, j, rule) for o, n in pairs for j, rule in enumerate(REWRITES)]
+    tried = [(a * n_rules + j, b * n_rules + j) for a, b, _, _, j, _ in grid]
+    compared = {k: at for k, at in enumerate(tried) if at in shared}
 
     def rewritten(names: list[str], suffix: str) -> Column:
         return F.array(*[rule(as_text(joined, f"{n}_{suffix}")) for n in names for rule in REWRITES.values()])
 
-    n_rules = len(REWRITES)
-    grid = [
-        (olds.index(o) * n_rules + j, news.index(n) * n_rules + j, o, n, j, rule)
-        for o, n in pairs for j, rule in enumerate(REWRITES)
-    ]
-    at_old, at_new = (F.lit([g[side] for g in grid]) for side in (0, 1))
     rows = joined.select(rewritten(olds, "O").alias("a"), rewritten(news, "N").alias("b"))
-    agreeing = F.filter(
-        F.sequence(F.lit(0), F.lit(len(grid) - 1)),
-        lambda k: F.get("a", F.get(at_old, k)).eqNullSafe(F.get("b", F.get(at_new, k))),
-    )
+    numbers = F.lit(list(compared)) if compared else F.array().cast("array<int>")
+    at_old, at_new = (F.lit([tried[k][side] for k in range(len(grid))]) for side in (0, 1))
+    agreeing = F.filter(numbers, lambda k: F.get("a", F.get(at_old, k)).eqNullSafe(F.get("b", F.get(at_new, k))))
     # -1 stands for the row itself, so the same count gives the total.
-    hits = rows.select(F.explode(F.array_append(agreeing, F.lit(-1))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    # One row: the counts by number, at most one per pair and rewrite.
-    counted = hits.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("n"))
-    names, places = (F.lit([g[i] for g in grid]) for i in (2, 4))
-    partners, rules = (F.lit([g[i] for g in grid]) for i in (3, 5))
-    k = F.col("k")
-    return counted.select("n", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("k")).select(
-        F.get(names, k).alias("old_column"), F.get(partners, k).alias("new_column"), F.get(places, k).alias("place"),
-        F.get(rules, k).alias("rule"),
-        (F.coalesce(F.col("n")[k], F.lit(0)) / F.coalesce(F.col("n")[F.lit(-1)], F.lit(1))).alias("match_rate"),
-    )
+    hits = stored(rows.select(F.explode(F.array_append(agreeing, F.lit(-1))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n_equal")), "hits")
+    # A row per pair and rewrite, as the plan of what was asked.
+    asked = joined.sparkSession.createDataFrame(
+        [(k, a, b, o, n, j, rule, k in compared) for k, (a, b, o, n, j, rule) in enumerate(grid)],
+        "k int, o int, n int, old_column string, new_column string, place int, rule string, compared boolean")
+    total = hits.filter("k = -1").agg(F.coalesce(F.max("n_equal"), F.lit(1))).scalar()
+    found = asked.join(hits, ["k"], "left").join(_both_null(joined, olds, news), ["o", "n"], "left")
+    equal = F.coalesce(F.when(F.col("compared"), F.col("n_equal")).otherwise(F.col("n_null")), F.lit(0))
+    return found.select("old_column", "new_column", "place", "rule", (equal / total).alias("match_rate"))
 
 
 def best_rewrites(rates: DataFrame) -> DataFrame:

@@ -19,9 +19,13 @@ def _words(n: int) -> int:
     return max(1, -(-n // BITS))
 
 
-def _masked(df: DataFrame, columns: Sequence[tuple[str, Column]], side: str, words: dict[str, int]) -> DataFrame:
+def _cells(df: DataFrame, columns: Sequence[tuple[str, Column]]) -> DataFrame:
+    """(i, value) of every cell that holds one."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), value.cast("string").alias("value")) for i, (_, value) in enumerate(columns)])
-    cell = df.select(F.explode(cells).alias("c")).select("c.i", "c.value").filter(F.col("value").isNotNull())
+    return df.select(F.explode(cells).alias("c")).select("c.i", "c.value").filter(F.col("value").isNotNull())
+
+
+def _masked(cells: DataFrame, side: str, words: dict[str, int]) -> DataFrame:
     masks = []
     for name, count in words.items():
         for w in range(count):
@@ -30,7 +34,7 @@ def _masked(df: DataFrame, columns: Sequence[tuple[str, Column]], side: str, wor
                 bit = F.expr(f"shiftleft(1L, i - {w * BITS})")
                 here = F.when((F.col("i") >= w * BITS) & (F.col("i") < (w + 1) * BITS), bit).otherwise(here)
             masks.append(here.alias(f"{name}{w}"))
-    return cell.select("value", *masks)
+    return cells.select("value", *masks)
 
 
 def shared_values(
@@ -40,20 +44,25 @@ def shared_values(
 
     Only pairs that share a value are returned.
     """
-    words = {"o": _words(len(old_columns)), "n": _words(len(new_columns))}
+    return shared_cells(_cells(old, old_columns), _cells(new, new_columns), [n for n, _ in old_columns], [n for n, _ in new_columns])
+
+
+def shared_cells(old_cells: DataFrame, new_cells: DataFrame, old_names: Sequence[str], new_names: Sequence[str]) -> DataFrame:
+    """The same from cells: i (the place of the column's name) and value."""
+    words = {"o": _words(len(old_names)), "n": _words(len(new_names))}
     names = [f"{side}{w}" for side, count in words.items() for w in range(count)]
-    cells = _masked(old, old_columns, "o", words).unionByName(_masked(new, new_columns, "n", words))
+    cells = _masked(old_cells, "o", words).unionByName(_masked(new_cells, "n", words))
     values = cells.groupBy("value").agg(*[F.bit_or(m).alias(m) for m in names])
     masks = values.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
 
-    def held(side: str, columns: Sequence[tuple[str, Column]]) -> Column:
+    def held(side: str, columns: Sequence[str]) -> Column:
         tests = []
-        for i, (name, _) in enumerate(columns):
+        for i, name in enumerate(columns):
             word, bit = divmod(i, BITS)
             tests.append(F.when(F.col(f"{side}{word}").bitwiseAND(F.lit(1 << bit)) != 0, F.lit(name)))
         return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
-    sets = masks.select(held("o", old_columns).alias("olds"), held("n", new_columns).alias("news"), "n")
+    sets = masks.select(held("o", old_names).alias("olds"), held("n", new_names).alias("news"), "n")
     n_old = sets.select(F.explode("olds").alias("old_column"), "n").groupBy("old_column").agg(F.sum("n").alias("n_old"))
     n_new = sets.select(F.explode("news").alias("new_column"), "n").groupBy("new_column").agg(F.sum("n").alias("n_new"))
     pairs = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions.numbers import col
@@ -61,6 +61,8 @@ def source_rows(df: DataFrame, source_filter: str | None = None, anchor: str | N
     return df
 
 
-def repeatable_sample(df: DataFrame, rows: int) -> DataFrame:
-    """The same `rows` rows on every run, chosen by a hash of the row."""
+def repeatable_sample(df: DataFrame, rows: int, by: list[Column] | None = None) -> DataFrame:
+    """The same `rows` rows on every run, chosen by a hash of the row, or by the order given."""
+    if by:
+        return df.orderBy(*by).limit(rows)
     return df.orderBy(F.xxhash64(*[col(c) for c in df.columns]), *[col(c) for c in df.columns]).limit(rows)
