@@ -99,24 +99,22 @@ SIEVE_BITS = 23
 MAP_BITS = 1 << 15  # of one of Spark's bitmaps
 
 
-def sieve(keys: DataFrame, *columns: str, bits: int = SIEVE_BITS) -> Column:
-    """A condition on columns of the same names: true for every key of `keys`, and for few others.
+def marked(rows: DataFrame, keys: DataFrame, *columns: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """`rows` with the column `seen`: true for every row whose `columns` are in `keys`, and for few others.
 
-    It is a bitmap of 2 ** bits places by the hash of the key, a megabyte by default however many keys there are. Rows
-    that it rules out need no join, so they need not move. With more keys than places it rules out little and the
-    joins behind it do the work; results never depend on it.
+    The keys become a bitmap of 2 ** bits places by their hash: at most 2 ** bits / MAP_BITS rows of MAP_BITS bits, a
+    megabyte by default however many keys there are, which is broadcast. Rows that are not seen need no join with the
+    keys, so they need not move. With more keys than places little is ruled out and the joins behind it do the work;
+    results never depend on it.
     """
-    places = keys.select((F.pmod(F.xxhash64(*columns), F.lit(1 << bits)) + 1).alias("place"))
-    maps = places.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
-    whole = bytearray(1 << (bits - 3))
-    for row in maps.collect():  # at most 2 ** bits / MAP_BITS rows
-        start = (row["part"] - 1) * MAP_BITS // 8
-        whole[start:start + len(row["map"])] = row["map"]
-    if not any(whole):
-        return F.lit(False)
-    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
-    byte = F.conv(F.hex(F.substr(F.lit(whole), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.call_function("getbit", byte, place.bitwiseAND(7).cast("int")) == 1
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits)) + 1  # Spark's bitmaps count from 1
+    maps = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("sieve_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("sieve_map"))
+    bit = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substr("sieve_map", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.call_function("getbit", byte, bit.bitwiseAND(7)) == 1, F.lit(False))
+    parts = rows.withColumn("sieve_part", F.bitmap_bucket_number(place)).join(F.broadcast(stored(maps, "sieve")), ["sieve_part"], "left")
+    return parts.select(*map(column, rows.columns), found.alias("seen"))
 
 
 def arrow_batches(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import query, row_keys, table
+from concord.llm.common import marked, query, row_keys, stored, table, unwrapped, wrapped
 
 WINDOW = 10
 LARGEST_SET = 50_000
@@ -119,21 +119,22 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, remove: str = "do
     if remove == "documents" and None not in sets.values():
         return documents.filter(~_any_hit(items, sets))
     found = hits(documents, benchmark, window).filter(F.size("spans") > 0)
-    hit = found.select(F.col("k_id").alias("_hit_id"), F.col("k_text").alias("_hit_text"), F.col("spans").alias("_spans"))
-    k_id, k_text = row_keys()
-    same = (F.coalesce(documents["doc_id"].cast("long"), F.lit(0)) == hit["_hit_id"]) & (
-        F.xxhash64(documents["doc_id"].isNull(), documents["text"]) == hit["_hit_text"])
+    hit = stored(found.select("k_id", "k_text", "spans"), "hits")
+    # Documents without a hit stay where they are.
+    rows = marked(wrapped(documents, *row_keys()), hit, "k_id", "k_text")
+    clean = unwrapped(rows.filter("not seen"), documents.columns, {})
     if remove == "documents":
-        return documents.join(hit, same, "left_anti")
+        return clean.unionByName(unwrapped(rows.filter("seen").join(hit, ["k_id", "k_text"], "left_anti"), documents.columns, {}))
+    rows = rows.filter("seen").join(hit, ["k_id", "k_text"], "left").withColumn("text", F.col("row").getField("text"))
     # Words with what follows them; what stands before the first word stays.
     parts = F.expr(rf"regexp_extract_all(text, '((?:^{BETWEEN}+)|(?:[^{BETWEEN[1:]}+{BETWEEN}*))', 1)".replace("\\", "\\\\"))
     leading = F.when(F.col("text").rlike("^" + BETWEEN), 1).otherwise(0)
-    kept = F.filter(parts, lambda p, i: ~F.exists(F.col("_spans"), lambda s: (i - leading >= s["place"]) & (i - leading < s["place"] + s["size"])))
-    cut = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat_ws("", kept))
-    out = documents.join(hit, same, "left").withColumn("text", cut)
+    kept = F.filter(parts, lambda p, i: ~F.exists(F.col("spans"), lambda s: (i - leading >= s["place"]) & (i - leading < s["place"] + s["size"])))
+    rows = rows.withColumn("cut", F.concat_ws("", kept))
+    new = {"text": F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("cut"))}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*documents.columns)
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row").getField("n_chars")).otherwise(F.length("cut").cast(documents.schema["n_chars"].dataType))
+    return clean.unionByName(unwrapped(rows, documents.columns, new))
 
 
 ORACLE = r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import arrow_batches, bounded_batches, query, row_keys, stored, table
+from concord.llm.common import arrow_batches, bounded_batches, marked, query, row_keys, stored, table, unwrapped, wrapped
 from concord.llm.components import components
 from concord.llm.minhash import features, shingle_set
 
@@ -42,13 +42,18 @@ def _alike(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(first) + len(second) - both)
 
 
+def _texts_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """k_id, k_text, text of the documents with the keys of `rows`, and of few others."""
+    return marked(documents.select(*row_keys(), "text"), rows, "k_id", "k_text").filter("seen").drop("seen")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of `pairs` (a, b: classes) whose full sets are alike. The texts of all b of an a stream past its set."""
     chunks = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks")), "chunks")
     members = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.col("b").alias("cls"), F.lit(1).alias("role"))
     firsts = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("cls"), F.lit(0).alias("role"))
-    roles = firsts.unionByName(members).join(classes.select("cls", "k_id", "k_text"), "cls")
-    texts = documents.select(*row_keys(), "text").join(roles, ["k_id", "k_text"]).select("a", "chunk", "role", "cls", "text")
+    roles = stored(firsts.unionByName(members).join(classes.select("cls", "k_id", "k_text"), "cls"), "roles")
+    texts = _texts_of(documents, roles).join(roles, ["k_id", "k_text"]).select("a", "chunk", "role", "cls", "text")
     dealt = texts.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +82,7 @@ def _linked(members: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[i
     owner, at = owner[often[at]], column[at[often[at]]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    both = np.zeros((len(members), len(members)), dtype=np.float32)
+    both = np.zeros((len(members), len(members)))
     for start in range(0, int(often.sum()), 4096):
         lo, hi = np.searchsorted(at, [start, start + 4096])
         part = np.zeros((len(members), 4096), dtype=np.float32)
@@ -121,8 +126,8 @@ def _across(groups: DataFrame, classes: DataFrame, documents: DataFrame, size: i
         F.concat(F.when(F.col("mains") > 0, against(lambda i: F.struct(F.lit(True).alias("m"), i.alias("i"), F.col("chunk").alias("j")), "mains")).otherwise(F.array()),
                  against(lambda i: F.struct(F.lit(False).alias("m"), F.least(i, "chunk").alias("i"), F.greatest(i, "chunk").alias("j")), "others")))
     # A chunk of others that meets chunks of the hub's component meets itself there too, where it is the only one.
-    rows = dealt.join(classes.select("cls", "k_id", "k_text"), "cls").select("hub", "cls", "component", "k_id", "k_text", meetings.alias("meetings"))
-    texts = documents.select(*row_keys(), "text").join(rows, ["k_id", "k_text"]).select("hub", "cls", "component", F.explode("meetings").alias("meeting"), "text")
+    rows = stored(dealt.join(classes.select("cls", "k_id", "k_text"), "cls").select("hub", "cls", "component", "k_id", "k_text", meetings.alias("meetings")), "members")
+    texts = _texts_of(documents, rows).join(rows, ["k_id", "k_text"]).select("hub", "cls", "component", F.explode("meetings").alias("meeting"), "text")
     together = texts.select("hub", "meeting.*", "cls", "component", "text").repartition("hub", "m", "i", "j").sortWithinPartitions("hub", "m", "i", "j", "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +187,14 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = PERCENT) ->
 
     Rows with a null id stay if they have no component but themselves.
     """
-    found = near_duplicates(documents, size, percent).filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.select(F.col("k_id").alias("_id"), F.col("k_text").alias("_text")).distinct()
-    k_id, k_text = row_keys()
-    keyed = documents.withColumns({"_k_id": k_id, "_k_text": k_text})
-    return keyed.join(gone, (F.col("_k_id") == F.col("_id")) & (F.col("_k_text") == F.col("_text")), "left_anti").dropDuplicates(["_k_id", "_k_text"]).select(*documents.columns)
+    found = near_duplicates(documents, size, percent)
+    gone = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    doubtful = found.groupBy("k_id", "k_text").agg(F.bool_or(gone).alias("gone"), F.count(F.lit(1)).alias("n"))
+    doubtful = stored(doubtful.filter("gone or n > 1").select("k_id", "k_text", "gone"), "gone")
+    # Most documents are neither repeated rows nor gone; they stay where they are.
+    rows = marked(wrapped(documents, *row_keys()), doubtful, "k_id", "k_text")
+    checked = rows.filter("seen").dropDuplicates(["k_id", "k_text"]).join(doubtful, ["k_id", "k_text"], "left").filter(~F.coalesce("gone", F.lit(False)))
+    return unwrapped(rows.filter("not seen").select("row").unionByName(checked.select("row")), documents.columns, {})
 
 
 @query("op7_near_dedup")

@@ -34,13 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import arrow_batches, bounded_batches, query, row_keys, stored, table
+from concord.llm.common import arrow_batches, bounded_batches, marked, query, row_keys, stored, table, unwrapped, wrapped
 
 SPAN = 400
+SHORTER = 200  # bytes: passages of over 50 words are longer in any language with spaces
 ANCHORS = 128
 BLOCK = 8
 PLACE_BITS = np.uint64(31)  # of a joined text; the other 33 bits compare hashes, ties go to the left
 RANGE = (1 << 32) - 1
+DIGIT_BITS = 25  # of the bitmap of digits that occur twice
 
 
 def runs_of_suffixes(texts: list[bytes], span: int, anchors: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +163,8 @@ def _passed(rows: DataFrame, digit: str, wide: str, name: str) -> tuple[DataFram
     digits = rows.groupBy(digit).agg(F.sum("weight").alias("n"), F.min(wide).alias("least"), F.max(wide).alias("most"))
     # Stored, so that the join has nothing but shuffles on either side and Spark can split a frequent digit.
     shared = stored(digits.filter("n > 1").select(digit, (F.col("least") != F.col("most")).alias("mixed")), name)
-    lasting = stored(rows.join(shared, digit), name)
+    # Rows of digits that occur once end before they move.
+    lasting = stored(marked(rows, shared, digit, bits=DIGIT_BITS).filter("seen").drop("seen").join(shared, digit), name)
     equal = stored(lasting.groupBy(digit, wide).agg(F.sum("weight").alias("n"), F.min(F.struct("k_id", "k_text", "run")).alias("one"), F.max("mixed").alias("mixed")), name)
     # One row for each lasting row, with the number of its equals.
     numbered = stored(lasting.select(digit, wide, "k_id", "k_text", "run").join(equal.select(digit, wide, "n"), [digit, wide]), name)
@@ -171,13 +174,18 @@ def _passed(rows: DataFrame, digit: str, wide: str, name: str) -> tuple[DataFram
     return whole, stored(lists, name)
 
 
+def _texts_of(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """The texts that have a list, with it; of the others few move."""
+    return marked(texts, lists, "k_id", "k_text").filter("seen").join(lists, ["k_id", "k_text"])
+
+
 def repeated_spans(texts: DataFrame, span: int = SPAN, anchors: int = ANCHORS) -> DataFrame:
     """k_id, k_text, spans (start << 32 | end, not merged) of texts with repeated strings; `texts` has these keys, doc_id and text."""
     runs = _runs(texts, span, anchors).withColumn("weight", F.lit(1))
     whole, lists = _passed(runs, "digit", "wide", "runs")
-    blocks = _taken_apart(texts.join(lists, ["k_id", "k_text"]), _blocks(span), ["common", "cover"])
+    blocks = _taken_apart(_texts_of(texts, lists), _blocks(span), ["common", "cover"])
     parts, lists = _passed(stored(blocks, "blocks"), "common", "cover", "blocks")
-    strings = stored(_taken_apart(texts.join(lists, ["k_id", "k_text"]), _strings(span), ["h1", "h2"]), "strings")
+    strings = stored(_taken_apart(_texts_of(texts, lists), _strings(span), ["h1", "h2"]), "strings")
     again = stored(strings.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2"), "strings")
     single = strings.join(again, ["h1", "h2"]).select("k_id", "k_text", "run")
     first = F.shiftright("run", 32)
@@ -202,6 +210,18 @@ def merged(spans: list[int] | np.ndarray | None) -> list[tuple[int, int]]:
     return out
 
 
+def covered(runs: list[tuple[int, int]]) -> int:
+    return sum(e - s for s, e in runs)
+
+
+def _longest_run(spans: str) -> Column:
+    @F.pandas_udf("long")
+    def longest(of: pd.Series) -> pd.Series:
+        return pd.Series([max(e - s for s, e in merged(x)) for x in of], dtype="int64")
+
+    return longest(spans)
+
+
 def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     ends = [0, *(e for _, e in runs)]
     starts = [*(s for s, _ in runs), len(data)]
@@ -212,13 +232,13 @@ def _report(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
             out = []
-            for name, text, spans in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "spans"))):
-                data, runs = (text or "").encode(), merged(spans)
-                out.append((name, len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept_bytes(data, runs)).hexdigest()))
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*[pa.int64()] * 4, pa.string()])], names=names)
+            for name, text, spans, short in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "whole", "spans"))):
+                data, runs, more = (text or "").encode(), merged(spans), merged(short)
+                out.append((name, len(data), covered(runs), len(runs), hashlib.sha256(kept_bytes(data, runs)).hexdigest(), covered(more), len(more)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*[pa.int64()] * 4, pa.string(), *[pa.int64()] * 2])], names=names)
 
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_short", "n_short_spans"]
+    return rows.mapInArrow(cut, ", ".join(f"{c} {'string' if c == 'kept_sha256' else 'long'}" for c in names))
 
 
 def _cut_text() -> Column:
@@ -226,30 +246,48 @@ def _cut_text() -> Column:
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else kept_bytes(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(text, spans)])
 
-    return cut("d.text", "s.spans")
+    return cut(F.col("row").getField("text"), "spans")
 
 
-def without_repeats(documents: DataFrame, span: int = SPAN) -> DataFrame:
+def without_repeats(documents: DataFrame, span: int = SPAN, anchors: int = ANCHORS) -> DataFrame:
     """The documents, in their own columns, without repeated passages; n_chars, where there is one, is counted anew.
 
     A cut inside a character leaves out the rest of the character.
     """
     bounded_batches(documents.sparkSession)
-    k_id, k_text = row_keys()
-    spans = repeated_spans(keyed(documents), span).select(F.col("k_id").alias("_id"), F.col("k_text").alias("_text"), "spans")
-    rows = documents.withColumns({"_k_id": k_id, "_k_text": k_text}).alias("d").join(spans.alias("s"), (F.col("_k_id") == F.col("_id")) & (F.col("_k_text") == F.col("_text")), "left")
-    text = F.when(F.col("s.spans").isNull(), F.col("d.text")).otherwise(_cut_text())
-    out = rows.select(*[(text if c == "text" else F.col(f"d.`{c}`")).alias(c) for c in documents.columns], F.col("s.spans").isNotNull().alias("_cut"))
+    spans = repeated_spans(keyed(documents), span, anchors)
+    rows = marked(wrapped(documents, *row_keys()), spans, "k_id", "k_text")
+    checked = rows.filter("seen").join(spans, ["k_id", "k_text"], "left")
+    checked = checked.select("row", "spans", F.when(F.col("spans").isNotNull(), _cut_text()).alias("cut"))
+    text = F.when(F.col("spans").isNull(), F.col("row").getField("text")).otherwise(F.col("cut"))
+    new = {"text": text}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        number = F.col("row").getField("n_chars")
+        new["n_chars"] = F.when(F.col("spans").isNull(), number).otherwise(F.length("cut").cast(documents.schema["n_chars"].dataType))
+    return unwrapped(rows.filter("not seen"), documents.columns, {}).unionByName(unwrapped(checked, documents.columns, new))
 
 
-def repeats_report(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
+def repeats_report(documents: DataFrame, span: int = SPAN, shorter: int = SHORTER) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; and n_short, n_short_spans, the bytes and runs
+    that repeats of `shorter` bytes cover.
+
+    Repeats of `span` bytes lie within runs of the shorter ones, so only documents with a run of that length are
+    searched again.
+    """
     bounded_batches(documents.sparkSession)
     texts = keyed(documents)
-    return _report(texts.join(repeated_spans(texts, span), ["k_id", "k_text"], "left").select("doc_id", "text", "spans"))
+    short = repeated_spans(texts, shorter, min(ANCHORS, shorter // 2))
+    if span != shorter:
+        long_enough = stored(short.filter(_longest_run("spans") >= span).select("k_id", "k_text"), "long")
+        inside = _texts_of(texts, long_enough).select("doc_id", "k_id", "k_text", "text")
+        whole = repeated_spans(stored(inside, "long"), span)
+        short = stored(short.join(whole.withColumnRenamed("spans", "whole"), ["k_id", "k_text"], "left"), "spans")
+    else:
+        short = short.withColumn("whole", F.col("spans"))
+    texts = marked(texts, short, "k_id", "k_text")
+    nothing = F.lit(None).cast("array<long>")
+    rows = texts.filter("not seen").select("doc_id", "text", nothing.alias("spans"), nothing.alias("whole"))
+    return _report(rows.unionByName(texts.filter("seen").join(short, ["k_id", "k_text"], "left").select("doc_id", "text", "spans", "whole")))
 
 
 @query("op3_suffix_dedup")

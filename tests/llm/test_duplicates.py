@@ -8,8 +8,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from concord.llm import embedding_dedup, near_dedup
 from concord.llm.components import components
+from concord.llm.decontamination import decontaminated
+from concord.llm.fill_in_middle import rearranged
+from concord.llm.importance import resampled
 from concord.llm.suffix_dedup import repeats_report, without_repeats
 
 
@@ -109,7 +113,8 @@ def test_repeated_passages(spark):
     texts += [texts[1][:300] + "#" + texts[1][301:], "ab" * 299]
     docs = spark.createDataFrame([(k % 80 if k else None, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_chars long, spans string")
     got = sorted(tuple(r)[1:] for r in repeats_report(docs).collect())
-    assert got == sorted(passages_by_force(texts, 400))
+    long, short = passages_by_force(texts, 400), passages_by_force(texts, 200)
+    assert got == sorted((*a, b[1], b[2]) for a, b in zip(long, short))
     kept = without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(texts)
     for r in kept.collect():
@@ -170,3 +175,37 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch, size, chunk):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, size).collect()), key=str)
     assert got == near_by_force(rows, size)
     assert sum(calls) > 8
+
+
+def test_columns_with_clashing_names(spark):
+    """Whatever an operator calls its own columns, a document's column of that name comes back as it was."""
+    names = ["_id", "_text", "_k_id", "_k_text", "_cut", "_spans", "_hit_id", "_hit_text", "k_id", "k_text", "row", "spans", "cut", "gone", "n", "runs", "digit", "wide", "weight",
+             "run", "place", "lines", "component", "component_id", "cls", "band", "bands", "hub", "items", "w", "f", "i", "a", "b", "a.dot", "back`tick", "_drawn"]
+    passage = " ".join(f"word{k}" for k in range(90))
+    texts = [f"first {passage}", f"second {passage} and more {passage[:50]}", "other text " * 9, "other text " * 9, None]
+    rows = [(k if k != 3 else 2, t, 0, *[f"{name} {k}" for name in names]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "n_chars int", *[f"`{n.replace('`', '``')}` string" for n in names]]))
+    bench = spark.createDataFrame([(1, "word3 word4 word5 word6 word7 word8 word9 word10 word11 word12")], "item_id long, text string")
+    frames = [near_dedup.one_of_each(docs), without_repeats(docs), decontaminated(docs, bench), decontaminated(docs, bench, remove="spans"), resampled(docs, bench, percent=100, least_words=1), rearranged(docs)]
+    counts = []
+    for frame in frames:
+        assert frame.columns == docs.columns and [t for _, t in frame.dtypes] == [t for _, t in docs.dtypes]
+        kept = frame.collect()
+        counts.append(len(kept))
+        for r in kept:
+            assert {v for n, v in zip(names, r[3:])} in [{f"{n} {k}" for n in names} for k in range(len(rows)) if rows[k][0] == r.doc_id]
+    assert counts == [3, 5, 3, 5, 4, 5]
+
+
+def test_passages_of_a_little_over_fifty_words(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passages = [prose(n) for n in (51, 52, 55, 60, 65)]
+    texts = [f"{prose(80)} {p} {prose(60)}" for p in passages for _ in range(6)] + [prose(150) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["repeated_passages"]
+    kept = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
+    for k, text in enumerate(texts):
+        passage = passages[k // 6] if k < 30 else None
+        assert (kept[k] == text) if passage is None else (passage[3:-3] not in kept[k] and len(kept[k]) < len(text) - len(passage) + 3)
