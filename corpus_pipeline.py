@@ -17,6 +17,9 @@ from concord.llm.suffix_dedup import without_repeats
 
 TOKENIZER = "word_bpe_49k.json"
 
+# Passages of over 50 words: 51 words have some 300 bytes, and seldom under 240, in languages of four to five letters a word.
+PASSAGE = 240
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled rows of this stage's input."""
@@ -29,8 +32,8 @@ def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def new_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 400 bytes that also stand elsewhere."""
-    return without_repeats(docs, span=400)
+    """Documents without passages of PASSAGE bytes that also stand elsewhere."""
+    return without_repeats(docs, span=PASSAGE)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
