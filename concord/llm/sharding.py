@@ -4,8 +4,10 @@ Every node of the tree is split at the weighted median (weights: bytes) along it
 dimension's spread over all rows, until leaves reach the target. Medians are found on the whole table without sorting
 it: each round counts the bytes in BINS bins of the range that is still open in each node (a partial aggregation; the
 driver gets at most nodes x BINS sums) and goes on inside the bin that holds the median, until it is one value. Ties
-along the dimension are cut by the hash of the text and then by that of the id, so equal texts of equal metadata stay
-together unless a cut of nearly equal bytes needs to part them (groups of more than GROUP of a node's goal).
+along the dimension are cut by the hash of the text and then by that of the id. Equal texts have equal metadata, so they
+share a shard; only a group of them that is larger than a whole shard is parted, by the hash of the id, because shards of
+equal bytes cannot hold it otherwise. A group that lies on a cut goes to the side that leaves the smaller gap, and if
+that is more than UNEVEN of the goal, the next widest dimensions are tried and the most even cut is taken.
 
 Null texts weigh 1 byte, null dimensions are least, rows that repeat id and text are numbered one after the other.
 Empty tables give empty tables. Extra columns are not read.
@@ -22,7 +24,7 @@ from concord.llm.common import query, stored, table
 
 BINS = 1024
 NUMBERED = 100_000
-FINE, GROUP = 0.001, 0.02
+FINE, UNEVEN = 0.001, 0.02
 
 
 @dataclass
@@ -53,15 +55,15 @@ def _ranges(rows: DataFrame, dimensions: list[str]) -> dict[int, dict]:
     return {r["node"]: r.asDict() for r in per_node.collect()}
 
 
-def _medians(rows: DataFrame, chosen: dict[int, str], left_share: dict[int, tuple[int, int]], ranges: dict[int, dict]) -> dict[int, Cut]:
-    """The cut of each node: about share (of leaves: left, all) of its bytes go left.
+def _medians(rows: DataFrame, chosen: dict[int, str], left_share: dict[int, tuple[int, int]], ranges: dict[int, dict]) -> dict[int, tuple[Cut, float]]:
+    """The cut of each node: about share (of leaves: left, all) of its bytes go left; and by which share of them it misses.
 
-    A cut is final where what it could still move is at most FINE of the goal, and for a group of equal texts at most
-    GROUP of it; larger groups are parted by the hash of the id.
+    A cut is final where what it could still move is at most FINE of the goal and no group of equal texts lies on it, or
+    where one group does that is no larger than a leaf; larger ones are parted by the hash of the id.
     """
-    state = {n: {"level": 0, "fixed": (), "lo": ranges[n][f"lo_{d}"], "hi": ranges[n][f"hi_{d}"], "before": 0,
+    state = {n: {"level": 0, "fixed": (), "lo": ranges[n][f"lo_{d}"], "hi": ranges[n][f"hi_{d}"], "before": 0, "leaf": ranges[n]["bytes"] // left_share[n][1],
                  "goal": ranges[n]["bytes"] * left_share[n][0] // left_share[n][1]} for n, d in chosen.items()}
-    cuts: dict[int, Cut] = {}
+    cuts: dict[int, tuple[Cut, float]] = {}
     while len(cuts) < len(state):
         number, width = F.lit(None).cast("long"), {}
         for node in state.keys() - cuts.keys():
@@ -85,9 +87,11 @@ def _medians(rows: DataFrame, chosen: dict[int, str], left_share: dict[int, tupl
                 s["before"] += size
             low = s["lo"] + place * wide
             single = wide == 1
-            if size <= FINE * s["goal"] or (single and (s["level"] == 2 or (s["level"] == 1 and size <= GROUP * s["goal"]))):
+            # A bound on the dimension, or on a single hash, lies between groups; one on the id parts a group.
+            if (size <= FINE * s["goal"] and s["level"] < 2) or (single and (s["level"] == 2 or (s["level"] == 1 and size <= s["leaf"]))):
                 nearer = 2 * (s["goal"] - s["before"]) > size  # the whole bin goes left
-                cuts[node] = Cut(chosen[node], (*s["fixed"], low + wide * nearer))
+                missed = abs(s["goal"] - s["before"] - size * nearer) / max(s["goal"], 1)
+                cuts[node] = Cut(chosen[node], (*s["fixed"], low + wide * nearer)), missed
             elif not single:
                 s["lo"], s["hi"] = low, min(low + wide - 1, s["hi"])
             else:
@@ -111,7 +115,14 @@ def kd_shards(rows: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
             spread = {d: max(ranges[1][f"hi_{d}"] - ranges[1][f"lo_{d}"], 1) for d in dimensions} if 1 in ranges else {}
         chosen = {n: max(dimensions, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / spread[d]) for n, r in ranges.items()}
         split = {n: (leaves[n] // 2, leaves[n]) for n in chosen}
-        cuts = _medians(rows, chosen, split, ranges)
+        found = _medians(rows, chosen, split, ranges)
+        # Where a large group lies on the cut of the widest dimension, the next ones may pass beside it.
+        for place in range(1, len(dimensions)):
+            again = {n: sorted(dimensions, key=lambda d: (ranges[n][f"lo_{d}"] - ranges[n][f"hi_{d}"]) / spread[d])[place] for n, (_, missed) in found.items() if missed > UNEVEN}
+            if again:
+                for n, other in _medians(rows, again, split, ranges).items():
+                    found[n] = min(found[n], other, key=lambda f: f[1])
+        cuts = {n: cut for n, (cut, _) in found.items()}
         node = F.col("node")
         for n, cut in cuts.items():
             node = F.when(F.col("node") == n, F.when(_left(cut), 2 * n).otherwise(2 * n + 1)).otherwise(node)
