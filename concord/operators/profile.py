@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from concord.functions.numbers import NUMBER, col, parsed, plain
+from concord.sources.scratch import stored
 
 # Date shapes of the matcher, in order of precedence.
 DATE_FORMATS = [
@@ -202,18 +203,21 @@ def column_profile(counts: DataFrame) -> DataFrame:
 def medians(counts: DataFrame, buckets: int = 4096) -> DataFrame:
     """Exact lower median of the numbers of each column.
 
-    Two rounds count the values in `buckets` ranges per column, first on a logarithmic and then on a linear
-    scale, and keep only the range that holds the median; what is left is ordered.
+    Every round counts the values in `buckets` ranges per column, first on a logarithmic and then on linear scales, and
+    keeps only the range that holds the median. A linear round divides the range by `buckets`, so a handful of rounds
+    leaves at most `buckets` different values per column, whatever their number was; these are ordered.
     """
-    numbers = counts.select(
-        "column_name", parsed(F.trim(F.col("value"))).cast("double").alias("x"), "n"
-    ).filter("x is not null")
+    numbers = counts.select("column_name", parsed(F.trim(F.col("value"))).cast("double").alias("x"), "n").filter("x is not null")
+    numbers = stored(numbers.groupBy("column_name", "x").agg(F.sum("n").alias("n")), "numbers")
     middle = numbers.groupBy("column_name").agg(
         F.floor((F.sum("n") + 1) / 2).alias("middle"), F.lit(0).cast("long").alias("before")
     )
     x = F.col("x")
-    for scale in (F.signum(x) * F.log1p(F.abs(x)), x):
-        numbers, middle = _narrowed(numbers, middle, scale, buckets)
+    scale = F.signum(x) * F.log1p(F.abs(x))
+    # One number: how many values the longest column has left.
+    while (numbers.groupBy("column_name").count().agg(F.max("count")).first()[0] or 0) > buckets:
+        numbers, middle = (stored(df, "median") for df in _narrowed(numbers, middle, scale, buckets))
+        scale = x
     running = F.sum("n").over(Window.partitionBy("column_name").orderBy("x"))
     return (
         numbers.withColumn("upto", running).join(F.broadcast(middle), ["column_name"])
