@@ -232,6 +232,8 @@ def license_scan(documents: DataFrame, templates: dict[str, str] | None = None,
 
 def _oracle() -> str:
     rows = ", ".join("('{}', '{}')".format(name, g) for name, text in sorted(TEMPLATES.items()) for g in template_bigrams(text))
+    # Larger sets of bigrams cannot reach the coefficient with any template.
+    longest = max(math.floor(bounds(len(template_bigrams(text)), LEAST)[1] + 1e-9) for text in TEMPLATES.values())
     return rf"""
 with t(license, gram) as (values {rows}),
 tn as (select license, count(*) as size from t group by license),
@@ -239,8 +241,8 @@ d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as text
 l as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda u: length(u) > 0) as lines from d),
 u as (select doc_id, case when len(lines) > 1 then list_append(lines, text) else lines end as units from l),
 e as (select doc_id, unnest(range(len(units))) as unit, unnest(list_transform(units, lambda u: list_filter(string_split_regex(u, '{BETWEEN}'), lambda w: w <> ''))) as w from u),
-g as (select doc_id, unit, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as grams from e where len(w) < 200),
-x as (select doc_id, unit, len(grams) as size, unnest(grams) as gram from g),
+g as (select doc_id, unit, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as grams from e),
+x as (select doc_id, unit, len(grams) as size, unnest(grams) as gram from g where len(grams) <= {longest}),
 c as (select x.doc_id, x.unit, t.license, 2.0::double * count(*) / (any_value(x.size) + any_value(tn.size)) as dice
       from x join t using (gram) join tn using (license) group by x.doc_id, x.unit, t.license),
 m as (select doc_id, unit, license, dice from c where dice >= {LEAST} qualify row_number() over (partition by doc_id, unit order by dice desc, license) = 1),
