@@ -22,7 +22,7 @@ def _words(n: int) -> int:
 def _cells(df: DataFrame, columns: Sequence[tuple[str, Column]]) -> DataFrame:
     """(i, value) of every cell that holds one."""
     cells = F.array(*[F.struct(F.lit(i).alias("i"), value.cast("string").alias("value")) for i, (_, value) in enumerate(columns)])
-    return df.select(F.explode(cells).alias("c")).select("c.i", "c.value").filter(F.col("value").isNotNull())
+    return df.select(F.explode(cells.cast("array<struct<i:int,value:string>>")).alias("c")).select("c.i", "c.value").filter(F.col("value").isNotNull())
 
 
 def _masked(cells: DataFrame, side: str, words: dict[str, int]) -> DataFrame:
