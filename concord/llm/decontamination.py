@@ -3,8 +3,8 @@
 Texts are lower-cased (A-Z) and cut into words. A window is ten consecutive words of an item; an item of fewer words
 is one window. All windows of a document are hashed and looked up in the hash set of the benchmark's windows; places
 that are found are verified on the words themselves. The hash set is part of the expression, so it reaches every task
-once and the scan neither shuffles nor moves text; it is used up to LARGEST_SET windows, counted first. A larger
-benchmark is joined by its windows instead: more shuffle, same result.
+once and the scan neither shuffles nor moves text; it is used up to LARGEST_SET windows, counted first. The hashes of a
+larger benchmark are a broadcast bitmap, and what it lets through is joined and verified: same result.
 
 Null and empty texts have no words and no hits. Items without words have no windows; items with a null id make words
 hit but are not listed. Rows with equal id and text are counted together and returned once each. An empty benchmark
@@ -20,6 +20,7 @@ from concord.llm.common import marked, query, row_keys, stored, table, unwrapped
 
 WINDOW = 10
 LARGEST_SET = 50_000
+HASH_BITS = 27  # of the bitmap of a larger set: 16 MB, sparse up to some ten million windows
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed value: what stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -44,46 +45,70 @@ def _grams(size: int, hashes: list[int] | None) -> str:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """gram, size, h (hash), items: one row per different window."""
+    """gram, size, h (hash), item_id: a row per different window and item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
     cut = F.expr(f"transform(sequence(0, size(w) - least({window}, size(w))), i -> slice(w, i + 1, least({window}, size(w))))")
     windows = items.filter(F.size("w") > 0).select("item_id", F.explode(cut).alias("w"))
     # The hash of an array is that of its elements in turn, as in `_grams`.
-    windows = windows.select("item_id", F.concat_ws(" ", "w").alias("gram"), F.size("w").alias("size"), F.xxhash64("w").alias("h"))
-    return windows.groupBy("gram", "size", "h").agg(F.collect_set("item_id").alias("items"))
+    return windows.select(F.concat_ws(" ", "w").alias("gram"), F.size("w").alias("size"), F.xxhash64("w").alias("h"), "item_id").distinct()
 
 
 def window_set(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, dict[int, list[int] | None]]:
-    """Windows with the items they stand in, and the hash set by size of window (None: too many to carry)."""
-    windows = benchmark_windows(benchmark, window)
-    hashes = windows.select("size", "h").limit(LARGEST_SET + 1).collect()
+    """`benchmark_windows`, stored, and the hash set by size of window (None: too many to carry)."""
+    windows = stored(benchmark_windows(benchmark, window), "windows")
+    hashes = windows.select("size", "h").distinct().limit(LARGEST_SET + 1).collect()
     sets: dict[int, list[int] | None] = {}
     for row in hashes:
         sets.setdefault(row["size"], []).append(row["h"])
     if len(hashes) > LARGEST_SET:
         sets = {r["size"]: None for r in windows.select("size").distinct().collect()}  # at most `window` sizes
-    return windows.select("gram", "size", "items"), sets
+    return windows, sets
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per key of `row_keys`: doc_id, copies, n_words, spans (place, size of hit windows), items (ids, sorted)."""
-    items, sets = window_set(benchmark, window)
+FOUND = "array<struct<place:int,size:int,gram:string>>"
+
+
+def _carried(documents: DataFrame, windows: DataFrame, sets: dict[int, list[int] | None]) -> tuple[DataFrame, DataFrame]:
+    """Per row: doc_id, keys, n_words; and per key and place the windows that are hit. The hash set is in the expression."""
+    found = F.concat(*[F.expr(_grams(k, sets[k])) for k in sorted(sets)]) if sets else F.expr(f"cast(array() as {FOUND})")
+    rows = documents.select("doc_id", *row_keys(), words(F.col("text")).alias("w"))
+    rows = stored(rows.select("doc_id", "k_id", "k_text", F.size("w").alias("n_words"), found.alias("found")), "found")
+    places = rows.filter(F.size("found") > 0).select("k_id", "k_text", F.explode("found").alias("f")).select("k_id", "k_text", "f.*")
+    # The words decide, not the hash. At most LARGEST_SET windows.
+    return rows.drop("found"), places.join(F.broadcast(windows.select("gram", "size").distinct()), ["gram", "size"], "left_semi").distinct()
+
+
+def _sifted(documents: DataFrame, windows: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The same for a benchmark of any size. Windows of documents are hashes until a broadcast bitmap of the benchmark's
+    hashes lets them through; those that do meet the benchmark's windows by hash, and then by their words, which are cut
+    from the texts of the documents concerned."""
     rows = documents.select("doc_id", *row_keys(), words(F.col("text")).alias("w"))
-    found = F.concat(*[F.expr(_grams(k, sets[k])) for k in sorted(sets)]) if sets else F.expr("cast(array() as array<struct<place:int,size:int,gram:string>>)")
-    rows = rows.select("doc_id", "k_id", "k_text", F.size("w").alias("n_words"), found.alias("found"))
-    rows = rows.select("doc_id", "k_id", "k_text", "n_words", F.posexplode_outer("found").alias("nth", "f"))
-    rows = rows.select("doc_id", "k_id", "k_text", "n_words", "nth", "f.place", "f.size", "f.gram")
-    if sets and None not in sets.values():
-        items = F.broadcast(items)  # at most LARGEST_SET windows
-    joined = rows.join(items, ["gram", "size"], "left")
-    hit = F.col("items").isNotNull()
-    grouped = joined.groupBy("k_id", "k_text").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.sum(F.when(F.coalesce("nth", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"),
-        F.collect_set(F.when(hit, F.struct("place", "size"))).alias("spans"),
-        F.collect_set(F.when(hit, F.col("items"))).alias("items"))
-    return grouped.select("k_id", "k_text", "doc_id", "n_words", "copies", F.sort_array("spans").alias("spans"),
-                          F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+    counted = stored(rows.select("doc_id", "k_id", "k_text", F.size("w").alias("n_words")), "counted")
+    hashes = [F.expr(f"if(size(w) >= {k}, transform(sequence(0, size(w) - {k}), i -> struct(i as place, {k} as size, xxhash64({', '.join(f'w[i + {j}]' for j in range(k))}) as h)), array())") for k in sizes]
+    cut = rows.select("k_id", "k_text", F.explode(F.concat(*hashes)).alias("f")).select("k_id", "k_text", "f.*")
+    known = stored(windows.select("size", "h", "gram").distinct(), "known")
+    near = marked(cut, known, "size", "h", bits=HASH_BITS).filter("seen").drop("seen").join(known, ["size", "h"]).distinct()
+    lists = stored(near.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("place", "size", "gram")).alias("near")), "near")
+    texts = marked(rows.select("k_id", "k_text", "w"), lists, "k_id", "k_text").filter("seen").dropDuplicates(["k_id", "k_text"]).join(lists, ["k_id", "k_text"])
+    same = F.expr("filter(near, f -> concat_ws(' ', slice(w, f.place + 1, f.size)) = f.gram)")
+    return counted, texts.select("k_id", "k_text", F.explode(same).alias("f")).select("k_id", "k_text", "f.*")
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per key of `row_keys`: doc_id, copies, n_words, spans (place, size of hit windows), items (ids, sorted).
+
+    The items of a window are looked up once for each document that holds it, after its places are known.
+    """
+    windows, sets = window_set(benchmark, window)
+    rows, places = _sifted(documents, windows, sorted(sets)) if None in sets.values() else _carried(documents, windows, sets)
+    places = stored(places, "places")
+    spans = places.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_set(F.struct("place", "size"))).alias("spans"))
+    pairs = places.select("k_id", "k_text", "gram", "size").distinct().join(windows.select("gram", "size", "item_id"), ["gram", "size"])
+    items = pairs.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    keyed = rows.groupBy("k_id", "k_text").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"))
+    out = keyed.join(spans, ["k_id", "k_text"], "left").join(items, ["k_id", "k_text"], "left")
+    none = F.expr("cast(array() as array<struct<place:int,size:int>>)")
+    return out.select("k_id", "k_text", "doc_id", "n_words", "copies", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 COVERED = """aggregate(spans, struct(0 as upto, 0L as n), (a, s) -> struct(
