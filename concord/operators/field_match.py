@@ -39,6 +39,7 @@ SPLIT_TYPES = [
 ]
 MIN_STEM, STEM_TO_COLUMN, STEM_TO_STEM = 4, 0.6, 0.65
 FORMULA_SHARE, FORMULA_TOLERANCE = 0.90, "0.01"
+INDEX_FROM = 4  # pairs per column from which an index of values is made; it decides about the plan only
 
 
 def comparable_overlap(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -82,11 +83,14 @@ def rewrite_rates(joined: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
     Only combinations that share a rewritten value at all are compared row by row: every column is rewritten once per
     row, the row yields the numbers of the combinations that agree, and these are counted. The others agree where both
-    columns are null, and nowhere else.
+    columns are null, and nowhere else. The index of values is made where there are many pairs to a column (INDEX_FROM);
+    of fewer the comparison costs less than the index, and all are compared.
     """
     olds, news = (list(dict.fromkeys(side)) for side in zip(*pairs))
     n_rules = len(REWRITES)
-    shared = _shared_rewrites(joined, olds, news)
+    indexed = len(pairs) > INDEX_FROM * (len(olds) + len(news))
+    every = {(a * n_rules + j, b * n_rules + j) for a in range(len(olds)) for b in range(len(news)) for j in range(n_rules)}
+    shared = _shared_rewrites(joined, olds, news) if indexed else every
     grid = [(olds.index(o), news.index(n), o, n, j, rule) for o, n in pairs for j, rule in enumerate(REWRITES)]
     tried = [(a * n_rules + j, b * n_rules + j) for a, b, _, _, j, _ in grid]
     compared = {k: at for k, at in enumerate(tried) if at in shared}
@@ -105,7 +109,9 @@ def rewrite_rates(joined: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         [(k, a, b, o, n, j, rule, k in compared) for k, (a, b, o, n, j, rule) in enumerate(grid)],
         "k int, o int, n int, old_column string, new_column string, place int, rule string, compared boolean")
     total = hits.filter("k = -1").agg(F.coalesce(F.max("n_equal"), F.lit(1))).scalar()
-    found = asked.join(hits, ["k"], "left").join(_both_null(joined, olds, news), ["o", "n"], "left")
+    found = asked.join(hits, ["k"], "left")
+    nulls = _both_null(joined, olds, news) if indexed else None
+    found = found.join(nulls, ["o", "n"], "left") if indexed else found.withColumn("n_null", F.lit(0))
     equal = F.coalesce(F.when(F.col("compared"), F.col("n_equal")).otherwise(F.col("n_null")), F.lit(0))
     return found.select("old_column", "new_column", "place", "rule", (equal / total).alias("match_rate"))
 

@@ -86,7 +86,10 @@ def marked(rows: DataFrame, keys: DataFrame, on: Sequence[str], bits: int = SIEV
 
 
 def only_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str], bits: int = SIEVE_BITS) -> DataFrame:
-    """The rows whose key is in `keys` (stored, each key once); few others are moved to find out."""
+    """The rows whose key is in `keys` (stored, each key once). A short list, by the size of its files, is broadcast;
+    with a longer one few rows are moved that are not wanted."""
+    if small_enough(keys):
+        return rows.join(F.broadcast(keys.select(*on)), list(on), "left_semi")
     return marked(rows, keys, on, bits).filter("seen").drop("seen").join(keys.select(*on), list(on), "left_semi")
 
 

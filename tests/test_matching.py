@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.functions.text import REWRITES
-from concord.operators import anchor_search, anchors, audit, joins, profile
+from concord.operators import anchor_search, anchors, audit, field_match, joins, profile
 from concord.operators.anchor_search import next_level, search_anchor, shared_alignments, single_verdict
 from concord.operators.audit import PairRule
 from concord.operators.field_match import rewrite_rates
@@ -75,7 +75,9 @@ def test_tables_without_a_key(spark):
     assert (fixed.new_column, fixed.status) == ("colours", "VERIFIED (Schema Mapping)")
 
 
-def test_rates_of_all_rewrites(spark):
+@pytest.mark.parametrize("index_from", [0, 4])
+def test_rates_of_all_rewrites(spark, monkeypatch, index_from):
+    monkeypatch.setattr(field_match, "INDEX_FROM", index_from)
     rng = random.Random(7)
     pick = lambda: rng.choice([None, "007", "7", "a-b", "AB", "a b", "ab", "x.5", "5", "", "é!", "É"])
     rows = [tuple(pick() for _ in range(5)) for _ in range(60)]
