@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from concord.llm.common import arrow_batches, bounded_batches, marked, query, row_keys, stored, table, unwrapped, wrapped
 
 SPAN = 400
-SHORTER = 200  # bytes: passages of over 50 words are longer in any language with spaces
+SHORTER = 240  # bytes: passages of over 50 words are mostly longer
 ANCHORS = 128
 BLOCK = 8
 PLACE_BITS = np.uint64(31)  # of a joined text; the other 33 bits compare hashes, ties go to the left
@@ -74,6 +74,10 @@ def runs_of_suffixes(texts: list[bytes], span: int, anchors: int) -> tuple[bytes
     return joined, owner[first], anchor[first], place[first], place[last]
 
 
+def _bytes(text: str | bytes | None) -> bytes:
+    return text.encode() if isinstance(text, str) else text or b""
+
+
 def packed(first: np.ndarray, more: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """A run in one number: its first suffix, how many more, and how far the anchor is."""
     return (first << 32) | (more << 16) | anchor
@@ -89,8 +93,8 @@ def _runs(texts: DataFrame, span: int, anchors: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = xxhash.xxh3_64_intdigest
-        for batch in arrow_batches(batches, 2_000_000):
-            own = [(t or "").encode() for t in batch.column(2).to_pylist()]
+        for batch in arrow_batches(batches, 1_000_000):
+            own = [_bytes(t) for t in batch.column(2).to_pylist()]
             starts = np.cumsum([0, *map(len, own)])
             joined, owner, anchor, lo, hi = runs_of_suffixes(own, span, anchors)
             view = memoryview(joined)
@@ -112,7 +116,7 @@ def _taken_apart(lists: DataFrame, hashed, names: list[str]) -> DataFrame:
         out: list[tuple] = []
         for batch in batches:
             for text, k_id, k_text, runs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "k_id", "k_text", "runs"))):
-                view = memoryview(text.encode())
+                view = memoryview(_bytes(text))
                 for run in runs:
                     out += [(*hashes, k_id, k_text, piece, run["weight"]) for hashes, piece in hashed(view, run["run"])]
                     if len(out) > 50_000:
@@ -214,14 +218,6 @@ def covered(runs: list[tuple[int, int]]) -> int:
     return sum(e - s for s, e in runs)
 
 
-def _longest_run(spans: str) -> Column:
-    @F.pandas_udf("long")
-    def longest(of: pd.Series) -> pd.Series:
-        return pd.Series([max(e - s for s, e in merged(x)) for x in of], dtype="int64")
-
-    return longest(spans)
-
-
 def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     ends = [0, *(e for _, e in runs)]
     starts = [*(s for s, _ in runs), len(data)]
@@ -267,23 +263,42 @@ def without_repeats(documents: DataFrame, span: int = SPAN, anchors: int = ANCHO
     return unwrapped(rows.filter("not seen"), documents.columns, {}).unionByName(unwrapped(checked, documents.columns, new))
 
 
+REGIONS = "k_id long, k_text long, start long, region_key long, text binary"
+
+
+def _regions(texts: DataFrame, span: int) -> DataFrame:
+    """The runs of `spans` that hold a string of `span` bytes, as texts of their own: keys, start, a key, bytes."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in REGIONS.split(", ")]
+        types = [*[pa.int64()] * 4, pa.binary()]
+        for batch in arrow_batches(batches, 1_000_000):
+            out = []
+            for k_id, k_text, text, spans in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k_id", "k_text", "text", "spans"))):
+                data = _bytes(text)
+                out += [(k_id, k_text, s, _signed(xxhash.xxh3_64_intdigest(f"{k_id} {k_text} {s}")), data[s:e]) for s, e in merged(spans) if e - s >= span]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names=names)
+
+    return texts.mapInArrow(rows, REGIONS)
+
+
+def longer_spans(texts: DataFrame, short: DataFrame, span: int) -> DataFrame:
+    """`repeated_spans` for `span`, from those of shorter strings: a string that repeats lies within one run of shorter
+    ones that do, so only these runs are searched, and nothing around them."""
+    regions = stored(_regions(_texts_of(texts, short), span), "regions")
+    names = regions.select("k_id", "k_text", "start", "region_key").distinct()
+    found = repeated_spans(regions.select(F.col("region_key").alias("k_id"), F.lit(0).cast("long").alias("k_text"), "text"), span)
+    moved = F.transform("spans", lambda s: s + F.shiftleft("start", 32) + F.col("start"))
+    whole = found.select(F.col("k_id").alias("region_key"), "spans").join(names, "region_key").select("k_id", "k_text", moved.alias("spans"))
+    return whole.groupBy("k_id", "k_text").agg(F.flatten(F.collect_list("spans")).alias("whole"))
+
+
 def repeats_report(documents: DataFrame, span: int = SPAN, shorter: int = SHORTER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; and n_short, n_short_spans, the bytes and runs
-    that repeats of `shorter` bytes cover.
-
-    Repeats of `span` bytes lie within runs of the shorter ones, so only documents with a run of that length are
-    searched again.
-    """
+    that repeats of `shorter` bytes cover."""
     bounded_batches(documents.sparkSession)
     texts = keyed(documents)
     short = repeated_spans(texts, shorter, min(ANCHORS, shorter // 2))
-    if span != shorter:
-        long_enough = stored(short.filter(_longest_run("spans") >= span).select("k_id", "k_text"), "long")
-        inside = _texts_of(texts, long_enough).select("doc_id", "k_id", "k_text", "text")
-        whole = repeated_spans(stored(inside, "long"), span)
-        short = stored(short.join(whole.withColumnRenamed("spans", "whole"), ["k_id", "k_text"], "left"), "spans")
-    else:
-        short = short.withColumn("whole", F.col("spans"))
+    short = stored(short.join(longer_spans(texts, short, span), ["k_id", "k_text"], "left"), "spans")
     texts = marked(texts, short, "k_id", "k_text")
     nothing = F.lit(None).cast("array<long>")
     rows = texts.filter("not seen").select("doc_id", "text", nothing.alias("spans"), nothing.alias("whole"))

@@ -14,7 +14,7 @@ from concord.llm.components import components
 from concord.llm.decontamination import decontaminated
 from concord.llm.fill_in_middle import rearranged
 from concord.llm.importance import resampled
-from concord.llm.suffix_dedup import repeats_report, without_repeats
+from concord.llm.suffix_dedup import SHORTER, repeats_report, without_repeats
 
 
 def roots(number, links):
@@ -113,7 +113,7 @@ def test_repeated_passages(spark):
     texts += [texts[1][:300] + "#" + texts[1][301:], "ab" * 299]
     docs = spark.createDataFrame([(k % 80 if k else None, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_chars long, spans string")
     got = sorted(tuple(r)[1:] for r in repeats_report(docs).collect())
-    long, short = passages_by_force(texts, 400), passages_by_force(texts, 200)
+    long, short = passages_by_force(texts, 400), passages_by_force(texts, SHORTER)
     assert got == sorted((*a, b[1], b[2]) for a, b in zip(long, short))
     kept = without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(texts)
