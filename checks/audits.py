@@ -272,7 +272,7 @@ def unmatched_old(spark, folder):
 
     old = X.derive(spark, folder, X.F8_OLD)
     known = [c for c in old.columns if c not in ("customer_key", "order_status", "spare")]
-    return unmatched(profile.value_counts(old), spark.createDataFrame([(c,) for c in known], "old_column string"))
+    return unmatched(profile.value_counts(old), spark.createDataFrame([(c,) for c in known], "old_column string"), source=old)
 
 
 # ---- row rules ------------------------------------------------------------------------------------

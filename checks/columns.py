@@ -302,7 +302,7 @@ select column_name, case when p = '' then cast([] as varchar[]) else string_spli
 def profile_patterns(spark, folder):
     """Patterns of order columns and of whole documents."""
     parts = [profile.value_counts(X.derive(spark, folder, sql)) for sql in (TEXTS, CONTACTS)]
-    found = profile.column_patterns(profile.shape_counts(parts[0].unionByName(parts[1])))
+    found = profile.column_patterns(profile.shape_counts(parts[0].unionByName(parts[1], allowMissingColumns=True)))
     return found.withColumn("avg_words", F.round("avg_words", 4))
 
 
@@ -344,6 +344,27 @@ def top_values(spark, folder):
     return rounded(profile.top_values(profile.value_counts(X.derive(spark, folder, X.F7))))
 
 
+TEXT_COLUMNS = ["lang", "source", "text"]
+
+
+@query("profile_texts", with_tables(PROFILE_SQL, docs=TEXTS, long=long_sql("docs", TEXT_COLUMNS)))
+def profile_texts(spark, folder):
+    """Whole documents, which move as digests."""
+    return rounded_profile(profile.column_profile(profile.value_counts(X.derive(spark, folder, TEXTS), TEXT_COLUMNS)))
+
+
+@query("top_texts", with_tables("""
+select column_name, place, value, n, round(n / t, 6) as share from (
+  select column_name, value, count(*) as n, cast(row_number() over (partition by column_name order by count(*) desc, value) as integer) as place,
+         sum(count(*)) over (partition by column_name) as t
+  from long where value is not null group by column_name, value) x where place <= 15
+""", docs=TEXTS, long=long_sql("docs", TEXT_COLUMNS)))
+def top_texts(spark, folder):
+    """The most frequent documents, fetched by their digests."""
+    docs = X.derive(spark, folder, TEXTS).select(*TEXT_COLUMNS)
+    return rounded(profile.top_values(profile.value_counts(docs), source=docs))
+
+
 TYPE_SIM = """case when o.column_type = n.column_type then 30 when o.column_type in ('numeric', 'integer') and n.column_type in ('numeric', 'integer') then 20
   when contains(o.column_type, n.column_type) or contains(n.column_type, o.column_type) then 10 else 0 end"""
 FP_SIM = f"""least(100, {TYPE_SIM}

@@ -11,7 +11,7 @@ from concord.functions.numbers import col
 from concord.functions.text import comparable, name_similarity
 from concord.operators.joins import first_per_key
 from concord.operators.overlap import shared_values
-from concord.operators.profile import as_text
+from concord.operators.profile import as_text, with_traits
 
 # Words that rule a key out or speak for one, and the limits of a key column.
 BLACKLIST = [
@@ -42,14 +42,14 @@ def _has(name: str | Column, words: list[str]) -> Column:
 
 def anchor_quality(counts: DataFrame) -> DataFrame:
     """column_name, eligible, quality (0 to 100) as a key."""
-    n, value = F.col("n"), F.col("value")
-    size = F.length(value)
-    stats = counts.filter(value.isNotNull()).groupBy("column_name").agg(
+    n, size = F.col("n"), F.col("length")
+    held = with_traits(counts.filter(F.col("value").isNotNull()), "length", "words", "digits", "codes")
+    stats = held.groupBy("column_name").agg(
         F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cardinality"),
         F.sum(size * n).alias("chars"), F.sum(size * size * n).alias("chars2"),
-        F.sum(F.size(F.filter(F.split(value, r"\s+"), lambda w: w != "")) * n).alias("words"),
-        F.coalesce(F.sum(F.when(value.rlike(r"^\d+$"), n)), F.lit(0)).alias("digits"),
-        F.coalesce(F.sum(F.when(value.rlike(r"^[A-Z0-9\-]+$"), n)), F.lit(0)).alias("codes"),
+        F.sum(F.col("words") * n).alias("words"),
+        F.coalesce(F.sum(F.when(F.col("digits"), n)), F.lit(0)).alias("digits"),
+        F.coalesce(F.sum(F.when(F.col("codes"), n)), F.lit(0)).alias("codes"),
     )
     rows = F.col("rows")
     mean = F.col("chars") / rows

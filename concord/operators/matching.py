@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from concord.functions.text import name_similarity
 from concord.operators.overlap import shared_values
-from concord.operators.profile import as_text, column_meta, value_counts
+from concord.operators.profile import as_text, column_meta, most_frequent, value_counts
 from concord.operators.schema import name_pairs
 
 # Weights and thresholds of a match, and the words that mark a key column.
@@ -212,14 +212,11 @@ def ranked_claims(matches: DataFrame) -> DataFrame:
     return matches.withColumn("claim", F.row_number().over(window))
 
 
-def unmatched_old(counts: DataFrame, matches: DataFrame, sample: int = 5) -> DataFrame:
-    """Old columns without a match, each with its most frequent values as a sample."""
+def unmatched_old(counts: DataFrame, matches: DataFrame, sample: int = 5, source: DataFrame | None = None) -> DataFrame:
+    """Old columns without a match, each with its most frequent values as a sample; long texts come from `source`."""
     names = counts.select("column_name").distinct().join(
         matches.select(F.col("old_column").alias("column_name")), ["column_name"], "left_anti"
     )
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value"))
-    first = counts.filter(F.col("value").isNotNull()).withColumn("place", place).filter(F.col("place") <= sample)
-    samples = first.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("sample"))
+    wanted = counts.join(names, ["column_name"], "left_semi")
+    samples = most_frequent(wanted, sample, source).groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("sample"))
     return names.join(samples, ["column_name"], "left")
-
-

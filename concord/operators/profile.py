@@ -3,11 +3,16 @@
 `value_counts` turns a table into (column_name, value, n): equal values are combined before the shuffle
 and every statistic is a weighted sum over the distinct values, so neither a frequent value nor a column
 with many values ends up in one task.
+
+A text of more than LONG bytes that is no number does not move: its value is a 128-bit digest, and `long` holds what
+the profiles ask of the text itself (`_traits`), measured where the row was read. The few long texts that a report
+shows are fetched from the table afterwards (`spelled`). Frames of counts without the column `long` hold whole texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from concord.functions.numbers import NUMBER, col, parsed, plain
+from concord.operators.joins import only_keys
 from concord.sources.scratch import stored
 
 # Date shapes of the matcher, in order of precedence.
@@ -57,6 +63,9 @@ PATTERNS = [
 FREE_TEXT_LENGTH, NARRATIVE_WORDS = 40, 5
 MAGNITUDES = [(1, "fractional"), (100, "tens"), (10_000, "hundreds-thousands"), (1_000_000, "tens-thousands-millions")]
 TOP_VALUES = 15
+# Bytes above which a text is counted by its digest, and the characters of it that stay for ordering. Both are about speed.
+LONG, HEAD = 512, 64
+SHORT_TYPES = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -69,16 +78,106 @@ def as_text(df: DataFrame, name: str) -> Column:
     return value.cast("string")
 
 
-def long_values(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+def _words(value: Column) -> Column:
+    return F.size(F.regexp_extract_all(value, F.lit(r"\S+"), F.lit(0)))
+
+
+def _shape(value: Column) -> Column:
+    shape = F.lit(None).cast("string")
+    for name, pattern in reversed(SHAPES):
+        shape = F.when(value.rlike(pattern), name).otherwise(shape)
+    return shape
+
+
+def _digest(text: Column) -> Column:
+    return F.concat(F.lit("#"), F.md5(text.cast("binary")))
+
+
+def _traits(value: Column) -> dict[str, Column]:
+    """What the profiles ask of a text. `trimmed` and `folded` tell texts apart that differ after trimming and in case."""
+    text = F.trim(value)
+    return {
+        "head": F.left(value, F.lit(HEAD)), "trimmed": text, "folded": F.lower(text),
+        "length": F.length(value), "words": _words(value), "shape": _shape(value),
+        "dated": text.rlike(DATE_START), "iso": value.rlike(r"^\d{4}-\d{2}-\d{2}"),
+        "day": F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.left(value, F.lit(10)), "yyyy-MM-dd")),
+        "special": value.rlike(r"[^a-zA-Z0-9\s]"), "upper": (value == F.upper(value)) & (F.upper(value) != F.lower(value)),
+        "leading_zeros": text.rlike(LEADING_ZEROS), "large_integer": F.regexp_replace(text, r"\..*", "").rlike(LARGE_INTEGER),
+        "digits": value.rlike(r"^\d+$"), "codes": value.rlike(r"^[A-Z0-9\-]+$"),
+        **{f"form_{name.lower()}": text.rlike(p) for name, p in DATE_FORMATS},
+        **{f"pattern_{name.lower()}": value.rlike(p) for name, p, _ in PATTERNS},
+    }
+
+
+def with_traits(counts: DataFrame, *names: str) -> DataFrame:
+    """The counts with the named traits of each value as columns."""
+    own = _traits(F.col("value"))
+    long = F.col("long") if "long" in counts.columns else None
+    return counts.withColumns({
+        name: own[name] if long is None else F.when(long.isNotNull(), long[name]).otherwise(own[name]) for name in names
+    })
+
+
+def _is_long(text: Column) -> Column:
+    return (F.octet_length(text) > LONG) & (F.octet_length(F.trim(text)) > LONG) & parsed(F.trim(text)).isNull()
+
+
+def _cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column_name, value) for every cell."""
-    names = list(names or df.columns)
     cells = F.array(*[F.struct(F.lit(n).alias("column_name"), as_text(df, n).alias("value")) for n in names])
     return df.select(F.explode(cells).alias("c")).select("c.column_name", "c.value")
 
 
+def _long_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column_name, text, value, long) of every long text; `value` is its digest, `long` its traits."""
+    some = reduce(lambda a, b: a | b, [F.coalesce(F.octet_length(as_text(df, n)) > LONG, F.lit(False)) for n in names])
+    text = F.col("text")
+    traits = _traits(text) | {"trimmed": _digest(F.trim(text)), "folded": _digest(F.lower(F.trim(text)))}
+    cells = _cells(df.filter(some), names).withColumnRenamed("value", "text").filter(_is_long(text))
+    return cells.select("column_name", "text", _digest(text).alias("value"), F.struct(*[c.alias(name) for name, c in traits.items()]).alias("long"))
+
+
+def _text_columns(df: DataFrame, names: Sequence[str] | None = None) -> list[str]:
+    return [n for n in names or df.columns if not isinstance(df.schema[n].dataType, SHORT_TYPES)]
+
+
 def value_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, n): how often each value occurs; null is a value here."""
-    return long_values(df, names).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(column_name, value, n, long): how often each value occurs; null is a value here.
+
+    The value of a long text is its digest, and `long` its traits; of all others `long` is null. Long texts are counted
+    by a scan of their own, over the columns that may hold any and the rows that do, so that short ones cost no more.
+    """
+    cells, texts = _cells(df, list(names or df.columns)), _text_columns(df, names)
+    if not texts:
+        return cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    short = cells.filter(F.coalesce(~_is_long(F.col("value")), F.lit(True))).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    long = _long_cells(df, texts).groupBy("column_name", "value", "long").agg(F.count(F.lit(1)).alias("n"))
+    return short.unionByName(long, allowMissingColumns=True)
+
+
+def spelled(counts: DataFrame, source: DataFrame) -> DataFrame:
+    """The counts with the texts of `source` for digests. Only rows with one of these digests move."""
+    counts = stored(counts, "spelled")
+    wanted = stored(counts.filter("long is not null").select("column_name", "value"), "digests")
+    # Grouped by the text itself, which the digest tells apart, so that copies are combined before they move.
+    texts = only_keys(_long_cells(source, _text_columns(source)).select("column_name", "value", "text"), wanted, ["column_name", "value"]).distinct()
+    whole = counts.join(texts, ["column_name", "value"], "left")
+    return whole.withColumn("value", F.coalesce("text", "value")).drop("text", "long")
+
+
+def most_frequent(counts: DataFrame, most: int, source: DataFrame | None = None) -> DataFrame:
+    """The `most` most frequent values of each column with their `place`, the smaller of equally frequent ones first.
+
+    Long texts are ordered by their beginnings first; those that tie with the last place are fetched from `source` and
+    ordered whole. Without `source` they are ordered by, and shown as, their digests.
+    """
+    held = with_traits(counts.filter(F.col("value").isNotNull()), "head")
+    by = Window.partitionBy("column_name")
+    if source is not None and "long" in counts.columns:
+        near = held.withColumn("place", F.rank().over(by.orderBy(F.col("n").desc(), "head"))).filter(F.col("place") <= most)
+        held = spelled(near.drop("place"), source)
+    place = F.row_number().over(by.orderBy(F.col("n").desc(), "value"))
+    return held.withColumn("place", place).filter(F.col("place") <= most).select("column_name", "place", "value", "n")
 
 
 def _sum(test: Column, amount: Column) -> Column:
@@ -95,8 +194,9 @@ def column_meta(counts: DataFrame) -> DataFrame:
     held = value.isNotNull()
     shown = held & (text != "")
     number = parsed(text)
-    numeric, dated = shown & number.isNotNull(), shown & text.rlike(DATE_START)
-    base = counts.groupBy("column_name").agg(
+    numeric, dated = shown & number.isNotNull(), shown & F.col("dated")
+    forms = [f"form_{name.lower()}" for name, _ in DATE_FORMATS]
+    base = with_traits(counts, "trimmed", "dated", "leading_zeros", "large_integer", *forms).groupBy("column_name").agg(
         F.sum("n").alias("n_rows"),
         _sum(held, n).alias("n_values"),
         _sum(held & ~text.isin("0", ""), n).alias("n_nonzero"),
@@ -104,12 +204,12 @@ def column_meta(counts: DataFrame) -> DataFrame:
         _sum(shown, n).alias("n_shown"),
         _sum(numeric, n).alias("n_numeric"),
         _sum(dated, n).alias("n_date"),
-        F.count_distinct(F.when(shown, text)).alias("n_distinct"),
+        F.count_distinct(F.when(shown, F.col("trimmed"))).alias("n_distinct"),
         F.min(number).alias("min_number"), F.max(number).alias("max_number"),
         F.sum(number * n).alias("sum_number"),
-        _sum(shown & text.rlike(LEADING_ZEROS), n).alias("n_leading_zeros"),
-        _sum(shown & F.regexp_replace(text, r"\..*", "").rlike(LARGE_INTEGER), n).alias("n_large_integer"),
-        *[_sum(shown & text.rlike(p), n).alias(f"form_{name.lower()}") for name, p in DATE_FORMATS],
+        _sum(shown & F.col("leading_zeros"), n).alias("n_leading_zeros"),
+        _sum(shown & F.col("large_integer"), n).alias("n_large_integer"),
+        *[_sum(shown & F.col(form), n).alias(form) for form in forms],
     )
     kind = (
         F.when(F.col("n_values") == 0, "NULL").when(F.col("n_nonzero") == 0, "ZERO")
@@ -150,22 +250,19 @@ def column_profile(counts: DataFrame) -> DataFrame:
     held = value.isNotNull()
     number = parsed(F.trim(value))
     numeric = held & number.isNotNull()
-    iso = held & value.rlike(r"^\d{4}-\d{2}-\d{2}")
-    day = F.when(iso, F.try_to_date(F.left(value, F.lit(10)), "yyyy-MM-dd"))
-    upper = (value == F.upper(value)) & (F.upper(value) != F.lower(value))
-    base = counts.groupBy("column_name").agg(
+    base = with_traits(counts, "iso", "day", "length", "special", "upper").groupBy("column_name").agg(
         F.sum("n").alias("row_count"),
         _sum(held, n).alias("n_values"),
         F.count("value").alias("cardinality"),
-        _sum(numeric, n).alias("n_numeric"), _sum(iso, n).alias("n_iso"),
+        _sum(numeric, n).alias("n_numeric"), _sum(held & F.col("iso"), n).alias("n_iso"),
         F.min(number).alias("lo"), F.max(number).alias("hi"), F.sum(number * n).alias("total"),
         _sum(numeric & (number == 0), n).alias("n_zero"),
         _sum(numeric & (number < 0), n).alias("n_negative"),
         _sum(numeric & (number != F.floor(number)), n).alias("n_fraction"),
-        F.min(day).alias("earliest"), F.max(day).alias("latest"),
-        F.sum(F.length(value) * n).alias("chars"), F.max(F.length(value)).alias("longest"),
-        _sum(held & value.rlike(r"[^a-zA-Z0-9\s]"), n).alias("n_special"),
-        _sum(held & upper, n).alias("n_upper"),
+        F.min("day").alias("earliest"), F.max("day").alias("latest"),
+        F.sum(F.col("length") * n).alias("chars"), F.max("length").alias("longest"),
+        _sum(held & F.col("special"), n).alias("n_special"),
+        _sum(held & F.col("upper"), n).alias("n_upper"),
     )
     data_type = (
         F.when(F.col("n_values") == 0, "EMPTY")
@@ -268,18 +365,16 @@ def shape_counts(counts: DataFrame, *more: Column) -> DataFrame:
     """Per column: values, distinct values, and how many fit each shape and pattern; `more` joins the same pass."""
     n, value = F.col("n"), F.col("value")
     held = value.isNotNull()
-    shape = F.lit(None)
-    for name, pattern in reversed(SHAPES):
-        shape = F.when(value.rlike(pattern), name).otherwise(shape)
     low = F.lower(F.trim(value))
-    return counts.withColumn("shape", shape).groupBy("column_name").agg(
+    patterns = [f"pattern_{name.lower()}" for name, _, _ in PATTERNS]
+    return with_traits(counts, "shape", "folded", "length", "words", *patterns).groupBy("column_name").agg(
         _sum(held, n).alias("n_values"),
-        F.count_distinct(F.when(held, low)).alias("n_texts"),
+        F.count_distinct(F.when(held, F.col("folded"))).alias("n_texts"),
         *[_sum(F.col("shape") == name, n).alias(f"shape_{name}") for name, _ in SHAPES],
-        *[_sum(held & value.rlike(p), n).alias(f"pattern_{name.lower()}") for name, p, _ in PATTERNS],
+        *[_sum(held & F.col(p), n).alias(p) for p in patterns],
         *[_sum(held & ~low.isin(words), n).alias(f"not_boolean_{i}") for i, words in enumerate(BOOLEAN_SETS)],
-        F.sum(F.when(held, F.length(value)) * n).alias("chars"),
-        F.sum(F.when(held, F.size(F.filter(F.split(value, r"\s+"), lambda w: w != ""))) * n).alias("words"),
+        F.sum(F.when(held, F.col("length")) * n).alias("chars"),
+        F.sum(F.when(held, F.col("words")) * n).alias("words"),
         *more,
     )
 
@@ -351,16 +446,11 @@ def fingerprints(counts: DataFrame) -> DataFrame:
     )
 
 
-def top_values(counts: DataFrame, most: int = TOP_VALUES) -> DataFrame:
-    """The `most` most frequent values of each column: column_name, place, value, n, share."""
-    held = counts.filter(F.col("value").isNotNull())
-    sizes = held.groupBy("column_name").agg(F.sum("n").alias("n_values"))
-    few = held.join(F.broadcast(sizes), ["column_name"])  # a row per column
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value"))
-    return (
-        few.withColumn("place", place).filter(F.col("place") <= most)
-        .select("column_name", "place", "value", "n", (F.col("n") / F.col("n_values")).alias("share"))
-    )
+def top_values(counts: DataFrame, most: int = TOP_VALUES, source: DataFrame | None = None) -> DataFrame:
+    """The `most` most frequent values of each column: column_name, place, value, n, share. `source`: see `most_frequent`."""
+    sizes = counts.filter(F.col("value").isNotNull()).groupBy("column_name").agg(F.sum("n").alias("n_values"))
+    few = most_frequent(counts, most, source).join(F.broadcast(sizes), ["column_name"])  # a row per column
+    return few.select("column_name", "place", "value", "n", (F.col("n") / F.col("n_values")).alias("share"))
 
 
 def type_similarity(left: Column, right: Column) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.functions.text import REWRITES
-from concord.operators import anchor_search, anchors, audit, field_match, joins, profile
+from concord.operators import anchor_search, anchors, audit, field_match, joins, matching, profile
 from concord.operators.anchor_search import next_level, search_anchor, shared_alignments, single_verdict
 from concord.operators.audit import PairRule
 from concord.operators.field_match import rewrite_rates
@@ -17,6 +17,7 @@ from concord.plans.match_tables import match_tables
 from concord.plans.validate import validate
 from concord.rules import CompositeKey, AccountMapping, Exact, Grouping, Mappings, Rule, Transformed
 from concord.sources import sinks
+from concord.sources.scratch import stored
 from concord.sources.tables import resolver
 
 
@@ -92,6 +93,50 @@ def test_rates_of_all_rewrites(spark, monkeypatch, index_from):
     assert {r.match_rate for r in rewrite_rates(joined.limit(0), pairs[:1]).collect()} == {0.0}
 
 
+TEXTS = ["", "   ", "a", "no", "NO ", "2024-01-15", "2024-01-15T10:11:12+07:00", "2024-02-30 and a day that is none", "0000000000000000000042", "123456789012345678",
+         "1" * 40, "9" * 600, "ABCDEF-12345678", "A LONG CAPITAL NOTE", "A long capital note", "a long capital note ", "mail@example.com, and so on", "same head, one", "same head, two",
+         "same head, three", "x" * 600, "x" * 599 + "y", "+66 2 1234 5678 90", "a\tb c d e f g h", "0.50", "1234567890.125", "1e5", "-12.75", "#abc", None]
+
+
+def test_long_texts_by_digest(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, rng.choice(TEXTS), rng.choice(TEXTS[:9]) if k % 3 else None, rng.choice(TEXTS) if k % 2 else "x" * 600) for k in range(160)]
+    table = spark.createDataFrame(rows, "k int, note string, code string, hot string").withColumn("parts", F.array("note", "code"))
+
+    def everything():
+        counts = stored(profile.value_counts(table), "counts")
+        frames = [profile.column_meta(counts), profile.column_profile(counts), profile.fingerprints(counts), profile.column_patterns(profile.shape_counts(counts)),
+                  profile.number_shape(counts), profile.medians(counts), anchors.anchor_quality(counts),
+                  *[profile.top_values(counts, most, table) for most in (3, 40)], matching.unmatched_old(counts, spark.createDataFrame([("k",)], "old_column string"), 3, table)]
+        flat = lambda r: [round(v, 9) if isinstance(v, float) else v for v in r]  # noqa: E731  (sums of doubles in any order)
+        return [sorted(repr(flat(r)) for r in f.collect()) for f in frames], counts.filter("long is not null").count()
+
+    whole, none = [monkeypatch.setattr(profile, "LONG", 10 ** 6), everything()][1]
+    assert none == 0
+    for long, head in ((512, 64), (0, 1)):
+        monkeypatch.setattr(profile, "LONG", long)
+        monkeypatch.setattr(profile, "HEAD", head)
+        got, some = everything()
+        assert some and got == whole
+
+
+def test_empty_table_has_no_values(spark):
+    table = spark.createDataFrame([], "a string, b int")
+    counts = profile.value_counts(table)
+    assert counts.count() == 0
+    assert profile.top_values(counts, 3, table).count() == profile.column_profile(counts).count() == 0
+
+
+def test_long_texts_do_not_move(spark):
+    """The shuffle of the counts is keyed by digests, and whole texts are no column of it."""
+    table = spark.range(4).select(F.repeat(F.col("id").cast("string"), 600).alias("t"))
+    # Zeros are a number, whatever their length, and stay as they are; the others have too many digits for one.
+    assert sorted(len(r.value) for r in profile.value_counts(table).collect()) == [33, 33, 33, 600]
+    table = table.select(F.concat(F.lit("n"), "t").alias("t"))
+    got = profile.value_counts(table).collect()
+    assert {len(r.value) for r in got} == {33} and {r.long.length for r in got} == {601}
+
+
 @pytest.mark.parametrize("buckets", [2, 7, 4096])
 def test_medians_by_narrowing(spark, buckets):
     rng = random.Random(1)
