@@ -27,6 +27,13 @@ def multiset_hash(value: Column) -> list[Column]:
     return [F.sum(half) for h in hashes for half in (h.bitwiseAND(HALF), F.shiftrightunsigned(h, 32))]
 
 
+def multisets_hash(values: Sequence[Column]) -> list[Column]:
+    """The same for several values at once, each with its place. A sum that overflows is null and stands for nothing."""
+    hashes = [[F.xxhash64(F.lit(seed), F.lit(i), v.cast("string")) for i, v in enumerate(values)] for seed in (1, 2)]
+    halves = [[half(h) for h in own] for own in hashes for half in (lambda h: h.bitwiseAND(HALF), lambda h: F.shiftrightunsigned(h, 32))]
+    return [F.try_sum(reduce(lambda a, b: a + b, half)) for half in halves]
+
+
 def old_fingerprint(old: DataFrame, parts: Parts) -> Column:
     return fingerprint(old, [(o, year) for o, _, year in parts])
 

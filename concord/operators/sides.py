@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.numbers import NUMBER, col, is_numeric, number_of
-from concord.operators.fingerprint_diff import multiset_hash
+from concord.operators.fingerprint_diff import multiset_hash, multisets_hash
 from concord.rules import RowFilter
 from concord.sources.scratch import stored
 
@@ -121,6 +121,10 @@ class Side:
         """The sums that stand for the multiset of a value's texts in the group."""
         return [self._ask(f"multiset|{value}|{i}", part) for i, part in enumerate(multiset_hash(value))]
 
+    def multisets(self, values: Sequence[Column]) -> list[Column]:
+        """The sums that stand for the multisets of several values' texts, all of them together."""
+        return [self._ask(f"multisets|{[str(v) for v in values]}|{i}", part) for i, part in enumerate(multisets_hash(values))]
+
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if not self.shared:
             return make()
@@ -138,8 +142,7 @@ class Side:
             self._values[label] = (len(self._values), value)
         return self._values[label][0]
 
-    def values(self) -> DataFrame:
-        """key, value_id, value: the different texts of all registered values, each once where the side is shared."""
+    def values(self, rows: DataFrame) -> DataFrame:
+        """key, value_id, value: the texts of all registered values, row by row; `rows` are some of the side's."""
         pairs = F.array(*[F.struct(F.lit(i).alias("value_id"), v.cast("string").alias("value")) for i, v in self._values.values()])
-        rows = self.df.select(*self.key, F.explode(pairs).alias("p")).select(*self.key, "p.*").filter(F.col("value").isNotNull())
-        return self._once("values", rows.distinct) if self.shared else rows
+        return rows.select(*self.key, F.explode(pairs).alias("p")).select(*self.key, "p.*").filter(F.col("value").isNotNull())

@@ -19,6 +19,7 @@ from concord.functions.numbers import (
 from concord.functions.text import clean, concat_columns, date_text
 from concord.operators import defects, values
 from concord.operators.fingerprint_diff import fingerprint_gaps, new_fingerprint, old_fingerprint
+from concord.operators.joins import only_keys
 from concord.operators.rows import DATE_TRANSFORM, transformed_equal
 from concord.operators.sides import Side
 from concord.rules import DefRule, Mappings
@@ -70,6 +71,9 @@ class GroupComparison:
         self.sets: list[int] = []
         # Per set: when its values tell the sides apart, the mapping's name, and the sides to give.
         self.set_failures: dict[int, tuple[Column, str, list[str]]] = {}
+        # Old and new values of the sets that pass where both sides hold the same values; the others' numbers.
+        self.alike: list[tuple[Column, Column]] = []
+        self.other_sets: list[int] = []
         self.mapping_checks: list[E.Check] = []
         self.def_checks: list[E.Check] = []
         self.extra_columns: dict[str, Column] = {}
@@ -77,6 +81,10 @@ class GroupComparison:
         self.old_sets: dict[int, list[int]] = {}
         self.new_sets: dict[int, list[int]] = {}
         self._prepare()
+        # The values of all such sets as one multiset per group and side: a group that agrees in it needs no sets.
+        self.set_hashes: list[tuple[Column, Column]] = []
+        if self.alike:
+            self.set_hashes = list(zip(*[side.multisets(own) for side, own in zip((self.old, self.new), zip(*self.alike))]))
         self.hashes: list[tuple[Column, Column]] = []
         if fingerprint:
             self.hashes = list(zip(self.old.multiset(old_fingerprint(self.old.df, fingerprint)), self.new.multiset(new_fingerprint(self.new.df, fingerprint))))
@@ -123,14 +131,19 @@ class GroupComparison:
 
     def _set(
         self, old_value: Column | None, new_value: Column | None, test: Callable[[dict[str, Column]], Column], name: str,
-        sides: tuple[str, ...] = ("old_only", "new_only"),
+        sides: tuple[str, ...] = ("old_only", "new_only"), same_passes: bool = True,
     ) -> tuple[int, Column]:
-        """Add a pair of value sets; `test` says from their four counts whether they are worth an error."""
+        """Add a pair of value sets; `test` says from their four counts whether they are worth an error. `same_passes`:
+        it never does where both sides hold the same values."""
         i = len(self.sets)
         self.sets.append(i)
         for value, side, sets in ((old_value, self.old, self.old_sets), (new_value, self.new, self.new_sets)):
             if value is not None:
                 sets.setdefault(side.ask_values(value), []).append(i)
+        if same_passes:
+            self.alike.append((old_value, new_value))
+        else:
+            self.other_sets.append(i)
         fails = test({n: F.coalesce(F.col(f"{n}_{i}"), F.lit(0)) for n in ("so", "sn", "xo", "xn")})
         self.set_failures[i] = (fails, name, list(sides))
         return i, fails
@@ -295,40 +308,59 @@ class GroupComparison:
             waiting = clean(col(old_col))
             if permitted:
                 waiting = F.when(F.upper(waiting) != permitted.upper(), waiting)
-        return self._set(waiting, bad, lambda n: n["sn"] > 0, rule.def_id, ("old_only", "new_only", "both"))[0]
+        return self._set(waiting, bad, lambda n: n["sn"] > 0, rule.def_id, ("old_only", "new_only", "both"), same_passes=False)[0]
 
     # ---- frames -----------------------------------------------------------------------------------
 
     @cached_property
     def _old_groups(self) -> DataFrame:
         groups = self.old.aggregated()
-        if self.translate:
-            groups = self.translate(groups)
-        # Where several old groups share a new one, the groups are read twice.
-        return stored(groups, "groups") if self.sets and self.key != self.new_key else groups
+        return self.translate(groups) if self.translate else groups
+
+    @cached_property
+    def _met(self) -> DataFrame:
+        """The groups of both sides with their aggregates, a row per group of either side; stored where they are read again."""
+        met = self._old_groups.join(self.new.aggregated(), self.new_key, "full_outer")
+        return stored(met, "met") if self.sets else met
+
+    def _described(self, groups: DataFrame) -> DataFrame:
+        n_old, n_new = F.coalesce(self.old.rows(), F.lit(0)), F.coalesce(self.new.rows(), F.lit(0))
+        groups = groups.withColumns({"rows_old": n_old, "rows_new": n_new})
+        return groups.withColumns(self.extra_columns) if self.extra_columns else groups
+
+    @cached_property
+    def _unlike(self) -> DataFrame:
+        """Keys of the groups whose values have to be listed: groups of both sides that differ as multisets, or fail a
+        check that goes by other things."""
+        tests = [~F.coalesce(a == b, F.lit(False)) for a, b in self.set_hashes] + [F.coalesce(self.set_failures[i][0], F.lit(False)) for i in self.other_sets]
+        both = (F.col("rows_old") > 0) & (F.col("rows_new") > 0)
+        return stored(self._described(self._met).filter(both & reduce(lambda a, b: a | b, tests)).select(*self.key), "unlike")
+
+    def _values_of(self, side: Side) -> DataFrame:
+        """Values of the groups that are unlike; rows of the others do not move."""
+        keys = self._unlike if side.key == self.key else stored(self._unlike.select(*side.key).distinct(), "keys")
+        return side.values(only_keys(side.df, keys, side.key))
 
     @cached_property
     def value_table(self) -> DataFrame | None:
+        """The values of the unlike groups of both sides, stored: the counts of the sets and `differences` read them."""
         if not self.sets:
             return None
-        old = self.old.values() if self.old_sets else None
+        old = self._values_of(self.old) if self.old_sets else None
         if old is not None and self.translate:
             old = self.translate(old.distinct())
-        new = self.new.values() if self.new_sets else None
+        new = self._values_of(self.new) if self.new_sets else None
         if new is not None and self.key != self.new_key:
-            new = new.distinct().join(self._old_groups.select(*self.key), self.new_key)
-        return values.value_table(old, new, self.key, self.old_sets, self.new_sets)
+            new = new.distinct().join(self._unlike, self.new_key)
+        return stored(values.value_table(old, new, self.key, self.old_sets, self.new_sets), "values")
 
     @cached_property
     def joined(self) -> DataFrame:
         """A row per group of either side. Built when every comparison that shares a side has asked for what it needs."""
-        both = self._old_groups.join(self.new.aggregated(), self.new_key, "full_outer")
+        both = self._met
         if self.sets:
             both = both.join(values.set_counts(self.value_table, self.key, self.sets), self.key, "left")
-        n_old, n_new = F.coalesce(self.old.rows(), F.lit(0)), F.coalesce(self.new.rows(), F.lit(0))
-        both = both.withColumns({"rows_old": n_old, "rows_new": n_new})
-        if self.extra_columns:
-            both = both.withColumns(self.extra_columns)
+        both = self._described(both)
         in_old, in_new = F.col("rows_old") > 0, F.col("rows_new") > 0
         alone = in_old & ~in_new & ~self.skipped
         more = [(alone & test, made) for test, made in (self.more_checks(self.group_key) if self.more_checks else [])]

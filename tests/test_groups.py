@@ -248,3 +248,15 @@ def test_rule_from_dictionary():
     assert rule.mappings.filtered_sum[0].old_filter.columns() == ["affectcode", "debitcredit"]
     assert not rule.extras_wanted() and rule.tolerance_set
     assert defects.tokens_of("a+1") == ["a", "+", "1"]
+
+
+def test_only_unlike_groups_list_their_values(spark):
+    from concord.plans.grouped import GroupComparison
+
+    old = rows(spark, [("a", "PP", "C", "1", None), ("a", "QQ", "C", "2", None), ("b", "PP", "C", "1", None), ("c", "PP", "C", "1", None), ("d", "PP", "C", "1", None)])
+    new = rows(spark, [("a", "QQ", "C", "2", None), ("a", "PP", "C", "1", None), ("b", "PP", "C", "1", None), ("b", "PP", "C", "1", None), ("c", "RR", "C", "1", None)])
+    comparison = GroupComparison(old, new, ["k"], Mappings(exact=(Exact("affectcode", "affectcode"), Exact("amount", "amount"))))
+    assert {r.k for r in comparison.groups().filter("failed").collect()} == {"c", "d"}
+    assert {(r.k, r.value, r.side) for r in comparison.differences().collect()} == {("c", "PP", "old_only"), ("c", "RR", "new_only")}
+    # a agrees; b differs in its number of rows, not in its values; d is on one side.
+    assert {r.k for r in comparison.value_table.collect()} == {"b", "c"}
