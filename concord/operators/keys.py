@@ -83,12 +83,20 @@ def nonzero_parity(old: DataFrame, new: DataFrame, old_column: str, new_column:
 
 
 def prefix_distribution(df: DataFrame, prefix: Column, key: str, account: str) -> DataFrame:
-    """Per prefix: rows, distinct keys, distinct accounts. Values are made unique before they are counted."""
+    """Per prefix: rows, distinct keys, distinct accounts. Keys and accounts are made unique each on their own, never as
+    triples, so a task holds one row per key or per account."""
     base = df.select(prefix.alias("prefix"), col(key).alias("key"), col(account).alias("account"))
-    rows = base.groupBy("prefix", "key", "account").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("prefix").agg(
-        F.sum("n").alias("n_rows"), F.count_distinct("key").alias("n_keys"), F.count_distinct("account").alias("n_accounts")
-    )
+    zero = F.lit(0).cast("long")
+
+    def counted(name: str) -> DataFrame:
+        values = base.groupBy("prefix", name).agg(F.count(F.lit(1)).alias("n"))
+        found = F.count(name)
+        own = {"n_rows": F.sum("n"), "n_keys": found, "n_accounts": zero} if name == "key" else {"n_rows": zero, "n_keys": zero, "n_accounts": found}
+        return values.groupBy("prefix").agg(*[c.alias(n) for n, c in own.items()])
+
+    # A row per prefix from either; prefixes may be null, so they meet by an aggregation and not by a join.
+    both = counted("key").unionByName(counted("account"))
+    return both.groupBy("prefix").agg(*[F.sum(n).alias(n) for n in ("n_rows", "n_keys", "n_accounts")])
 
 
 def routed_totals(df: DataFrame, routes: dict[str, Column], value: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord.functions.text import REWRITES
-from concord.operators import anchor_search, anchors, audit, field_match, joins, matching, profile
+from concord.operators import anchor_search, anchors, audit, field_match, joins, keys, matching, profile
 from concord.operators.anchor_search import next_level, search_anchor, shared_alignments, single_verdict
 from concord.operators.audit import PairRule
 from concord.operators.field_match import rewrite_rates
@@ -234,3 +234,25 @@ def test_a_run_is_computed_once(spark, tmp_path, monkeypatch):
     sinks.write_run([outcome], str(tmp_path))
     summary = spark.read.option("header", True).csv(f"{tmp_path}/Summary_Report").first()
     assert (summary.rule, summary.status, summary.total_errors, summary.rows_checked) == ("r", "FAIL", "2", "2")
+
+
+def test_forms_are_computed_over_cells(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(field_match, "comparable", lambda v: made.append(v) or F.nullif(F.lower(v), F.lit("none")))
+    old = spark.createDataFrame([("A", "x"), ("b", "None")], "p string, q string")
+    new = spark.createDataFrame([("a", "X"), ("B", "none")], "r string, s string")
+    got = {(r.old_column, r.new_column): (r.n_shared, r.n_old, r.n_new) for r in field_match.comparable_overlap(old, new).collect()}
+    assert got == {("p", "r"): (2, 2, 2), ("q", "s"): (1, 1, 1)}
+    assert len(made) == 2  # once a table, not once a column
+
+
+def test_types_and_prefixes_move_thin_rows(spark):
+    counts = profile.value_counts(spark.createDataFrame([("yes", "0", " a"), ("NO ", "0", "a"), (None, "0", "b")], "found string, x string, t string"))
+    shapes = profile.shape_counts(counts)
+    assert {r.column_name: r.column_type for r in profile.column_types(shapes).collect()} == {"found": "boolean", "x": "numeric", "t": "alpha"}
+    assert {r.column_name: r.n_distinct for r in profile.column_meta(counts).collect()} == {"found": 2, "x": 1, "t": 2}
+    assert "distinct" not in shapes._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([("p", "k", 1), ("p", "k", 1), ("p", "l", None), (None, None, 2)], "p string, k string, a int")
+    found = keys.prefix_distribution(rows, F.col("p"), "k", "a")
+    assert sorted(found.collect(), key=str) == sorted([("p", 3, 2, 1), (None, 1, 0, 1)], key=str)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
