@@ -67,7 +67,9 @@ def normal_number_text(value: Column) -> Column:
 
 
 def number_text_of(df: DataFrame, name: str) -> Column:
-    """The same for a column; a typed number needs no parsing."""
+    """The same for a column; a typed number needs no parsing, and a whole one no decimal."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return col(name).cast("string")
     if is_numeric(df, name):
         return F.coalesce(plain(col(name).try_cast(NUMBER)), col(name).cast("string"))
     return normal_number_text(col(name))

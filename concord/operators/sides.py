@@ -44,6 +44,7 @@ class Side:
         self.df, self.name, self.key, self.shared = df, name, list(key), shared
         self._aggregates: dict[str, tuple[str, Column]] = {}
         self._values: dict[str, tuple[int, Column]] = {}
+        self._made: dict[str, tuple[str, Column]] = {}
         self._held: dict[str, DataFrame] = {}
         self.rows()
 
@@ -117,13 +118,21 @@ class Side:
         """Text of the row with the smallest anchor."""
         return self._ask(f"first|{column}", F.min_by(col(column).cast("string"), col(anchor)))
 
+    def _once_per_row(self, value: Column) -> Column:
+        """A column of the rows that are aggregated: a hash of it is part of several sums, and the value is made once."""
+        label = str(value)
+        if label not in self._made:
+            self._made[label] = (f"_{self.name}_value_{len(self._made)}", value)
+        return F.col(self._made[label][0])
+
     def multiset(self, value: Column) -> list[Column]:
         """The sums that stand for the multiset of a value's texts in the group."""
-        return [self._ask(f"multiset|{value}|{i}", part) for i, part in enumerate(multiset_hash(value))]
+        return [self._ask(f"multiset|{value}|{i}", part) for i, part in enumerate(multiset_hash(self._once_per_row(value)))]
 
     def multisets(self, values: Sequence[Column]) -> list[Column]:
         """The sums that stand for the multisets of several values' texts, all of them together."""
-        return [self._ask(f"multisets|{[str(v) for v in values]}|{i}", part) for i, part in enumerate(multisets_hash(values))]
+        made = [self._once_per_row(v.cast("string")) for v in values]
+        return [self._ask(f"multisets|{[str(v) for v in values]}|{i}", part) for i, part in enumerate(multisets_hash(made))]
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if not self.shared:
@@ -133,7 +142,10 @@ class Side:
         return self._held[name]
 
     def aggregated(self) -> DataFrame:
-        return self._once("groups", lambda: self.df.groupBy(*self.key).agg(*[a.alias(n) for n, a in self._aggregates.values()]))
+        return self._once("groups", lambda: self._rows().groupBy(*self.key).agg(*[a.alias(n) for n, a in self._aggregates.values()]))
+
+    def _rows(self) -> DataFrame:
+        return self.df.withColumns({n: v for n, v in self._made.values()}) if self._made else self.df
 
     def ask_values(self, value: Column) -> int:
         """Register a value whose different texts per group are wanted; returns its number."""

@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from concord.functions.numbers import number_text_of
 from concord.operators import defects
 from concord.operators.defects import RuleError, condition_sql
+from concord.operators.fingerprint_diff import multisets_hash
+from concord.operators.sides import Side
 from concord.plans.validate import validate
 from concord.rules import (
     AccountMapping, Action, CompositeKey, Concat, DefRule, Exact, FilteredSum, Formula, Grouping, Mappings, RowFilter, Rule,
@@ -260,3 +263,16 @@ def test_only_unlike_groups_list_their_values(spark):
     assert {(r.k, r.value, r.side) for r in comparison.differences().collect()} == {("c", "PP", "old_only"), ("c", "RR", "new_only")}
     # a agrees; b differs in its number of rows, not in its values; d is on one side.
     assert {r.k for r in comparison.value_table.collect()} == {"b", "c"}
+
+
+def test_hashed_values_are_made_once_per_row(spark):
+    rows = spark.createDataFrame([("g", "1.0", 5), ("g", "1", -7)], "k string, v string, w long")
+    side = Side(rows, "old", ["k"])
+    made = [F.lower(F.col("v")), number_text_of(rows, "w")]
+    sums = side.multisets(made)
+    assert all("lower" not in str(a) for _, a in side._aggregates.values())
+    other = Side(rows, "old", ["k"])
+    plain = other.df.groupBy("k").agg(*multisets_hash(made)).first()
+    assert tuple(side.aggregated().select(*sums).first()) == tuple(plain)[1:]
+    assert [r[0] for r in rows.select(number_text_of(rows, "w")).collect()] == ["5", "-7"]
+    assert "decimal" not in str(number_text_of(rows, "w")).lower()
