@@ -256,3 +256,33 @@ def test_types_and_prefixes_move_thin_rows(spark):
     found = keys.prefix_distribution(rows, F.col("p"), "k", "a")
     assert sorted(found.collect(), key=str) == sorted([("p", 3, 2, 1), (None, 1, 0, 1)], key=str)
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rewrites_run_over_few_cells(spark, monkeypatch):
+    made = []
+    monkeypatch.setitem(REWRITES, "REMOVE_PUNCTUATION", lambda c, own=REWRITES["REMOVE_PUNCTUATION"]: made.append(c) or own(c))
+    joined = spark.createDataFrame([("01", "0-1", "1", "x"), ("7", None, "7", None)], "a_O string, b_O string, p_N string, q_N string")
+    rates = {(r.old_column, r.new_column, r.rule): r.match_rate for r in rewrite_rates(joined, [(o, n) for o in "ab" for n in "pq"]).collect()}
+    assert len(made) == 2  # once a side, not once a column
+    assert rates["a", "p", "RAW"] == 0.5 and rates["a", "p", "STRIP_LEADING_ZEROS"] == 1.0 and rates["b", "q", "RAW"] == 0.5
+
+
+def test_only_repeated_values_are_ordered(spark, monkeypatch):
+    ordered = []
+    whole = anchor_search._first_row
+    monkeypatch.setattr(anchor_search, "_first_row", lambda df: ordered.append(df) or whole(df))
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
+    new = spark.createDataFrame([(1, "A"), (2, "z")], "n int, s string")
+    key = [(["k"], ["n"])]
+    assert [tuple(r) for r in anchor_search.tested_keys(old, new, key).collect()] == [(0, 2, 2, 2, 1)] and not ordered
+    twice = old.unionByName(spark.createDataFrame([(2, "a"), (2, None)], old.schema))
+    assert [tuple(r) for r in anchor_search.tested_keys(twice, new.withColumn("s", F.lit("a")), key).collect()] == [(0, 2, 2, 2, 2)] and ordered
+
+
+def test_overlap_from_counts(spark):
+    long = "Long text, " * 60
+    old = spark.createDataFrame([("A", "1.0", long), ("a", None, "b"), ("x", "2", "none")], "p string, q string, r string")
+    new = spark.createDataFrame([("a", 1, long.upper()), ("y", 2, "B")], "p string, q int, r string")
+    counts = tuple(stored(profile.value_counts(t), "counts") for t in (old, new))
+    plain, counted = (sorted(field_match.comparable_overlap(old, new, c).collect()) for c in (None, counts))
+    assert plain == counted and len(plain) == 3
